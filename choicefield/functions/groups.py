@@ -43,12 +43,15 @@ def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
         *[F.when(hot, F.col(tmp[n])).otherwise(v.over(w)).alias(n) for n, v in values.items()])
 
 
-def _parse(order: list[str]):
+def _parse(df: DataFrame, order: list[str]):
     cols = [o.lstrip("-") for o in order]
     sort = [F.col(c).desc() if o.startswith("-") else F.col(c).asc() for o, c in zip(order, cols)]
     rank = F.struct(*[(-F.col(c) if o.startswith("-") else F.col(c)).alias(f"o{i}")
                       for i, (o, c) in enumerate(zip(order, cols))])
-    lead = F.col(cols[0]).cast("double")
+    lead = F.col(cols[0])
+    if df.schema[cols[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+        lead = F.unix_micros(lead.cast("timestamp"))
+    lead = lead.cast("double")
     return cols, sort, rank, (-lead if order[0].startswith("-") else lead)
 
 
@@ -62,7 +65,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, number: st
     table is one group and is always cut into ranges.
     """
     lag, run_sum, run_max = lag or {}, run_sum or {}, run_max or {}
-    _, sort, rank, lead = _parse(order)
+    _, sort, rank, lead = _parse(df, order)
     keyed = df if keys else df.withColumn("__all", F.lit(0))
     groups = keys or ["__all"]
     keyed = keyed.withColumn("__lead", lead)
@@ -136,7 +139,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, hot_ro
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, name: str | None = None) -> DataFrame:
     """First ``n`` rows per group. Spark turns the rank filter into a per-task group limit before the shuffle."""
-    _, sort, _, _ = _parse(order)
+    _, sort, _, _ = _parse(df, order)
     rn = name or "__rn"
     out = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))).filter(F.col(rn) <= n)
     return out if name else out.drop(rn)

@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EPS = 1e-16
 _TINY = 1e-300
@@ -71,11 +72,11 @@ def _pairwise(fn, left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([fn(x, d) if good else None for x, d, good in zip(left, right, ok)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _pairwise(lambda v, d: upper_gamma(d / 2, v / 2), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _pairwise(lambda v, d: incomplete_beta(d / 2, 0.5, d / (d + v * v)), t, df)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-MODULES = ["prep"]
+MODULES = ["prep", "reshape", "describe", "traces"]
 
 
 def load() -> dict[str, Query]:

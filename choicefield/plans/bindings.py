@@ -5,10 +5,15 @@ Each binding exists twice, as a DataFrame and as a CTE text for the oracle SQL.
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions.groups import numbered, with_group_values
+from ..functions.normal import two_sided_p
+from ..operators.stats import inline
 from .registry import Tables
 
 # ---- long choice table: id = customer, sid = order, one row per order line -------------------------
@@ -161,3 +166,109 @@ def replicates(t: Tables) -> DataFrame:
 
 def trace(t: Tables) -> DataFrame:
     return t.events.selectExpr("user_id as run", "ts", "event_id as iteration", "-value as ll", "event_type as status")
+
+
+# ---- normal law in SQL (the oracle engine has no erf either) ----------------------------------------------
+
+
+def _horner(coefs, x: str) -> str:
+    out = repr(coefs[0])
+    for c in coefs[1:]:
+        out = f"({out}*{x}+{c!r})"
+    return out
+
+
+def sql_norm_cdf(x: str) -> str:
+    """Phi(x) for a column name or short expression; e-notation keeps the literals DOUBLE."""
+    a = f"abs({x})"
+    num, den = _horner([float(c) for c in normal.HART_NUM], a), _horner([float(c) for c in normal.HART_DEN], a)
+    num, den = f"CAST({num} AS DOUBLE)", f"CAST({den} AS DOUBLE)"
+    frac = f"({a}+0.65::DOUBLE)"
+    for k in (4, 3, 2, 1):
+        frac = f"({a}+{k}::DOUBLE/{frac})"
+    e = f"exp(-{a}*{a}/2)"
+    tail = (f"(case when {a} > 37 then 0::DOUBLE when {a} < {normal.HART_SPLIT!r} then {e}*{num}/{den} "
+            f"else {e}/{frac}/{normal.SQRT_2PI!r} end)")
+    return f"(case when {x} > 0 then 1-{tail} else {tail} end)"
+
+
+def sql_norm_pdf(x: str) -> str:
+    return f"(exp(-({x})*({x})/2)/{normal.SQRT_2PI!r})"
+
+
+def sql_norm_ppf(p: str) -> str:
+    def ratio(pair, r):
+        return f"(CAST({_horner([float(c) for c in pair[0]], r)} AS DOUBLE)/CAST({_horner([float(c) for c in pair[1]], r)} AS DOUBLE))"
+    q = f"({p}-0.5::DOUBLE)"
+    r = f"sqrt(-ln(least({p},1-{p})))"
+    centre = f"{q}*{ratio(normal.AS241_CENTRE, f'(0.180625::DOUBLE-{q}*{q})')}"
+    outer = f"(case when {r} <= 5 then {ratio(normal.AS241_MIDDLE, f'({r}-1.6::DOUBLE)')} else {ratio(normal.AS241_TAIL, f'({r}-5)')} end)"
+    return f"(case when abs({q}) <= 0.425 then {centre} when {q} < 0 then -{outer} else {outer} end)"
+
+
+# ---- path tables: simple regressions between four individual scores, one model per segment -----------------
+
+NODES = ["sa", "sb", "sc", "sd"]
+COMPLETE = SCORES.replace("segment, nation, (q1", "segment, nation, balance / 10000 as sd, (q1") + """,
+  complete as (select * from scores where sc is not null)"""
+PATHS = COMPLETE + ", paths as (" + " union all ".join(
+    f"""select segment as model, '{l}' as lval, '{r}' as rval, regr_slope({l}, {r}) as estimate,
+  sqrt((1 - corr({l}, {r}) * corr({l}, {r})) * var_samp({l}) / var_samp({r}) / (count(*) - 2)) as std_err
+  from complete group by segment""" for r, l in permutations(NODES, 2)) + ")"
+
+
+def complete_scores(t: Tables) -> DataFrame:
+    sd = t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000).alias("sd"))
+    return scores(t).join(sd, "id").filter("sc is not null")
+
+
+def paths(t: Tables) -> DataFrame:
+    edges = list(permutations(NODES, 2))
+    wide = complete_scores(t).groupBy(F.col("segment").alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.var_samp(c).alias(f"v_{c}") for c in NODES],
+        *[F.covar_samp(r, l).alias(f"c_{r}_{l}") for r, l in edges])
+    rows = []
+    for r, l in edges:
+        c, vr, vl = F.col(f"c_{r}_{l}"), F.col(f"v_{r}"), F.col(f"v_{l}")
+        rows.append({"lval": F.lit(l), "rval": F.lit(r), "estimate": c / vr,
+                     "std_err": F.sqrt((1 - c * c / vr / vl) * vl / vr / (F.col("n") - 2))})
+    return inline(wide, ["model"], rows)
+
+
+def nodes(t: Tables) -> DataFrame:
+    per = complete_scores(t).groupBy(F.col("segment").alias("model")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select("model", F.explode(F.array(*[F.lit(n) for n in NODES])).alias("node"))
+
+
+# ---- result rows of estimated models -------------------------------------------------------------------------
+
+PARAM_NAMES = {"ECONOMY": "theta_sugar_purchase_intention", "SMALL": "gamma_sugar_purchase_intention_price",
+               "PROMO": "theta_sugar_free_nutrition_knowledge", "LARGE": "gamma_sugar_free_nutrition_knowledge_price",
+               "MEDIUM": "beta_price", "STANDARD": "asc_sugar"}
+RESULTS = RUNS + """, z as (select run, parameter, estimate - 0.05 as b, std_error, (estimate - 0.05) / std_error as z from runs),
+  results as (select run, 'Parameters' as section, case parameter """ + " ".join(
+    f"when '{k}' then '{v}'" for k, v in PARAM_NAMES.items()) + f""" end as parameter,
+    b as estimate, std_error, 2 * {sql_norm_cdf('(-abs(z))')} as p_value from z
+  union all select run, 'Model_Fit', 'LL', -sum(n) / 10.0::DOUBLE, null, null from runs group by run
+  union all select run, 'Model_Fit', 'AIC', sum(n) / 5.0::DOUBLE + 2 * count(*), null, null from runs group by run
+  union all select run, 'Model_Fit', 'BIC', sum(n) / 5.0::DOUBLE + ln(sum(n)) * count(*), null, null from runs group by run)"""
+
+
+def results(t: Tables) -> DataFrame:
+    r = runs(t)
+    names = F.create_map(*[F.lit(x) for kv in PARAM_NAMES.items() for x in kv])
+    b = F.col("estimate") - 0.05
+    params = r.select("run", F.lit("Parameters").alias("section"), names[F.col("parameter")].alias("parameter"), b.alias("estimate"),
+                      "std_error", two_sided_p(b / F.col("std_error")).alias("p_value"))
+    per = r.groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    n, k = F.col("n"), F.col("k")
+    none = F.lit(None).cast("double")
+    fit = [{"section": F.lit("Model_Fit"), "parameter": F.lit(name), "estimate": v, "std_error": none, "p_value": none}
+           for name, v in (("LL", -n / 10), ("AIC", n / 5 + 2 * k), ("BIC", n / 5 + F.log(n) * k))]
+    return params.unionByName(inline(per, ["run"], fit))
+
+
+# ---- item loadings --------------------------------------------------------------------------------------------
+
+LOADINGS = ITEMS + ", loadings as (" + " union all ".join(
+    f"select '{f}' as factor, '{q}' as item, corr({q}, {' + '.join(cols)}) as loading from items" for f, cols in FACTORS.items() for q in cols) + ")"

@@ -14,7 +14,7 @@ def local_session(cores: int | str = "*", app: str = "choicefield") -> SparkSess
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", "12g")
-            .config("spark.ui.enabled", "false")
+            .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
 
 
