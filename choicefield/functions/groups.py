@@ -1,16 +1,17 @@
 """Ordered and grouped primitives that stay spread out when one group is huge.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task. The
-helpers here give the same values, but groups above ``hot_rows`` rows are cut:
-
-* ``with_group_values`` - group aggregates on each row; the totals of hot groups
-  come from a (partially combined) aggregate instead of the window;
-* ``ordered_scan`` - row number, lag, running sum and running maximum; hot groups
-  are cut into order ranges, and each range starts from the totals of the ones before;
+A plain ``Window.partitionBy(key)`` puts every row of a key into one task. The helpers here ask first
+(one sketch aggregate over the key column) whether any group is that large. If not, they are the plain
+window. If so, hot groups are cut:
+
+* ``with_group_values`` - group aggregates on each row; the totals of hot groups come from a partially
+  combined aggregate instead of the window;
+* ``ordered_scan`` - row number, lag, running sum and running maximum; hot groups are cut into order
+  ranges, and each range starts from the totals of the ranges before it;
 * ``exact_quantiles`` - linear-interpolated quantiles from running value counts.
 
-The only tables broadcast are the hot groups' own totals: at most
-rows / ``hot_rows`` groups, so their size is bounded whatever the data is.
+Both ways give the same values. What is broadcast are the hot groups' own totals and ranges: at most
+rows / ``hot_rows`` groups of 1024 ranges, whatever the data is.
 """
 
 from __future__ import annotations
@@ -20,6 +21,16 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 COARSE = FINE = 32
+RANGES = COARSE * FINE
+
+
+def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> bool:
+    """Does the largest group exceed ``hot_rows`` rows? A frequent-items sketch never underestimates a count."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if not keys:
+        return df.select(F.lit(1)).limit(hot_rows + 1).count() > hot_rows
+    top = df.select(F.xxhash64(*keys).alias("k")).agg(F.count("k").alias("n"), F.expr("approx_top_k(k, 1, 10000)").alias("t")).first()
+    return top.n > hot_rows and bool(top.t) and top.t[0]["count"] > hot_rows
 
 
 def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
@@ -28,16 +39,20 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 
 def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      split: bool | None = None, hot_rows: int | None = None) -> DataFrame:
     """Each row with the aggregates of its group (``values``: name -> aggregate)."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if not (has_hot_group(df, keys, hot_rows) if split is None else split):
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[v.over(w).alias(n) for n, v in values.items()])
     tmp = {name: f"__t_{name}" for name in values}
     totals = (df.groupBy(*keys)
               .agg(F.count(F.lit(1)).alias("__n"), *[v.alias(tmp[n]) for n, v in values.items()])
               .filter(F.col("__n") > hot_rows))
-    salt = F.when(F.col("__n").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.lit(COARSE * FINE)))
-    joined = df.join(F.broadcast(totals), keys, "left").withColumn("__salt", F.coalesce(salt, F.lit(0)))
-    w = Window.partitionBy(*keys, "__salt")
     hot = F.col("__n").isNotNull()
+    salt = F.when(hot, F.pmod(F.xxhash64(*df.columns), F.lit(RANGES))).otherwise(0)
+    joined = df.join(F.broadcast(totals), keys, "left").withColumn("__salt", salt)
+    w = Window.partitionBy(*keys, "__salt")
     return joined.select(
         *df.columns,
         *[F.when(hot, F.col(tmp[n])).otherwise(v.over(w)).alias(n) for n, v in values.items()])
@@ -52,60 +67,81 @@ def _parse(df: DataFrame, order: list[str]):
     if df.schema[cols[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
         lead = F.unix_micros(lead.cast("timestamp"))
     lead = lead.cast("double")
-    return cols, sort, rank, (-lead if order[0].startswith("-") else lead)
+    return sort, rank, (-lead if order[0].startswith("-") else lead)
+
+
+def _into_ranges(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Adds ``__range`` (0 .. 1023 along ``__lead`` for hot groups, -1 for all others)."""
+    probs = [i / RANGES for i in range(1, RANGES)]
+    cut = F.percentile_approx("__lead", probs, 10_000).alias("__cuts")
+    if keys:
+        hot = df.join(F.broadcast(_hot_keys(df, keys, hot_rows)), keys, "left_semi")
+        cuts = hot.groupBy(*keys).agg(cut)
+        df = df.join(F.broadcast(cuts), keys, "left")
+    else:
+        df = df.withColumn("__cuts", df.agg(cut).scalar())
+    # two short searches instead of one long one: first among every 32nd cut, then among the 31 after it
+    df = df.withColumn("__coarse", F.expr(f"transform(sequence(1, {COARSE - 1}), i -> __cuts[i * {FINE} - 1])"))
+    df = df.withColumn("__step", F.expr("size(filter(__coarse, c -> c < __lead))"))
+    fine = F.expr(f"__step * {FINE} + size(filter(slice(__cuts, __step * {FINE} + 1, {FINE - 1}), c -> c < __lead))")
+    return (df.withColumn("__range", F.when(F.col("__cuts").isNull(), -1).otherwise(fine))
+            .drop("__cuts", "__coarse", "__step"))
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, number: str | None = None,
                  lag: dict[str, str] | None = None, run_sum: dict[str, str] | None = None,
-                 run_max: dict[str, str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Row number / lag / running sum / running max within ``keys`` along ``order``.
+                 run_max: dict[str, str] | None = None, max_before: dict[str, str] | None = None,
+                 split: bool | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Row number / lag / running sum / running max (up to, or strictly before, the row) within ``keys``.
 
-    ``order`` names non-null columns ("-x" = descending) and must be a total order; the first
-    one is a number, date or timestamp (and so is every descending one). Without keys the whole
-    table is one group and is always cut into ranges.
+    ``order`` names non-null columns ("-x" = descending) and must be a total order; the first one is a number,
+    date or timestamp, and so is every descending one.
     """
-    lag, run_sum, run_max = lag or {}, run_sum or {}, run_max or {}
-    _, sort, rank, lead = _parse(df, order)
-    keyed = df if keys else df.withColumn("__all", F.lit(0))
-    groups = keys or ["__all"]
-    keyed = keyed.withColumn("__lead", lead)
-
-    probs = [i / (COARSE * FINE) for i in range(1, COARSE * FINE)]
-    hot_part = keyed if not keys else keyed.join(F.broadcast(_hot_keys(df, keys, hot_rows)), keys, "left_semi")
-    cuts = (hot_part.groupBy(*groups).agg(F.percentile_approx("__lead", probs, 10_000).alias("__cuts"))
-            .withColumn("__coarse", F.expr(f"transform(sequence(1, {COARSE - 1}), i -> __cuts[i * {FINE} - 1])")))
-    bucketed = keyed.join(F.broadcast(cuts), groups, "left")
-    step = F.expr("size(filter(__coarse, c -> c < __lead))")
-    bucketed = bucketed.withColumn("__step", F.when(F.col("__cuts").isNotNull(), step))
-    inner = F.expr(f"__step * {FINE} + size(filter(slice(__cuts, __step * {FINE} + 1, {FINE - 1}), c -> c < __lead))")
-    bucketed = bucketed.withColumn("__bucket", F.coalesce(inner, F.lit(0)))
-
-    prior = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = [F.count(F.lit(1)).alias("p_n")]
-    carry = [F.sum("p_n").over(prior).alias("__c_n")]
-    for out, c in lag.items():
-        parts.append(F.max_by(F.struct(F.col(c).alias("v")), rank).alias(f"p_{out}"))
-        carry.append(F.lag(f"p_{out}").over(Window.partitionBy(*groups).orderBy("__bucket")).alias(f"__c_{out}"))
-    for how, items in ((F.sum, run_sum), (F.max, run_max)):
-        for out, c in items.items():
-            parts.append(how(c).alias(f"p_{out}"))
-            carry.append(how(f"p_{out}").over(prior).alias(f"__c_{out}"))
-    ranges = (bucketed.filter(F.col("__cuts").isNotNull()).groupBy(*groups, "__bucket").agg(*parts)
-              .select(*groups, "__bucket", *carry))
-
-    here = Window.partitionBy(*groups, "__bucket").orderBy(*sort)
+    lag, run_sum, run_max, max_before = lag or {}, run_sum or {}, run_max or {}, max_before or {}
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    split = has_hot_group(df, keys, hot_rows) if split is None else split
+    sort, rank, lead = _parse(df, order)
+    groups = list(keys)
+    if split:
+        groups.append("__range")
+        ranged = _into_ranges(df.withColumn("__lead", lead), keys, hot_rows)
+    else:
+        ranged = df
+    here = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*sort)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+
+    if split:
+        along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
+        prior = along.rowsBetween(Window.unboundedPreceding, -1)
+        parts, carry = [F.count(F.lit(1)).alias("p_n")], [F.sum("p_n").over(prior).alias("__c_n")]
+        for out, c in lag.items():
+            parts.append(F.max_by(F.struct(F.col(c).alias("v")), rank).alias(f"p_{out}"))
+            carry.append(F.lag(f"p_{out}").over(along)["v"].alias(f"__c_{out}"))
+        for how, items in ((F.sum, run_sum), (F.max, run_max), (F.max, max_before)):
+            for out, c in items.items():
+                parts.append(how(c).alias(f"p_{out}"))
+                carry.append(how(f"p_{out}").over(prior).alias(f"__c_{out}"))
+        ranges = ranged.filter("__range >= 0").groupBy(*groups).agg(*parts).select(*groups, *carry)
+        ranged = ranged.join(F.broadcast(ranges), groups, "left")
+
+    def carried(value: Column, out: str, join) -> Column:
+        return join(value, F.col(f"__c_{out}")) if split else value
+
+    def plus(a: Column, b: Column) -> Column:
+        return F.coalesce(a + b, a, b)
     out_cols = []
     if number:
-        out_cols.append((F.row_number().over(here) + F.coalesce(F.col("__c_n"), F.lit(0))).cast("bigint").alias(number))
+        out_cols.append(carried(F.row_number().over(here), "n", plus).cast("bigint").alias(number))
     for out, c in lag.items():
-        first = F.row_number().over(here) == 1
-        out_cols.append(F.when(first, F.col(f"__c_{out}.v")).otherwise(F.lag(c).over(here)).alias(out))
-    for out, c in run_sum.items():
-        out_cols.append((F.sum(c).over(upto) + F.coalesce(F.col(f"__c_{out}"), F.lit(0))).alias(out))
-    for out, c in run_max.items():
-        out_cols.append(F.greatest(F.max(c).over(upto), F.col(f"__c_{out}")).alias(out))
-    return bucketed.join(F.broadcast(ranges), [*groups, "__bucket"], "left").select(*df.columns, *out_cols)
+        value = F.lag(c).over(here)
+        if split:
+            value = F.when(F.row_number().over(here) == 1, F.col(f"__c_{out}")).otherwise(value)
+        out_cols.append(value.alias(out))
+    out_cols += [carried(F.sum(c).over(upto), out, plus).alias(out) for out, c in run_sum.items()]
+    out_cols += [carried(F.max(c).over(upto), out, F.greatest).alias(out) for out, c in run_max.items()]
+    out_cols += [carried(F.max(c).over(before), out, F.greatest).alias(out) for out, c in max_before.items()]
+    return ranged.select(*df.columns, *out_cols)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -133,13 +169,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .alias(n) for n in probs])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return ordered_scan(df, keys, order, number=name, hot_rows=hot_rows)
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, split: bool | None = None,
+             hot_rows: int | None = None) -> DataFrame:
+    return ordered_scan(df, keys, order, number=name, split=split, hot_rows=hot_rows)
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, name: str | None = None) -> DataFrame:
     """First ``n`` rows per group. Spark turns the rank filter into a per-task group limit before the shuffle."""
-    _, sort, _, _ = _parse(df, order)
+    sort, _, _ = _parse(df, order)
     rn = name or "__rn"
     out = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))).filter(F.col(rn) <= n)
     return out if name else out.drop(rn)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import first_n, numbered, ordered_scan
+from ..functions.groups import first_n, has_hot_group, numbered, ordered_scan
 from ..functions.scalars import count_if, safe_div
+from ..session import stored
 
 
 def alt_index(long: DataFrame, keys: list[str], order: list[str], name: str = "alt_index") -> DataFrame:
@@ -69,11 +70,11 @@ def early_stop_point(trace: DataFrame, run: str, order: list[str], ll: str, pati
     ``tol`` is a gain for sure and sets the best value. Rows that raise the maximum by less can add up to a
     gain; only those few are folded in order, within the stretch that follows a sure gain.
     """
-    step = numbered(trace, [run], order, "step")
-    top = ordered_scan(step, [run], ["step"], run_max={"__top": ll})
-    prev = ordered_scan(top, [run], ["step"], lag={"__prev": "__top"})
+    split = has_hot_group(trace, [run])
+    step = stored(ordered_scan(trace, [run], order, number="step", max_before={"__prev": ll}, split=split), "steps")
     sure = F.col("__prev").isNull() | (F.col(ll) > F.col("__prev") + tol)
-    rows = ordered_scan(prev.withColumn("__sure", F.when(sure, F.col("step"))), [run], ["step"], run_max={"__seg": "__sure"})
+    rows = stored(ordered_scan(step.withColumn("__sure", F.when(sure, F.col("step"))), [run], ["step"],
+                               run_max={"__seg": "__sure"}, split=split), "gains")
 
     base = rows.filter(F.col("__sure").isNotNull()).select(run, "__seg", F.col(ll).alias("__base"))
     creeping = (rows.filter(F.col("__sure").isNull() & (F.col(ll) > F.col("__prev")))
@@ -89,7 +90,7 @@ def early_stop_point(trace: DataFrame, run: str, order: list[str], ll: str, pati
     marked = (rows.join(late, [run, "step"], "left")
               .withColumn("__gain", F.when(F.col("__sure").isNotNull() | F.col("__late").isNotNull(), F.col("step")))
               .withColumn("__gain_ll", F.when(F.col("__gain").isNotNull(), F.col(ll))))
-    last = ordered_scan(marked, [run], ["step"], run_max={"__last": "__gain", "best_ll": "__gain_ll"})
+    last = ordered_scan(marked, [run], ["step"], run_max={"__last": "__gain", "best_ll": "__gain_ll"}, split=split)
     waiting = last.withColumn("waited", F.col("step") - F.col("__last"))
     stop = waiting.filter(F.col("waited") >= patience).groupBy(run).agg(F.min("step").alias("stop_step"),
                                                                         F.min_by("best_ll", "step").alias("best_ll"))

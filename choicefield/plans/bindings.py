@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normal
-from ..functions.groups import numbered, with_group_values
+from ..functions.groups import has_hot_group, numbered, with_group_values
 from ..functions.normal import two_sided_p
 from ..operators.stats import inline
 from .registry import Tables
@@ -40,12 +40,14 @@ SCALED = LONG + """, scaled as (
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def lines(t: Tables) -> DataFrame:
-    """Order lines with a 0/1 mark on the line of largest quantity of each order."""
+def lines(t: Tables, number: bool) -> DataFrame:
+    """Order lines with a 0/1 mark on the line of largest quantity of each order, and their position."""
     line = t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag", "l_discount", "l_tax", *LINE_ORDER)
+    split = has_hot_group(line, ["l_orderkey"])
     key = F.struct((-F.col("l_quantity")).alias("q"), *LINE_ORDER)
-    best = with_group_values(line, ["l_orderkey"], {"best": F.min(key)})
-    return best.withColumn("chosen", (F.col("best") == key).cast("int"))
+    best = with_group_values(line, ["l_orderkey"], {"best": F.min(key)}, split=split)
+    best = best.withColumn("chosen", (F.col("best") == key).cast("int")).drop("best")
+    return numbered(best, ["l_orderkey"], LINE_ORDER, "alt", split=split) if number else best
 
 
 def _named(df: DataFrame, t: Tables, *extra) -> DataFrame:
@@ -58,11 +60,11 @@ def _named(df: DataFrame, t: Tables, *extra) -> DataFrame:
 
 def choice_rows(t: Tables) -> DataFrame:
     """Long choice table without the position column (saves one window where it is not needed)."""
-    return _named(lines(t), t)
+    return _named(lines(t, False), t)
 
 
 def choice_long(t: Tables) -> DataFrame:
-    return _named(numbered(lines(t), ["l_orderkey"], LINE_ORDER, "alt"), t, "alt")
+    return _named(lines(t, True), t, "alt")
 
 
 def with_opt_out(long: DataFrame) -> DataFrame:
