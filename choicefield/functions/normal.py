@@ -1,14 +1,15 @@
 """Normal density, distribution and quantile as pure Column expressions.
 
 Spark has no ``erf``; the rational approximations below are good to about
-1e-15 (absolute) and stay inside whole-stage codegen.
+1e-15 (absolute) and stay inside whole-stage codegen. They mention their argument
+about 25 times, so give them a column, not a long expression (``withColumn`` first).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hart's double-precision rational for the normal integral.
@@ -61,7 +62,8 @@ def norm_cdf(x: Column) -> Column:
     for k in (4.0, 3.0, 2.0, 1.0):
         frac = a + F.lit(k) / frac
     tail = F.when(a > 37.0, 0.0).when(a < HART_SPLIT, near).otherwise(e / frac / SQRT_2PI)
-    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+    # |1 - tail| above 0, |0 - tail| below: the long expression appears once
+    return F.abs(F.when(x > 0, 1.0).otherwise(0.0) - tail)
 
 
 def two_sided_p(z: Column) -> Column:
@@ -69,14 +71,27 @@ def two_sided_p(z: Column) -> Column:
     return 2.0 * norm_cdf(-F.abs(z))
 
 
-def norm_ppf(p: Column) -> Column:
-    q = p - 0.5
+def _ppf(p: Column, q: Column, r: Column) -> Column:
     rc = 0.180625 - q * q
     centre = q * _poly(AS241_CENTRE[0], rc) / _poly(AS241_CENTRE[1], rc)
-    r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
     middle = _poly(AS241_MIDDLE[0], r - 1.6) / _poly(AS241_MIDDLE[1], r - 1.6)
     tail = _poly(AS241_TAIL[0], r - 5.0) / _poly(AS241_TAIL[1], r - 5.0)
     outer = F.when(r <= 5.0, middle).otherwise(tail)
     return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-            .when(F.abs(q) <= 0.425, centre)
-            .otherwise(F.when(q < 0, -outer).otherwise(outer)))
+            .when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * outer))
+
+
+def _tail_arg(p: Column) -> Column:
+    return F.sqrt(-F.log(F.least(p, 1.0 - p)))
+
+
+def norm_ppf(p: Column) -> Column:
+    return _ppf(p, p - 0.5, _tail_arg(p))
+
+
+def with_normals(df: DataFrame, uniforms: dict[str, Column]) -> DataFrame:
+    """Adds name = Phi^-1(uniform); uniform, tail argument and quantile are separate projections."""
+    out = df.withColumns({f"__u_{n}": u for n, u in uniforms.items()})
+    out = out.withColumns({f"__r_{n}": _tail_arg(F.col(f"__u_{n}")) for n in uniforms})
+    out = out.withColumns({n: _ppf(F.col(f"__u_{n}"), F.col(f"__u_{n}") - 0.5, F.col(f"__r_{n}")) for n in uniforms})
+    return out.drop(*[f"__{x}_{n}" for n in uniforms for x in ("u", "r")])

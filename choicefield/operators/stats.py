@@ -16,7 +16,7 @@ from ..functions.scalars import add, count_if, safe_div
 from ..functions.tails import chi2_sf, t_two_sided
 from .encode import _attach, bin_tertile
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def inline(df: DataFrame, keys: list[str], rows: list[dict[str, Column]]) -> DataFrame:
