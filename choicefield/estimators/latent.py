@@ -135,7 +135,12 @@ def _rows(model: _Model, s: np.ndarray, n: int):
     rows = []
     for j, (kind, r, c) in enumerate(model.free):
         se = math.sqrt(max(cov[j, j], 0.0))
-        scale = {"L": sd_f[c] / sd_i[r], "T": 1 / sd_i[r] ** 2, "B": sd_f[c] / sd_f[r], "P": 1 / (sd_f[r] * sd_f[c])}[kind]
+        if kind == "L":
+            scale = sd_f[c] / sd_i[r]
+        elif kind == "T":
+            scale = 1 / sd_i[r] ** 2
+        else:
+            scale = sd_f[c] / sd_f[r] if kind == "B" else 1 / (sd_f[r] * sd_f[c])
         z = theta[j] / se if se > 0 else None
         rows.append((*model.name(kind, r, c), theta[j], se, z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, theta[j] * scale))
     for r, c in zip(*np.nonzero(model.L0)):
@@ -261,7 +266,7 @@ def factor_corr_model(params: DataFrame, keys: list[str] = ()) -> DataFrame:
     v2 = var.select(*keys, F.col("rval"), F.col("estimate").alias("v2"))
     up = cov.join(v1, [*keys, "lval"]).join(v2, [*keys, "rval"]).select(
         *keys, F.col("lval").alias("var1"), F.col("rval").alias("var2"), (F.col("estimate") / F.sqrt(F.col("v1") * F.col("v2"))).alias("r"), "p_value")
-    return up.unionByName(up.withColumnsRenamed({"var1": "var2", "var2": "var1"}))
+    return up.unionByName(up.select(*keys, F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r", "p_value"))
 
 
 def residual_cov(observed: DataFrame, implied: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -157,4 +157,4 @@ def moderation_sweep(df: DataFrame, columns: list[str]) -> DataFrame:
                               F.col(m).cast("double").alias("vm"), F.col(y).cast("double").alias("vy")) for x, m, y in triples])
     long = df.select(F.explode(rows).alias("t")).select("t.*")
     fit = moderation_fit(long, "vx", "vm", "vy", ["x", "m", "y"]).filter("term = 'xm'").select("x", "m", "y", "estimate", "std_err", "p_value", "r2", "n")
-    return fit.unionByName(fit.withColumnsRenamed({"x": "m", "m": "x"}))
+    return fit.unionByName(fit.select(F.col("m").alias("x"), F.col("x").alias("m"), *fit.columns[2:]))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-MODULES = ["prep", "reshape", "describe", "traces"]
+MODULES = ["prep", "reshape", "describe", "traces", "choice", "inference", "estimate"]
 
 
 def load() -> dict[str, Query]:
