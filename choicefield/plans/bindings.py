@@ -247,7 +247,7 @@ def nodes(t: Tables) -> DataFrame:
 PARAM_NAMES = {"ECONOMY": "theta_sugar_purchase_intention", "SMALL": "gamma_sugar_purchase_intention_price",
                "PROMO": "theta_sugar_free_nutrition_knowledge", "LARGE": "gamma_sugar_free_nutrition_knowledge_price",
                "MEDIUM": "beta_price", "STANDARD": "asc_sugar"}
-RESULTS = RUNS + """, z as (select run, parameter, estimate - 0.05 as b, std_error, (estimate - 0.05) / std_error as z from runs),
+RESULTS = RUNS + """, z as (select run, parameter, estimate - 0.0497123 as b, std_error, (estimate - 0.0497123) / std_error as z from runs),
   results as (select run, 'Parameters' as section, case parameter """ + " ".join(
     f"when '{k}' then '{v}'" for k, v in PARAM_NAMES.items()) + f""" end as parameter,
     b as estimate, std_error, 2 * {sql_norm_cdf('(-abs(z))')} as p_value from z
@@ -259,7 +259,7 @@ RESULTS = RUNS + """, z as (select run, parameter, estimate - 0.05 as b, std_err
 def results(t: Tables) -> DataFrame:
     r = runs(t)
     names = F.create_map(*[F.lit(x) for kv in PARAM_NAMES.items() for x in kv])
-    b = F.col("estimate") - 0.05
+    b = F.col("estimate") - 0.0497123
     params = r.select("run", F.lit("Parameters").alias("section"), names[F.col("parameter")].alias("parameter"), b.alias("estimate"),
                       "std_error", two_sided_p(b / F.col("std_error")).alias("p_value"))
     per = r.groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))

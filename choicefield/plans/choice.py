@@ -40,14 +40,14 @@ def _(t):
 # ---- utilities -------------------------------------------------------------------------------------------
 
 
-@query("component_utility", doubles="sugar label price_part", sql=f"""with {RICH} select sid, count(*) as n, sum(0.8::DOUBLE * a + 0.3::DOUBLE * a * h) as sugar, sum(0.5::DOUBLE * h) as label, sum(-0.00001::DOUBLE * price) as price_part from rich group by sid""")
+@query("component_utility", doubles="sugar:10 label:10 price_part:10", sql=f"""with {RICH} select sid, count(*) as n, sum(0.8::DOUBLE * a + 0.3::DOUBLE * a * h) as sugar, sum(0.5::DOUBLE * h) as label, sum(-0.00001::DOUBLE * price) as price_part from rich group by sid""")
 def _(t):
     df = rich(t).select("sid", utility.component_utility({"a": 0.8}, {("a", "h"): 0.3}).alias("sugar"), utility.component_utility({"h": 0.5}).alias("label"),
                         utility.component_utility({"price": -0.00001}).alias("price_part"))
     return df.groupBy("sid").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("sugar", "label", "price_part")])
 
 
-@query("factor_utility", doubles="u", sql=f"""with {RICH} select sid, count(*) as n, sum(0.5 * coalesce(0.4::DOUBLE * sa + 0.1::DOUBLE * sa * a + 0.2::DOUBLE * sa * h - 0.000001::DOUBLE * sa * price, 0)) as u from rich group by sid""")
+@query("factor_utility", doubles="u:12", sql=f"""with {RICH} select sid, count(*) as n, sum(0.5 * coalesce(0.4::DOUBLE * sa + 0.1::DOUBLE * sa * a + 0.2::DOUBLE * sa * h - 0.000001::DOUBLE * sa * price, 0)) as u from rich group by sid""")
 def _(t):
     df = rich(t).select("sid", utility.factor_utility("sa", 0.4, {"a": 0.1, "h": 0.2, "price": -0.000001}, 0.5).alias("u"))
     return df.groupBy("sid").agg(F.count("*").alias("n"), F.sum("u").alias("u"))

@@ -186,7 +186,7 @@ def _(t):
     return logs.param_trace_rows(logs.blocks_of(df, "text", logs.TRACE_MARK, ["run"]), ["run"])
 
 
-@query("write_results", doubles="estimate:9 std_error:9", sql=f"""with {RUNS}
+@query("write_results", doubles="estimate:13 std_error:13", sql=f"""with {RUNS}
   select run, parameter, estimate, std_error, 'mean_discount' as analysis, '20250101_000000' as run_ts from runs""")
 def _(t):
     path = fresh_path(t.spark, "results")

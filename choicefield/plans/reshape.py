@@ -153,7 +153,7 @@ def _(t):
     return shape.compare_fit(_fit(t, "sa"), _fit(t, "sb"), ["segment", "metric"])
 
 
-@query("compare_estimates", doubles="before:9 after:9 difference:9 percent:4", sql=f"""with {RUNS}, a as (select run, parameter, estimate from runs where parameter <> 'SMALL'),
+@query("compare_estimates", doubles="before:13 after:13 difference:13 percent:4", sql=f"""with {RUNS}, a as (select run, parameter, estimate from runs where parameter <> 'SMALL'),
   b as (select run, parameter, std_error from runs where parameter <> 'LARGE')
   select run, parameter, estimate as before, std_error as after, std_error - estimate as difference, 100 * (std_error - estimate) / nullif(abs(estimate), 0) as percent,
     sign(estimate) * sign(std_error) < 0 as sign_differs from a full join b using (run, parameter)""")

@@ -154,26 +154,26 @@ def _(t):
     return models.path_summary(p, "lval", "estimate", "p_value")
 
 
-@query("t_and_p", doubles="estimate:9 std_error:9 t p_value:9", sql=f"with {RUNS}, z as (select run, parameter, estimate, std_error, estimate / std_error as t from runs) select *, 2 * {sql_norm_cdf('(-abs(t))')} as p_value from z")
+@query("t_and_p", doubles="estimate:13 std_error:13 t p_value:9", sql=f"with {RUNS}, z as (select run, parameter, estimate, std_error, estimate / std_error as t from runs) select *, 2 * {sql_norm_cdf('(-abs(t))')} as p_value from z")
 def _(t):
     return models.t_and_p(runs(t).select("run", "parameter", "estimate", "std_error"), "estimate", "std_error")
 
 
-_COEF = RUNS + """, z as (select run, parameter, estimate - 0.05 as estimate, std_error, (estimate - 0.05) / std_error as z from runs)"""
+_COEF = RUNS + """, z as (select run, parameter, estimate - 0.0497123 as estimate, std_error, (estimate - 0.0497123) / std_error as z from runs)"""
 
 
 def _coefs(t):
-    return runs(t).select("run", "parameter", (F.col("estimate") - 0.05).alias("estimate"), "std_error")
+    return runs(t).select("run", "parameter", (F.col("estimate") - 0.0497123).alias("estimate"), "std_error")
 
 
-@query("coef_table", doubles="estimate:9 std_error:9 z p_value:9 ci_low:9 ci_high:9", sql=f"""with {_COEF}, p as (select *, 2 * {sql_norm_cdf('(-abs(z))')} as p_value from z)
+@query("coef_table", doubles="estimate:13 std_error:13 z p_value:9 ci_low:9 ci_high:9", sql=f"""with {_COEF}, p as (select *, 2 * {sql_norm_cdf('(-abs(z))')} as p_value from z)
   select *, estimate - 1.959963984540054 * std_error as ci_low, estimate + 1.959963984540054 * std_error as ci_high,
     case when p_value < 0.001 then '***' when p_value < 0.01 then '**' when p_value < 0.05 then '*' else '' end as stars from p""")
 def _(t):
     return models.coef_table(_coefs(t), "estimate", "std_error")
 
 
-@query("odds_ratios", doubles="estimate:9 std_error:9 odds_ratio or_low or_high", sql=f"""with {_COEF} select run, parameter, estimate, std_error, exp(estimate) as odds_ratio, exp(estimate - 1.959963984540054 * std_error) as or_low,
+@query("odds_ratios", doubles="estimate:13 std_error:13 odds_ratio or_low or_high", sql=f"""with {_COEF} select run, parameter, estimate, std_error, exp(estimate) as odds_ratio, exp(estimate - 1.959963984540054 * std_error) as or_low,
   exp(estimate + 1.959963984540054 * std_error) as or_high, case when estimate > 0 then 'increases' when estimate < 0 then 'decreases' else 'no effect' end as direction from z""")
 def _(t):
     return models.odds_ratios(_coefs(t), "estimate", "std_error")
