@@ -9,7 +9,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import has_hot_group
 from ..functions.normal import norm_cdf, norm_pdf
 from ..functions.scalars import add, clip_prob
 from ..operators import kernels, measurement, utility
@@ -23,10 +22,10 @@ def _cached(df: DataFrame) -> DataFrame:
 
 
 def prepare_mnl(df: DataFrame, set_keys: list[str], attrs: list[str], chosen: str, key: str | None = None) -> DataFrame:
-    """Difference design, one shuffle: placed by choice set so that no step shuffles rows again. When a set is
-    above the hot limit the rows stay where they are and each step combines partial sums instead."""
-    rel = kernels.relative_design(df, set_keys, attrs, chosen, [key] if key else [])
-    return _cached(rel if has_hot_group(rel, set_keys) else rel.repartition(*set_keys))
+    """Difference design, kept. Building it placed the rows by choice set (one shuffle), and the cache remembers that:
+    a step aggregates by set without shuffling rows. Sets above the hot limit were salted; for those a step
+    shuffles partial sums."""
+    return _cached(kernels.relative_design(df, set_keys, attrs, chosen, [key] if key else []))
 
 
 def _pairs(names):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from ..functions.groups import exact_quantiles, ordered_scan
 from ..functions.normal import norm_cdf, norm_ppf, two_sided_p, with_normals
 from ..functions.scalars import count_if, hash_unit, safe_div
 from ..functions.tails import t_two_sided
-from ..session import stored
 from . import kernels
 
 
@@ -87,11 +87,14 @@ def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[
     """
     names = list(start)
     products = products or {}
-    base = rel.join(weights, key)
-    if scores is not None:
-        base = base.join(scores, ["replicate", key])
-        base = base.withColumns({f"d_{n}": F.col(s) * F.col(f"d_{a}") for n, (s, a) in products.items()})
-    rows = stored(base.select("replicate", *dict.fromkeys([key, *set_keys]), F.col("w").cast("double").alias("w"), *[f"d_{a}" for a in names]), "replicates")
+    level = StorageLevel.MEMORY_AND_DISK
+    design, keys = kernels.cluster_by_individual(rel, key, set_keys)
+    drawn = weights if scores is None else weights.join(scores, ["replicate", key])
+    drawn = kernels.spread(drawn, keys).repartition(*keys).persist(level)
+    design = design.persist(level)
+    # rows meet their weights inside the partition of the individual in every step; replicates are never stored
+    rows = design.join(drawn, keys).withColumn("w", F.col("w").cast("double"))
+    rows = rows.withColumns({f"d_{n}": F.col(s) * F.col(f"d_{a}") for n, (s, a) in products.items()})
     spark = rel.sparkSession
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     theta = {r.replicate: np.array([start[a] for a in names]) for r in weights.select("replicate").distinct().collect()}
@@ -105,7 +108,7 @@ def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[
             t = F.col(f"b_{a}") * F.col(f"d_{a}")
             v = t if v is None else v + t
         e = rows.join(F.broadcast(betas), "replicate").withColumn("__e", F.exp(F.least(v, F.lit(kernels.MAX_EXPONENT))))
-        sets = e.groupBy("replicate", *dict.fromkeys([key, *set_keys])).agg(
+        sets = e.groupBy("replicate", *dict.fromkeys([*keys, *set_keys])).agg(
             F.max("w").alias("w"), F.sum("__e").alias("s"), *[F.sum(F.col("__e") * F.col(f"d_{a}")).alias(f"t_{a}") for a in names],
             *[F.sum(F.col("__e") * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"q_{a}_{b}") for a, b in pairs])
         g = {a: -F.col(f"t_{a}") / F.col("s") for a in names}
@@ -128,6 +131,8 @@ def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[
             theta[b] = theta[b] + move
         if not active:
             break
+    design.unpersist()
+    drawn.unpersist()
     out = [(int(b), a, float(done[b][i]) if b in done else None) for b in theta for i, a in enumerate(names)]
     return spark.createDataFrame(out, "replicate int, parameter string, value double")
 

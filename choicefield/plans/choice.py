@@ -67,17 +67,24 @@ def _(t):
     return describe_columns(df, ["sugar", "label", "total_utility"])
 
 
-@query("error_draw")
+def sql_uniform(*parts: str) -> str:
+    """The keyed uniform of ``hash_unit`` in SQL."""
+    text = " || ':' || ".join(parts)
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+@query("error_draw", doubles="gumbel:7 logistic:7 normal:7", sql=f"""with {LONG}, u as (select sid, alt, {sql_uniform('sid', 'alt', "'42'")} as u, {sql_uniform('sid', 'alt', "'43'")} as v from long)
+  select sid, alt, -ln(-ln(u)) as gumbel, 0.5::DOUBLE * ln(v / (1 - v)) as logistic, 2 * {sql_norm_ppf('v')} as normal from u""")
 def _(t):
-    df = utility.error_draw(choice_long(t).select("sid", "alt"), "gumbel", 1.0, ["sid", "alt"], 42)
-    return describe_columns(utility.error_draw(df, "normal", 2.0, ["sid", "alt"], 43, "error_normal"), ["error", "error_normal"])
+    df = utility.error_draw(choice_long(t).select("sid", "alt"), "gumbel", 1.0, ["sid", "alt"], 42, "gumbel")
+    df = utility.error_draw(df, "logistic", 0.5, ["sid", "alt"], 43, "logistic")
+    return utility.error_draw(df, "normal", 2.0, ["sid", "alt"], 43, "normal")
 
 
-@query("error_draw_correlated")
+@query("error_draw_correlated", doubles="error:7", sql=f"""with {LONG}, u as (select sid, alt, {sql_uniform('sid', "'common42'")} as u, {sql_uniform('sid', 'alt', "'own42'")} as v from long)
+  select sid, alt, 1.5::DOUBLE * (sqrt(0.6::DOUBLE) * {sql_norm_ppf('u')} + sqrt(0.4::DOUBLE) * {sql_norm_ppf('v')}) as error from u""")
 def _(t):
-    df = utility.error_draw_correlated(choice_long(t).select("sid", "alt"), 1.0, 0.6, ["sid"], "alt", 42)
-    two = df.groupBy("sid").agg(F.max(F.when(F.col("alt") == 1, F.col("error"))).alias("e1"), F.max(F.when(F.col("alt") == 2, F.col("error"))).alias("e2"))
-    return two.agg(F.corr("e1", "e2").alias("r"), F.stddev_samp("e1").alias("sd1"), F.count("e2").alias("n"))
+    return utility.error_draw_correlated(choice_long(t).select("sid", "alt"), 1.5, 0.6, ["sid"], "alt", 42)
 
 
 @query("logistic_prob", doubles="prob", sql=f"with {RICH} select sid, alt, 1 / (1 + exp(-u)) as prob from rich")
@@ -377,10 +384,10 @@ def _(t):
     return draws(t)
 
 
-@query("random_draws")
+@query("random_draws", doubles="z1:7 z2:7", sql=f"""with u as (select c_custkey as id, cast(r.range as integer) as r, {sql_uniform('c_custkey', 'r.range', "'0'", "'7'")} as u, {sql_uniform('c_custkey', 'r.range', "'1'", "'7'")} as v
+    from customer, range({R}) r) select id, r, {sql_norm_ppf('u')} as z1, {sql_norm_ppf('v')} as z2 from u""")
 def _(t):
-    d = kernels.random_draws(t.customer.select(F.col("c_custkey").alias("id")), "id", 20, 2, 7)
-    return d.agg(F.count("*").alias("n"), F.avg("z1").alias("mean1"), F.stddev_samp("z1").alias("sd1"), F.corr("z1", "z2").alias("r12"))
+    return kernels.random_draws(t.customer.select(F.col("c_custkey").alias("id")), "id", R, 2, 7)
 
 
 # logit with a random price coefficient: b = -0.05 + 0.1 z1

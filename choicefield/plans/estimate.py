@@ -73,6 +73,14 @@ def _(t):
     return pipeline.hybrid_analysis(_long(t), items(t), "id", ["sid"], ["p", "d", "buy"], FACTORS, {"A": "buy", "B": "buy"})
 
 
+@query("compare_choice_models")
+def _(t):
+    df = _long(t)
+    fits = {"logit": choice.create_model("logit")(df, ["p", "d"], "chosen"), "probit": choice.create_model("probit")(df, ["p", "d"]),
+            "conditional_logit": choice.create_model("mnl")(df, ["sid"], ["p", "d"])}
+    return pipeline.compare_choice_models(fits, t.spark)
+
+
 @query("run_model_grid")
 def _(t):
     s = scores(t).select("id", "sa", "sb")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..estimators import latent
+from ..functions.normal import two_sided_p
 from ..operators import kernels, paths as pt, resample, stats
 from ..operators.shape import compare_estimates
-from .bindings import (COMPLETE, FACTORS, ITEM_COLS, LOADINGS, NODES, PATHS, REPLICATES, SCORES, choice_rows, complete_scores,
+from .bindings import (COMPLETE, FACTORS, ITEM_COLS, ITEMS, LOADINGS, NODES, PATHS, REPLICATES, SCORES, choice_rows, complete_scores,
                        items, nodes, paths, replicates, scaled, scores, sql_norm_cdf, sql_norm_ppf)
 from .registry import query
 
@@ -91,9 +92,12 @@ def _(t):
     return pt.moderation_fit(complete_scores(t), "sa", "sb", "sc", ["segment"])
 
 
-@query("moderation_interpret")
+@query("moderation_interpret", doubles="estimate p_value", sql=f"""with {PATHS}, z as (select model, lval, rval, estimate, estimate / std_err as z from paths), p as (select *, 2 * {sql_norm_cdf('(-abs(z))')} as p_value from z)
+  select model, lval, rval, 'xm' as term, estimate, p_value, case when p_value >= 0.05 then 'none' when estimate > 0 then 'strengthening' else 'weakening' end as effect from p""")
 def _(t):
-    return pt.moderation_interpret(pt.moderation_fit(complete_scores(t), "sa", "sb", "sc", ["segment"])).select("segment", "estimate", "p_value", "effect")
+    z = paths(t).withColumn("z", F.col("estimate") / F.col("std_err"))
+    rows = z.select("model", "lval", "rval", F.lit("xm").alias("term"), "estimate", two_sided_p(F.col("z")).alias("p_value"))
+    return pt.moderation_interpret(rows)
 
 
 @query("simple_slopes", doubles="m slope", sql=f"""with {_MOD} select 'low' as level, mm - sd as m, b1 + b3 * (mm - sd) as slope from co union all select 'mean', mm, b1 + b3 * mm from co union all select 'high', mm + sd, b1 + b3 * (mm + sd) from co""")
@@ -131,10 +135,11 @@ def _(t):
     return weights(t)
 
 
-@query("bootstrap_rows")
+@query("bootstrap_rows", sql=f"""with ids as (select event_id, row_number() over (order by event_id) - 1 as idx from events), nn as (select count(*) as n from events),
+  picks as (select b, cast(floor({_U.replace(":11'", ":3'")} * n) as bigint) as idx from (select cast(r.range as integer) as b, idx as slot from ids, range(1, 6) r), nn)
+  select b as replicate, event_id, cast(count(*) as bigint) as w from picks join ids on picks.idx = ids.idx group by b, event_id""")
 def _(t):
-    w = resample.bootstrap_rows(t.events.select("event_id"), "event_id", 5, 3)
-    return w.groupBy("replicate").agg(F.sum("w").alias("n_rows"), F.count("*").alias("n_distinct"), F.max("w").alias("max_w"))
+    return resample.bootstrap_rows(t.events.select("event_id"), "event_id", 5, 3)
 
 
 @query("bootstrap_means", doubles="value", sql=f"""with {WEIGHTS}, per as (select o_custkey as id, sum(o_totalprice) as s, count(*) as c from orders group by 1)
@@ -283,7 +288,34 @@ def _(t):
     return _sem(t)
 
 
-@query("sem_params")
+# parameter rows from covariances: item on factor mean, error variances, factor variances, covariance and path
+_FM = {f: "(" + " + ".join(cols) + f") / {len(cols)}.0::DOUBLE" for f, cols in FACTORS.items()}
+PTAB = ITEMS + ", fm as (select *, " + ", ".join(f'{e} as "{f}"' for f, e in _FM.items()) + " from items), ptab as (" + " union all ".join(
+    [f"select segment, '{q}' as lval, '~' as op, '{f}' as rval, regr_slope({q}, \"{f}\") as estimate from fm group by segment" for f, cols in FACTORS.items() for q in cols]
+    + [f"select segment, '{q}', '~~', '{q}', var_samp({q}) from fm group by segment" for q in ITEM_COLS]
+    + [f"select segment, '{a}', '{op}', '{b}', {e} from fm group by segment" for a, op, b, e in (
+        ("A", "~~", "A", 'var_samp("A")'), ("B", "~~", "B", 'var_samp("B")'), ("A", "~~", "B", 'covar_samp("A", "B")'), ("B", "~", "A", 'regr_slope("B", "A")'))]) + ")"
+
+
+def param_table(t):
+    from ..operators.encode import factor_score_mean
+    fm = items(t).withColumns({f: factor_score_mean(cols) for f, cols in FACTORS.items()})
+    where = {q: f for f, cols in FACTORS.items() for q in cols}
+    every = [*ITEM_COLS, "A", "B"]
+    wide = fm.groupBy("segment").agg(*[F.var_samp(c).alias(f"v_{c}") for c in every], *[F.covar_samp(q, f).alias(f"c_{q}") for q, f in where.items()], F.covar_samp("A", "B").alias("c_AB"))
+    row = lambda l, op, r, e: {"lval": F.lit(l), "op": F.lit(op), "rval": F.lit(r), "estimate": e}
+    rows = [row(q, "~", f, F.col(f"c_{q}") / F.col(f"v_{f}")) for q, f in where.items()] + [row(c, "~~", c, F.col(f"v_{c}")) for c in every]
+    rows += [row("A", "~~", "B", F.col("c_AB")), row("B", "~", "A", F.col("c_AB") / F.col("v_A"))]
+    return stats.inline(wide, ["segment"], rows).withColumn("section", F.lit("Parameters"))
+
+
+@query("sem_params", doubles="estimate", sql=f"""with {PTAB} select segment, lval, op, rval, estimate, case when op = '~' and lval like 'q%' then 'loading' when op = '~' then 'path' when lval like 'q%' then 'error'
+  when lval = rval then 'variance' else 'covariance' end as part from ptab""")
+def _(t):
+    return latent.sem_params(param_table(t), ITEM_COLS).drop("section")
+
+
+@query("sem_fit_params")
 def _(t):
     return latent.sem_params(_sem(t), ITEM_COLS).select("segment", "part", "lval", "op", "rval", "estimate", "std_err")
 
@@ -293,7 +325,14 @@ def _(t):
     return latent.fit_indices(latent.multi_factor_fit(items(t), FACTORS, ["segment"]), ["segment"])
 
 
-@query("factor_corr_model")
+@query("factor_corr_model", doubles="r", sql=f"""with {ITEMS}, fm as (select segment, {_FM['A']} as a, {_FM['B']} as b from items), c as (select segment, corr(a, b) as r from fm group by segment)
+  select segment, 'A' as var1, 'B' as var2, r from c union all select segment, 'B', 'A', r from c""")
+def _(t):
+    latent_rows = latent.sem_params(param_table(t), ITEM_COLS).filter("part in ('variance', 'covariance')").withColumn("p_value", F.lit(None).cast("double"))
+    return latent.factor_corr_model(latent_rows, ["segment"]).drop("p_value")
+
+
+@query("factor_corr_fit")
 def _(t):
     params = latent.sem_params(latent.multi_factor_fit(items(t), FACTORS, ["segment"]), ITEM_COLS).filter("part in ('variance', 'covariance')")
     return latent.factor_corr_model(params, ["segment"])

@@ -236,3 +236,17 @@ def test_registry_of_models(long):
     choice.register_model("mine", lambda *a: None)
     assert "mine" in choice.MODELS
     assert stats.auc(long, "chosen", "x1").first().auc > 0.6
+
+
+def test_ml_stages(spark):
+    from pyspark.ml import Pipeline
+
+    from choicefield.estimators.stages import FactorScorer, ZScore
+    df = spark.createDataFrame(factor_data(300))
+    model = Pipeline(stages=[FactorScorer(FACTORS), ZScore(["A", "B"])]).fit(df)
+    out = model.transform(df).cache()
+    assert out.agg(F.stddev_pop("A_z")).first()[0] == pytest.approx(1)
+    back = model.stages[1].inverse_transform(out)
+    assert back.agg(F.max(F.abs(F.col("A_back") - F.col("A")))).first()[0] < 1e-12
+    s = pipeline.stage1_scores(df, "id", FACTORS).join(out.select("id", "A_z"), "id")
+    assert s.agg(F.max(F.abs(F.col("A") - F.col("A_z")))).first()[0] < 1e-6
