@@ -40,7 +40,10 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
                       split: bool | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Each row with the aggregates of its group (``values``: name -> aggregate)."""
+    """Each row with the aggregates of its group (``values``: name -> aggregate).
+
+    ``split``: whether some group is hot; None asks the sketch, which costs a pass over the key column.
+    """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     if not (has_hot_group(df, keys, hot_rows) if split is None else split):
         w = Window.partitionBy(*keys)
@@ -150,8 +153,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     Works on (value, count) pairs, so a value that fills a third of the table is one row, and no
     group is ever held in one task.
     """
+    split = has_hot_group(df, keys)  # asked of the rows: an upper bound for the counts below, without computing them
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    cum = ordered_scan(counts, keys, [value], run_sum={"__cum": "__c"})
+    cum = ordered_scan(counts, keys, [value], run_sum={"__cum": "__c"}, split=split)
     if keys:
         cum = cum.join(counts.groupBy(*keys).agg(F.sum("__c").alias("__total")), keys)
     else:

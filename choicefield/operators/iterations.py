@@ -17,7 +17,7 @@ def alt_index(long: DataFrame, keys: list[str], order: list[str], name: str = "a
 
 def set_id(long: DataFrame, keys: list[str], name: str = "set_index") -> DataFrame:
     """Dense id (from 1) of each (id, set) along ``keys``; the first key is numeric."""
-    sets = numbered(long.select(*keys).distinct(), [], keys, name)
+    sets = numbered(long.select(*keys).distinct(), [], keys, name, split=has_hot_group(long, []))
     return long.join(sets, keys)
 
 

@@ -21,12 +21,13 @@ MAX_EXPONENT = 700.0
 PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47]
 
 
-def relative_design(df: DataFrame, keys: list[str], attrs: list[str], chosen: str, keep: list[str] = ()) -> DataFrame:
+def relative_design(df: DataFrame, keys: list[str], attrs: list[str], chosen: str, keep: list[str] = (),
+                    split: bool | None = None) -> DataFrame:
     """Rows (keys, keep, d_<attr>): attributes minus those of the chosen row. Missing attributes (opt-out) count
     as 0. Sets without a chosen row carry no information on the parameters and drop out."""
     x = {a: F.coalesce(F.col(a).cast("double"), F.lit(0.0)) for a in attrs}
     base = df.select(*dict.fromkeys([*keys, *keep]), chosen, *[v.alias(a) for a, v in x.items()])
-    picked = with_group_values(base, keys, {f"__c_{a}": F.max(F.when(F.col(chosen) == 1, F.col(a))) for a in attrs})
+    picked = with_group_values(base, keys, {f"__c_{a}": F.max(F.when(F.col(chosen) == 1, F.col(a))) for a in attrs}, split)
     return (picked.filter(F.col(f"__c_{attrs[0]}").isNotNull())
             .select(*dict.fromkeys([*keys, *keep]), *[(F.col(a) - F.col(f"__c_{a}")).alias(f"d_{a}") for a in attrs]))
 
@@ -107,7 +108,7 @@ def radical_inverse(index: Column, base: int, max_index: int = 2 ** 40) -> Colum
 def index_individuals(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Dense index 0, 1, ... of the distinct (numeric) ids."""
     ids = df.select(key).distinct()
-    return numbered(ids, [], [key], "__n").select(key, (F.col("__n") - 1).alias(name))
+    return numbered(ids, [], [key], "__n", split=has_hot_group(df, [])).select(key, (F.col("__n") - 1).alias(name))
 
 
 def halton_draws(ids: DataFrame, key: str, n_draws: int, dims: int, index: str = "idx", shift_seed: int | None = None) -> DataFrame:

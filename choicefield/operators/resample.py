@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import exact_quantiles, ordered_scan
+from ..functions.groups import exact_quantiles, has_hot_group, ordered_scan
 from ..functions.normal import norm_cdf, norm_ppf, two_sided_p, with_normals
 from ..functions.scalars import count_if, hash_unit, safe_div
 from ..functions.tails import t_two_sided
@@ -181,7 +181,7 @@ def bootstrap_ci_bc(reps: DataFrame, estimates: DataFrame, keys: list[str], valu
     zl, zh = norm_ppf(F.lit(a)), norm_ppf(F.lit(1 - a))
     below = below.withColumns({"__zl": 2 * F.col("z0") + zl, "__zh": 2 * F.col("z0") + zh})
     below = below.withColumns({"p_low": norm_cdf(F.col("__zl")), "p_high": norm_cdf(F.col("__zh"))}).drop("__zl", "__zh")
-    cum = ordered_scan(counts, keys, [value], run_sum={"__cum": "__c"}).join(below, keys)
+    cum = ordered_scan(counts, keys, [value], run_sum={"__cum": "__c"}, split=has_hot_group(reps, keys)).join(below, keys)
     picks = []
     for side in ("low", "high"):
         h = F.col(f"p_{side}") * (F.col("n") - 1)

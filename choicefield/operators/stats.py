@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import exact_quantiles, first_n, ordered_scan
+from ..functions.groups import exact_quantiles, first_n, has_hot_group, ordered_scan
 from ..functions.scalars import add, count_if, safe_div
 from ..functions.tails import chi2_sf, t_two_sided
 from .encode import _attach, bin_tertile
@@ -35,9 +35,8 @@ def long_agg(df: DataFrame, columns: list[str], stats: dict, keys: list[str] = (
 # ---- shares and simple tables ----------------------------------------------------------------------------
 
 def choice_share(long: DataFrame, level: str, chosen: str) -> DataFrame:
-    total = long.agg(F.sum(chosen)).scalar()
-    return (long.groupBy(level).agg(F.sum(chosen).alias("n_chosen"))
-            .withColumn("share", safe_div(F.col("n_chosen").cast("double"), total)))
+    per = long.groupBy(level).agg(F.sum(chosen).alias("n_chosen"))
+    return per.withColumn("share", safe_div(F.col("n_chosen").cast("double"), per.agg(F.sum("n_chosen")).scalar()))
 
 
 def chosen_by_level(long: DataFrame, level: str, chosen: str, opt_out: Column) -> DataFrame:
@@ -76,8 +75,7 @@ def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def choice_data_summary(df: DataFrame, key: str, chosen: str, binary: list[str], price: str) -> DataFrame:
-    ids = df.select(key).distinct().agg(F.count(ONE)).scalar()
-    return df.agg(ids.alias("n_ids"), F.count(ONE).alias("n_rows"), F.sum(chosen).cast("bigint").alias("n_chosen"),
+    return df.agg(F.countDistinct(key).alias("n_ids"), F.count(ONE).alias("n_rows"), F.sum(chosen).cast("bigint").alias("n_chosen"),
                   *[F.avg(b).alias(f"{b}_rate") for b in binary], F.avg(price).alias("price_mean"),
                   F.stddev_samp(price).alias("price_sd"), F.min(price).alias("price_min"), F.max(price).alias("price_max"))
 
@@ -366,18 +364,17 @@ def confusion_matrix(df: DataFrame, actual: str, prob: str, threshold: float = 0
 def auc(df: DataFrame, actual: str, score: str) -> DataFrame:
     """ROC AUC: positives and negatives per distinct score, then negatives below each score (half for ties)."""
     per = df.groupBy(score).agg(count_if(F.col(actual) == 1).alias("pos"), count_if(F.col(actual) == 0).alias("neg"))
-    cum = ordered_scan(per, [], [score], run_sum={"upto": "neg"})
+    cum = ordered_scan(per, [], [score], run_sum={"upto": "neg"}, split=has_hot_group(df, []))
     won = F.col("pos").cast("double") * (F.col("upto") - F.col("neg") / 2)
     return cum.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
                    safe_div(F.sum(won), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def component_stats(df: DataFrame, components: list[str], total: str) -> DataFrame:
-    out = long_agg(df, components, {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max, "variance": F.var_samp},
-                   label="component")
-    tv = df.agg(F.var_samp(total)).scalar()
+    out = long_agg(df, components, {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max, "variance": F.var_samp,
+                                    "tv": lambda _: F.var_samp(total)}, label="component")
     return out.select("component", "mean", "sd", "min", "max", (F.col("max") - F.col("min")).alias("range"),
-                      safe_div(F.col("sd"), F.abs("mean")).alias("cv"), safe_div(F.col("variance"), tv).alias("variance_share"))
+                      safe_div(F.col("sd"), F.abs("mean")).alias("cv"), safe_div(F.col("variance"), F.col("tv")).alias("variance_share"))
 
 
 def component_importance(df: DataFrame, components: list[str]) -> DataFrame:

@@ -133,18 +133,19 @@ def utility_basic(intercept: float, beta: dict[str, float], lv: str | None = Non
 
 # ---- probabilities ---------------------------------------------------------------------------------------
 
-def softmax_prob(df: DataFrame, keys: list[str], v: str, name: str = "prob") -> DataFrame:
-    """Max-shifted softmax inside each choice set; sets may have any size."""
-    split = has_hot_group(df, keys)
+def softmax_prob(df: DataFrame, keys: list[str], v: str, name: str = "prob", split: bool | None = None) -> DataFrame:
+    """Max-shifted softmax inside each choice set; sets may have any size. ``split``: see ``with_group_values``."""
+    split = has_hot_group(df, keys) if split is None else split
     top = with_group_values(df, keys, {"__m": F.max(v)}, split=split)
     top = top.withColumn("__e", F.exp(F.col(v) - F.col("__m")))
     out = with_group_values(top, keys, {"__s": F.sum("__e")}, split=split)
     return out.withColumn(name, F.col("__e") / F.col("__s")).drop("__m", "__e", "__s")
 
 
-def mnl_loglik(df: DataFrame, keys: list[str], v: str, chosen: str, by: list[str] = (), floor: float = PROB_FLOOR) -> DataFrame:
+def mnl_loglik(df: DataFrame, keys: list[str], v: str, chosen: str, by: list[str] = (), floor: float = PROB_FLOOR,
+               split: bool | None = None) -> DataFrame:
     """Sum of ln P(chosen) with P clipped to [floor, 1 - floor]; optionally per ``by``."""
-    p = softmax_prob(df, keys, v, "__p").filter(F.col(chosen) == 1)
+    p = softmax_prob(df, keys, v, "__p", split).filter(F.col(chosen) == 1)
     return p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sets"), F.sum(F.log(clip_prob(F.col("__p"), floor))).alias("ll"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import encode, kernels, measurement, models, utility
 from ..operators.stats import describe_columns
 from ..functions.normal import norm_cdf, norm_pdf, norm_ppf
-from .bindings import (COMPLETE, ITEMS, LONG, OPT, SCALED, SCORES, choice_long, choice_rows, complete_scores, items, scaled, scores,
+from .bindings import (COMPLETE, ITEMS, LONG, OPT, SCALED, SCORES, choice_long, choice_rows, complete_scores, items, scaled, scores, sets_are_hot,
                        sql_norm_cdf, sql_norm_pdf, sql_norm_ppf, with_opt_out)
 from .describe import RICH, rich
 from .registry import query
@@ -28,13 +28,11 @@ def with_v(t, numbered=False):
     sum(case when chosen = 1 then ln(least(greatest(prob, 1e-10), 1 - 1e-10)) else 0 end) as ll from pr group by label""")
 def _(t):
     z = encode.zscore_pop(choice_rows(t), ["price"])
-    p = utility.softmax_prob(z.withColumn("v", utility.utility_basic(0.0, {"price_z": -0.5})), ["sid"], "v")
+    p = utility.softmax_prob(z.withColumn("v", utility.utility_basic(0.0, {"price_z": -0.5})), ["sid"], "v", split=sets_are_hot(t))
     from ..functions.scalars import clip_prob
-    total = z.agg(F.sum("chosen")).scalar()
-    return p.groupBy("label").agg(F.count("*").alias("n_shown"), F.sum("chosen").alias("n_chosen"),
-                                  F.sum("chosen").cast("double").alias("share"), F.avg("prob").alias("mean_prob"),
-                                  F.sum(F.when(F.col("chosen") == 1, F.log(clip_prob(F.col("prob")))).otherwise(0.0)).alias("ll")
-                                  ).withColumn("share", F.col("share") / total)
+    per = p.groupBy("label").agg(F.count("*").alias("n_shown"), F.sum("chosen").alias("n_chosen"), F.avg("prob").alias("mean_prob"),
+                                 F.sum(F.when(F.col("chosen") == 1, F.log(clip_prob(F.col("prob")))).otherwise(0.0)).alias("ll"))
+    return per.withColumn("share", F.col("n_chosen").cast("double") / per.agg(F.sum("n_chosen")).scalar())
 
 
 # ---- utilities -------------------------------------------------------------------------------------------
@@ -134,12 +132,12 @@ def _(t):
 
 @query("softmax_prob", doubles="prob", sql=f"with {MNL} select sid, alt, prob from pr")
 def _(t):
-    return utility.softmax_prob(with_v(t, True), ["sid"], "v").select("sid", "alt", "prob")
+    return utility.softmax_prob(with_v(t, True), ["sid"], "v", split=sets_are_hot(t)).select("sid", "alt", "prob")
 
 
 @query("mnl_loglik", doubles="ll", sql=f"with {MNL} select label, count(*) as n_sets, sum(ln(least(greatest(prob, 1e-10), 1 - 1e-10))) as ll from pr where chosen = 1 group by label")
 def _(t):
-    return utility.mnl_loglik(with_v(t), ["sid"], "v", "chosen", ["label"])
+    return utility.mnl_loglik(with_v(t), ["sid"], "v", "chosen", ["label"], split=sets_are_hot(t))
 
 
 _PROBIT = SCALED + ", v as (select *, -0.6 - 0.02::DOUBLE * p + 0.1::DOUBLE * d as v from scaled), f as (select *, least(greatest(" + sql_norm_cdf("v") + ", 1e-10), 1 - 1e-10) as phi from v)"
@@ -161,7 +159,7 @@ def _(t):
 
 @query("predict_choice", doubles="prob", sql=f"with {MNL} select sid, alt as predicted, prob from pr qualify row_number() over (partition by sid order by v desc, alt) = 1")
 def _(t):
-    return utility.predict_choice(utility.softmax_prob(with_v(t, True), ["sid"], "v"), ["sid"], "alt", "prob")
+    return utility.predict_choice(utility.softmax_prob(with_v(t, True), ["sid"], "v", split=sets_are_hot(t)), ["sid"], "alt", "prob")
 
 
 @query("predict_binary", sql=f"with {_PROBIT} select sid, alt, case when phi >= 0.25 then 1 else 0 end as predicted from f")
@@ -184,7 +182,7 @@ def _(t):
 
 @query("marginal_effects", doubles="effect", sql=f"with {MNL} select 'p' as attribute, avg(prob * (1 - prob)) * -0.05::DOUBLE as effect from pr union all select 'd', avg(prob * (1 - prob)) * 0.2::DOUBLE from pr")
 def _(t):
-    return utility.marginal_effects(utility.softmax_prob(with_v(t), ["sid"], "v"), "prob", {"p": -0.05, "d": 0.2})
+    return utility.marginal_effects(utility.softmax_prob(with_v(t), ["sid"], "v", split=sets_are_hot(t)), "prob", {"p": -0.05, "d": 0.2})
 
 
 # ---- scalar functions ------------------------------------------------------------------------------------
@@ -316,7 +314,7 @@ KERNEL = MNL + """, g as (select id, sid, sum((chosen - prob) * p) as g_p, sum((
 
 
 def relative(t):
-    return kernels.relative_design(scaled(choice_rows(t)), ["sid"], list(BETA), "chosen", ["id"])
+    return kernels.relative_design(scaled(choice_rows(t)), ["sid"], list(BETA), "chosen", ["id"], sets_are_hot(t))
 
 
 @query("mnl_gradient", doubles="gradient", sql=f"with {KERNEL} select 'p' as parameter, sum(g_p) as gradient from g union all select 'd', sum(g_d) from g union all select 'x', sum(g_x) from g")
@@ -397,7 +395,7 @@ DRAW_LL = SCALED + ", " + DRAWS + """, dv as (select long2.id, sid, r, chosen, (
 
 
 def draw_lls(t):
-    rel = kernels.relative_design(scaled(choice_rows(t)), ["sid"], ["p", "d"], "chosen", ["id"])
+    rel = kernels.relative_design(scaled(choice_rows(t)), ["sid"], ["p", "d"], "chosen", ["id"], sets_are_hot(t))
     coefs = draws(t, 1).withColumns({"b_p": -0.05 + 0.1 * F.col("z1"), "b_d": F.lit(0.2)})
     return kernels.draw_choice(rel, coefs, ["id"], ["sid"], ["p", "d"]).join(coefs.select("id", "r", "z1"), ["id", "r"])
 

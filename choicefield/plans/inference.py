@@ -9,7 +9,7 @@ from ..functions.normal import two_sided_p
 from ..operators import kernels, paths as pt, resample, stats
 from ..operators.shape import compare_estimates
 from .bindings import (COMPLETE, FACTORS, ITEM_COLS, ITEMS, LOADINGS, NODES, PATHS, REPLICATES, SCORES, choice_rows, complete_scores,
-                       items, nodes, paths, replicates, scaled, scores, sql_norm_cdf, sql_norm_ppf)
+                       items, nodes, paths, replicates, scaled, scores, sets_are_hot, sql_norm_cdf, sql_norm_ppf)
 from .registry import query
 
 # ---- effects along paths -----------------------------------------------------------------------------------
@@ -251,7 +251,7 @@ def _(t):
 
 
 def _choice_design(t):
-    return kernels.relative_design(scaled(choice_rows(t)), ["sid"], ["p", "d"], "chosen", ["id"])
+    return kernels.relative_design(scaled(choice_rows(t)), ["sid"], ["p", "d"], "chosen", ["id"], sets_are_hot(t))
 
 
 @query("bootstrap_stage2")

@@ -16,6 +16,7 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self.facts: dict = {}
 
     def file(self, name: str) -> str:
         return f"{self.path}/{name}.parquet"
