@@ -40,16 +40,20 @@ def fit_mnl(df: DataFrame | None, set_keys: list[str], attrs: list[str], chosen:
     """
     own = rel is None
     rel = prepare_mnl(df, set_keys, attrs, chosen, key) if own else rel
-    null = kernels.set_scores(rel, set_keys, {a: 0.0 for a in attrs}).agg(F.count(F.lit(1)).alias("n"), F.sum("ll").alias("ll")).first()
+    n_sets = 0
 
     def evaluate(theta):
+        nonlocal n_sets
         sets = kernels.set_scores(rel, set_keys, theta, hessian=True)
-        row = sets.agg(F.sum("ll").alias("ll"), *[F.sum(f"g_{a}").alias(f"g_{a}") for a in attrs],
+        row = sets.agg(F.count("*").alias("n"), F.sum("ll").alias("ll"), *[F.sum(f"g_{a}").alias(f"g_{a}") for a in attrs],
                        *[F.sum(-F.col(f"h_{a}_{b}")).alias(f"i_{a}_{b}") for a, b in _pairs(attrs)]).first()
+        n_sets = row["n"]
         return Point(row["ll"], np.array([row[f"g_{a}"] for a in attrs]), symmetric(attrs, row, "i_"))
     begin = np.array([(start or {}).get(a, 0.0) for a in attrs])
-    fit = maximise(attrs, begin, evaluate, null.n)
-    fit.null_ll = null.ll
+    fit = maximise(attrs, begin, evaluate, 0)
+    fit.n_obs = n_sets
+    # the first point is the null model unless a start was given
+    fit.null_ll = evaluate({a: 0.0 for a in attrs}).ll if start else fit.trace[0][1]
     if robust:
         if key is None:
             raise ValueError("robust standard errors need the individual key")

@@ -107,8 +107,8 @@ def maximise(names: list[str], start: np.ndarray, evaluate: Callable[[dict[str,
     """Newton (or BHHH, when the information is the outer product) with step halving; converged when the decrement
     g' I^-1 g is below ``tol``.
 
-    ``learn_curvature``: start from the information matrix and update its inverse from the gradients seen (BFGS);
-    for simulated likelihoods, whose outer products are a poor Hessian away from the optimum.
+    ``learn_curvature``: after a short step, update the inverse from the gradients seen (BFGS) instead of taking the
+    new information matrix; for simulated likelihoods, whose outer products can be a poor Hessian off the optimum.
     """
     theta = np.asarray(start, dtype=float)
     point = evaluate(dict(zip(names, theta)))
@@ -132,7 +132,7 @@ def maximise(names: list[str], start: np.ndarray, evaluate: Callable[[dict[str,
         if found is None:
             converged = bool(np.abs(point.gradient).max() < 1e-6 * max(n_obs, 1))
             break
-        if learn_curvature:
+        if learn_curvature and step < 0.25:
             inv = _bfgs(inv, trial - theta, point.gradient - found.gradient)
         else:
             inv = inverse(found.information)

@@ -7,28 +7,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import to_long
-from ..operators import kernels, shape, stats
+from ..operators import kernels, shape
 from ..operators.encode import center, zscore_pop
 from ..operators.models import model_table
-from . import choice, latent
+from . import choice
 from .newton import Fit
+from .stages import FactorScorer
 
 
 def stage1_scores(items: DataFrame, key: str, factors: dict[str, list[str]], paths: list = (), scale: str = "zscore") -> DataFrame:
     """Stage 1: fit the factor/path model on covariances, score every individual by its loadings, scale the scores.
 
-    Returns (key, <factor>...): a keyed table, so later steps join instead of relying on row order.
+    The loadings are a handful of numbers, so scoring is a column expression without a shuffle. Returns (key, <factor>...): a keyed table, so later steps join instead of relying on row order.
     """
-    every = [i for cols in factors.values() for i in cols]
-    fits = latent.sem_fit(items, factors, list(paths))
-    loads = (latent.sem_params(fits, every).filter("part = 'loading'")
-             .select(F.col("rval").alias("factor"), F.col("lval").alias("item"), F.col("estimate").alias("loading")))
-    where = F.create_map(*[F.lit(x) for f, cols in factors.items() for i in cols for x in (i, f)])
-    long = to_long(items, [key], every, "item", "value").withColumn("factor", where[F.col("item")])
-    wide = stats.factor_score_loading(long, loads, key).groupBy(key).pivot("factor", list(factors)).agg(F.first("score"))
     cols = list(factors)
-    scaled = zscore_pop(wide, cols) if scale == "zscore" else center(wide, cols, "_z")
+    scored = FactorScorer(factors, list(paths)).fit(items).transform(items).select(key, *cols)
+    scaled = zscore_pop(scored, cols) if scale == "zscore" else center(scored, cols, "_z")
     return scaled.select(key, *[F.col(f"{c}_z").alias(c) for c in cols])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.groups import first_n, numbered
+from ..functions.groups import first_n, has_hot_group, numbered, ordered_scan
 from ..functions.scalars import count_if
 from ..session import stored
 
@@ -39,13 +39,17 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def stage_diff(before: DataFrame, after: DataFrame, key: str, items: list[str]) -> DataFrame:
-    """(id, item, before, after, change) for every value that appeared, vanished or changed between stages."""
-    def long(df, name):
-        return df.select(key, *[F.col(i).cast("double").alias(i) for i in items]).unpivot([key], items, "item", name)
-    both = long(before, "before_value").join(long(after, "after_value"), [key, "item"], "full_outer")
-    b, a = F.col("before_value"), F.col("after_value")
-    kind = (F.when(b.isNull() & a.isNotNull(), "filled").when(b.isNotNull() & a.isNull(), "lost").otherwise("changed"))
-    return both.filter(~b.eqNullSafe(a)).withColumn("change", kind)
+    """(id, item, before, after, change) for every value that appeared, vanished or changed between stages.
+
+    The stages meet once per id, in wide form; only the differences become rows.
+    """
+    b = before.select(key, F.struct(*[F.col(i).cast("double").alias(i) for i in items]).alias("b"))
+    a = after.select(key, F.struct(*[F.col(i).cast("double").alias(i) for i in items]).alias("a"))
+    cells = F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"b.{i}").alias("before_value"), F.col(f"a.{i}").alias("after_value")) for i in items])
+    differ = F.filter(cells, lambda c: ~c["before_value"].eqNullSafe(c["after_value"]))
+    out = b.join(a, key, "full_outer").select(key, F.explode(differ).alias("d")).select(key, "d.*")
+    kind = (F.when(F.col("before_value").isNull(), "filled").when(F.col("after_value").isNull(), "lost").otherwise("changed"))
+    return out.withColumn("change", kind)
 
 
 def drop_all_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -132,15 +136,20 @@ def reassign_duplicate_ids(df: DataFrame, key: str, order: list[str], name: str
     ranked = numbered(df, [key], order, "__copy")
     later = stored(ranked.filter("__copy > 1"), "later_copies")
     extra = numbered(later, [], [key, *order], "__rank")
-    used = df.select(key).distinct()
-    top = df.agg(F.max(key)).scalar()
-    blocks = used.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), top.cast("bigint"), F.lit(65536))).alias("b"))
-    free = (blocks.select(F.explode(F.sequence(F.greatest(F.col("b"), F.lit(1)),
-                                               F.least(F.col("b") + 65535, top.cast("bigint")))).alias("free"))
-            .join(used, F.col("free") == F.col(key), "left_anti"))
-    gaps = numbered(free, [], ["free"], "__rank")
-    n_gaps = free.agg(F.count(F.lit(1))).scalar()
-    moved = extra.join(gaps, "__rank", "left").withColumn(
+    wanted = later.agg(F.count("*")).scalar()
+    # gaps before each used id, counted along the ids; only as many free ids are written out as are needed
+    split = has_hot_group(df, [])
+    used = ordered_scan(df.select(key).distinct(), [], [key], lag={"__prev": key}, split=split)
+    low = F.greatest(F.coalesce(F.col("__prev"), F.lit(0)), F.lit(0))
+    gaps = used.withColumn("__low", low).withColumn("__gap", F.greatest(F.col(key) - F.col("__low") - 1, F.lit(0)))
+    gaps = ordered_scan(gaps, [], [key], run_sum={"__upto": "__gap"}, split=split)
+    first = F.col("__upto") - F.col("__gap")
+    last = F.least(F.col(key) - 1, F.col("__low") + wanted - first)
+    free = (gaps.filter((F.col("__gap") > 0) & (first < wanted))
+            .select("__low", first.alias("__first"), F.explode(F.sequence(F.col("__low") + 1, last)).alias("free"))
+            .select("free", (F.col("__first") + F.col("free") - F.col("__low")).alias("__rank")))
+    top, n_gaps = df.agg(F.max(key)).scalar(), gaps.agg(F.sum("__gap")).scalar()
+    moved = extra.join(free, "__rank", "left").withColumn(
         name, F.coalesce(F.col("free"), top + F.col("__rank") - n_gaps)).select(*df.columns, "__copy", name)
     kept = ranked.filter("__copy = 1").withColumn(name, F.col(key))
     return kept.unionByName(moved).drop("__copy")
