@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, encode
 from ..session import fresh_path
 from ..sources import logs, runs as run_source, tables
-from .bindings import (FACTORS, ITEM_COLS, ITEMS, LONG, OPT, RAW, REVERSED, RUNS, SCORES, choice_long, choice_rows, items,
+from .bindings import (FACTORS, ITEM_COLS, ITEMS, LONG, OPT, RAW, REVERSED, RUNS, SCORES, choice_long, items,
                        raw_items, runs, scores, with_opt_out)
 from .registry import query
 

@@ -19,9 +19,11 @@ def local_session(cores: int | str = "*", app: str = "choicefield") -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh local one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh local one only in local mode without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

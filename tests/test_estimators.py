@@ -89,34 +89,61 @@ def test_binary_and_ordered_probit(spark):
     assert all(abs(r.t - 1) < 1e-6 for r in total)
 
 
-def test_simulated_likelihood_gradient_and_salting(spark, monkeypatch):
-    pdf = choices(n=40, sets=4, sd=0.8, seed=3)
+class Done(Exception):
+    pass
+
+
+def at_start(monkeypatch, fit, probe):
+    """Run ``probe(names, start, evaluate)`` where the optimiser would start."""
+    seen = {}
+
+    def stop(names, start, evaluate, *args, **kwargs):
+        seen["out"] = probe(names, np.asarray(start, dtype=float), evaluate)
+        raise Done
+    monkeypatch.setattr(simulated, "maximise", stop)
+    with pytest.raises(Done):
+        fit()
+    return seen["out"]
+
+
+def gradient_errors(names, start, evaluate):
+    theta = start + 0.07
+    here = evaluate(dict(zip(names, theta)))
+    for k in range(len(names)):
+        step = np.eye(len(names))[k] * 1e-4
+        num = (evaluate(dict(zip(names, theta + step))).ll - evaluate(dict(zip(names, theta - step))).ll) / 2e-4
+        assert here.gradient[k] == pytest.approx(num, rel=1e-4, abs=1e-3), names[k]
+    return here
+
+
+def test_random_parameter_logit_scores_and_salting(spark, monkeypatch):
+    df = spark.createDataFrame(choices(n=30, sets=4, sd=0.8, seed=3))
+    fit = lambda: simulated.fit_rpl(df, "id", ["sid"], ["x1", "x2"], ["x1"], n_draws=8)
+    plain = at_start(monkeypatch, fit, gradient_errors)
+    monkeypatch.setattr(groups, "HOT_ROWS", 5)
+    salted = at_start(monkeypatch, fit, lambda n, s, e: e(dict(zip(n, s + 0.07))))
+    assert salted.ll == pytest.approx(plain.ll) and np.allclose(salted.gradient, plain.gradient)
+
+
+def iclv_data(n=30, seed=4):
+    pdf = choices(n=n, sets=3, seed=seed)
+    rng = np.random.default_rng(seed)
+    wealth = rng.normal(size=n)
+    eta = 0.7 * wealth + rng.normal(size=n)
+    ind = pd.DataFrame({"id": np.arange(n), "wealth": wealth, "i1": 0.9 * eta + rng.normal(size=n), "i2": 0.6 * eta + rng.normal(size=n)})
+    ind.loc[0, "i1"] = None
+    return pdf, ind
+
+
+def test_joint_model_scores_and_salting(spark, monkeypatch):
+    pdf, ind = iclv_data()
     df = spark.createDataFrame(pdf)
-    points = []
-    monkeypatch.setattr(simulated, "maximise", lambda names, start, evaluate, n, *a, **k: points.append((names, evaluate)) or
-                        type("F", (), {"null_ll": None})())
-
-    def grab(theta):
-        rel = kernels.relative_design(df, ["sid"], ["x1", "x2"], "chosen", ["id"]).cache()
-        rows, keys = kernels.cluster_by_individual(rel, "id", ["sid"])
-        draws = kernels.halton_draws(kernels.index_individuals(rows.select("id").distinct(), "id"), "id", 12, 1)
-        z = F.col("z1")
-        coefs = draws.withColumns({"b_x1": theta[0] + theta[2] * z, "b_x2": F.lit(theta[1])})
-        per = kernels.draw_choice(rows, kernels.spread(coefs, keys), keys, ["sid"], ["x1", "x2"])
-        if keys != ["id"]:
-            per = per.groupBy("id", "r").agg(F.sum("ll").alias("ll"), F.sum("g_x1").alias("g_x1"), F.sum("g_x2").alias("g_x2"))
-        per = per.join(draws.select("id", "r", "z1"), ["id", "r"])
-        return simulated._evaluate(per, "id", ["x1", "x2", "sd"], {"x1": F.col("g_x1"), "x2": F.col("g_x2"), "sd": F.col("g_x1") * z}, 12)
-    base = [0.7, -0.5, 0.6]
-    at = grab(base)
-    for k in range(3):
-        up, dn = list(base), list(base)
-        up[k] += 1e-4
-        dn[k] -= 1e-4
-        assert at.gradient[k] == pytest.approx((grab(up).ll - grab(dn).ll) / 2e-4, rel=1e-4, abs=1e-4)
+    who = spark.createDataFrame(ind.astype({"id": "int64"})).withColumn("i1", F.when(~F.isnan("i1"), F.col("i1")))
+    fit = lambda: simulated.fit_iclv_simultaneous(df, who, "id", ["sid"], ["x1"], "x2", ["i1", "i2"], ["wealth"], n_draws=6)
+    plain = at_start(monkeypatch, fit, gradient_errors)
     monkeypatch.setattr(groups, "HOT_ROWS", 5)
-    salted = grab(base)
-    assert salted.ll == pytest.approx(at.ll) and np.allclose(salted.gradient, at.gradient)
+    salted = at_start(monkeypatch, fit, lambda n, s, e: e(dict(zip(n, s + 0.07))))
+    assert salted.ll == pytest.approx(plain.ll) and np.allclose(salted.gradient, plain.gradient)
 
 
 def test_linear_and_penalised_logit(spark):
