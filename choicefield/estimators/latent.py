@@ -270,8 +270,11 @@ def factor_corr_model(params: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def residual_cov(observed: DataFrame, implied: DataFrame, keys: list[str] = ()) -> DataFrame:
-    on = [*keys, "var1", "var2"]
-    return (observed.select(*on, F.col("cov").alias("observed")).join(implied.select(*on, F.col("cov").alias("implied")), on)
+    """Observed minus implied covariance; ``implied`` may lack the keys when one matrix serves all groups."""
+    on = [*[k for k in keys if k in implied.columns], "var1", "var2"]
+    return (observed.select(*keys, "var1", "var2", F.col("cov").alias("observed"))
+            .join(implied.select(*on, F.col("cov").alias("implied")), on)
+            .select(*keys, "var1", "var2", "observed", "implied")
             .withColumn("residual", F.col("observed") - F.col("implied")))
 
 

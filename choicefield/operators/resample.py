@@ -18,6 +18,7 @@ from ..functions.groups import exact_quantiles, has_hot_group, ordered_scan
 from ..functions.normal import norm_cdf, norm_ppf, two_sided_p, with_normals
 from ..functions.scalars import count_if, hash_unit, safe_div
 from ..functions.tails import t_two_sided
+from ..session import stored
 from . import kernels
 
 
@@ -97,7 +98,7 @@ def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[
     rows = rows.withColumns({f"d_{n}": F.col(s) * F.col(f"d_{a}") for n, (s, a) in products.items()})
     spark = rel.sparkSession
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    theta = {r.replicate: np.array([start[a] for a in names]) for r in weights.select("replicate").distinct().collect()}
+    theta = {r.replicate: np.array([start[a] for a in names]) for r in drawn.select("replicate").distinct().collect()}
     active, done, best, step = set(theta), {}, {}, {}
     kinds = "replicate int, " + ", ".join(f"b_{a} double" for a in names)
     for _ in range(max_iter):
@@ -141,6 +142,7 @@ def bootstrap_both(items: DataFrame, rel: DataFrame, key: str, set_keys: list[st
                    start: dict[str, float], weights: DataFrame) -> DataFrame:
     """Both stages per replicate: refit the factor, score the individuals, z-score, refit the choice model with the
     score x attribute term ``<factor>_x_<attr>``."""
+    weights = stored(weights, "weights")  # read by both stages; drawn once
     fits = bootstrap_stage1(items, key, {factor: factor_items}, [], weights)
     loads = fits.filter(F.col("lval").isin(factor_items) & (F.col("op") == "~")).select("replicate", F.col("lval").alias("item"), F.col("estimate").alias("loading"))
     wide = loads.groupBy("replicate").agg(*[F.max(F.when(F.col("item") == i, F.col("loading"))).alias(f"l_{i}") for i in factor_items])

@@ -375,7 +375,7 @@ def _residuals(t):
     c = complete_scores(t).withColumnRenamed("segment", "model")
     obs = stats.cov_sufficient_stats(c, NODES, ["model"])
     imp = stats.cov_sufficient_stats(c, NODES).select("var1", "var2", "cov")
-    return latent.residual_cov(obs, obs.select("model").distinct().withColumn("one", F.lit(1)).join(imp.withColumn("one", F.lit(1)), "one"), ["model"])
+    return latent.residual_cov(obs, imp, ["model"])
 
 
 @query("residual_cov", doubles="observed implied residual", sql=f"with {_RESID} select * from res")
