@@ -14,7 +14,7 @@ from choicefield.session import local_session  # noqa: E402
 
 HEADLINE = ["flagship", "zscore_pop", "integrate_left", "distribution_profile", "auc", "corr_full", "reliability_table",
             "softmax_prob", "mnl_loglik", "probit_loglik", "mnl_gradient", "opg_matrix", "hessian_agg", "halton_draws",
-            "simulated_loglik", "bootstrap_means", "bootstrap_ci", "mediation_sweep", "early_stop_point", "fit_mnl", "sem_fit"]
+            "simulated_loglik", "bootstrap_means", "bootstrap_ci", "mediation_sweep", "early_stop_point", "fit_mnl", "sem_fit", "fit_iclv_simultaneous"]
 
 
 def main() -> None:
