@@ -145,7 +145,7 @@ def _fit(t, s):
     return stats.inline(g, ["segment"], [{"metric": F.lit(n), "value": v} for n, v in rows])
 
 
-@query("compare_fit", doubles="before after change percent_change", sql=f"""with {COMPLETE}, b as ({_FIT.format(s='sa')}), a as ({_FIT.format(s='sb')})
+@query("compare_fit", doubles="before after change percent_change:8", sql=f"""with {COMPLETE}, b as ({_FIT.format(s='sa')}), a as ({_FIT.format(s='sb')})
   select b.segment, b.metric, b.value as before, a.value as after, a.value - b.value as change, (a.value - b.value) / abs(b.value) * 100 as percent_change,
     case b.metric when 'CFI' then a.value > b.value when 'RMSEA' then a.value < b.value else abs(a.value) < abs(b.value) end as improved
   from a join b on a.segment = b.segment and a.metric = b.metric""")

@@ -60,7 +60,7 @@ def ptrace(t):
                                "case when event_type = 'click' then 0.25D else value / 100 end as gradient")
 
 
-@query("frozen_params", doubles="gradient_sd value_sd first_value last_value percent_change:4", sql=f"""with {_PTRACE}, g as (select run, parameter, count(*) as n, stddev_pop(gradient) as gradient_sd, stddev_pop(value) as value_sd,
+@query("frozen_params", doubles="gradient_sd value_sd first_value last_value percent_change:9", sql=f"""with {_PTRACE}, g as (select run, parameter, count(*) as n, stddev_pop(gradient) as gradient_sd, stddev_pop(value) as value_sd,
     arg_min(value, iteration) as first_value, arg_max(value, iteration) as last_value from ptrace group by run, parameter)
   select *, gradient_sd < 1e-10 as gradient_frozen, gradient_sd < 1e-6 as gradient_nearly_frozen, value_sd < 1e-10 as value_frozen,
     100 * (last_value - first_value) / nullif(abs(first_value), 0) as percent_change from g""")
