@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_path
 
 TEXT_BLOCK = 1 << 20
+FILTER_BITS = 1 << 26
 
 
 def column(name: str) -> Column:
@@ -69,6 +71,31 @@ def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = TEXT_BLO
         yield batch.slice(start)
 
 
+def bit_filter(wanted: DataFrame, key: str) -> tuple[int, np.ndarray]:
+    """(bits, 64-bit words) of a filter of two bits for each key, at most ``FILTER_BITS`` long: it lets every wanted key pass,
+    and few others while there are fewer keys than a sixteenth of its bits."""
+    bits = min(FILTER_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+    h = F.xxhash64(key)
+    at = F.explode(F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)))
+    words = (wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow())
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return bits, out
+
+
+def filtered(batch: pa.RecordBatch, picks: tuple[int, np.ndarray] | None) -> pa.RecordBatch:
+    """The rows whose ``filter_hash`` (xxhash64 of the key) passes the filter."""
+    if picks is None:
+        return batch
+    bits, words = picks
+    h = batch.column("filter_hash").to_numpy().view(np.uint64)
+    keep = np.ones(len(h), bool)
+    for at in (h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)):
+        keep &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return batch.filter(pa.array(keep))
+
+
 def star_step(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (a, b), a < b: the same components, closer to stars."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -3,13 +3,15 @@
 A document is the set of its distinct word shingles. Two documents link when ``100 * |intersection| >= percent * |union|``.
 Linked sets share a token among the first ``n - ceil(n * percent / 100) + 1`` tokens of either set under *every* total order
 of tokens. An order here sorts by (frequency level, seeded hash): candidates come from a join on the prefix of the first
-order; a candidate pair is verified only if its prefixes under all other orders intersect too.
-
-Scale. Equal sets are one node, so copies never meet in a join. Tokens that many prefixes share get a frequency level and move
-to the end of every order; their table has at most 2^20 entries whatever the input (it holds tokens in more than
-``prefix rows / 2^20`` prefixes), so it may travel with the tasks. Every order is valid, so this is about speed only. Token
-groups are never expanded into all pairs: each is first compared with one centre, linked sets are contracted to components,
-and only pairs that are still in different components are compared, until none is left. All steps live in the shared folder.
+order; only pairs whose prefixes meet under all other orders too are verified.
+
+Scale. Equal sets are one node, so copies never meet in a join. Tokens that several prefixes share get a frequency level and
+move to the end of every order; their table has at most 2^20 entries whatever the input (it holds tokens in more than
+``prefix rows / 2^20`` prefixes), so it may travel with the tasks. Every order is valid, so this is about speed only. A token
+group above ``SMALL`` members is not expanded into all pairs: its members are first compared with one centre at a time, linked
+sets are contracted to components, and only pairs that are still in different components are compared, until none is left.
+Texts are never shuffled: a later pass over them picks its rows by a bit filter of at most 8 MB and shuffles what it makes of
+them. All steps live in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow_map, components, picked, text_slices
+from .common import Stored, arrow_map, bit_filter, components, filtered, picked, text_slices
 from .shingles import mix, shingle_sets
 
 SIZE, PERCENT = 4, 85
 ORDERS = 3
-FREQUENT = 64
+FREQUENT = 2
+SMALL = 32
 FREQUENT_TABLE = 1 << 20
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
 
@@ -68,34 +71,38 @@ def _digest(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _prefix_rows(batch, size, percent, levels) -> Iterator[dict]:
-    for part, texts in _texts(batch):
+def _prefix_rows(batch, size, percent, levels, wanted=None) -> Iterator[dict]:
+    for part, texts in _texts(filtered(batch, wanted)):
         sets = list(shingle_sets(texts, size))
         yield {"doc_id": part.column("doc_id"), "n": [len(s) for s in sets], "node": [_digest(s) for s in sets],
                "prefix": _lists([prefix(s, 0, percent, levels) for s in sets])}
 
 
-def _set_rows(batch, size) -> Iterator[dict]:
-    for _, texts in _texts(batch):
+def _other_prefix_rows(batch, size, percent, levels, wanted) -> Iterator[dict]:
+    for _, texts in _texts(filtered(batch, wanted)):
+        sets = list(shingle_sets(texts, size))
+        yield {"node": [_digest(s) for s in sets]} | {
+            f"p{k}": _lists([prefix(s, k, percent, levels) for s in sets]) for k in range(1, ORDERS)}
+
+
+def _set_rows(batch, size, wanted) -> Iterator[dict]:
+    for _, texts in _texts(filtered(batch, wanted)):
         sets = list(shingle_sets(texts, size))
         yield {"node": [_digest(s) for s in sets], "tokens": _lists(sets)}
 
 
-def _verify_rows(batch, percent, levels) -> Iterator[dict]:
-    """Of the pairs whose prefixes meet under the other orders too, those that link."""
+def _verify_rows(batch, percent) -> Iterator[dict]:
+    """The pairs that link."""
     def sets(name):
         column = batch.column(name)
         flat, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
         return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
 
-    kept, last = [], (None, None)
+    kept = []
     for row, (x, y) in enumerate(zip(sets("x"), sets("y"))):
-        if last[0] is None or len(last[0]) != len(x) or not np.array_equal(last[0], x):
-            last = (x, [prefix(x, k, percent, levels) for k in range(1, ORDERS)])
-        if all(np.isin(p, prefix(y, k, percent, levels), assume_unique=True).any() for k, p in enumerate(last[1], 1)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                kept.append(row)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            kept.append(row)
     out = batch.take(pa.array(kept, pa.int64()))
     yield {"a": out.column("a"), "b": out.column("b")}
 
@@ -104,17 +111,18 @@ class Join:
     """The steps of one join over (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
-        self.docs, self.size, self.percent, self.levels = docs, size, percent, None
+        self.docs, self.size, self.percent = docs.withColumn("filter_hash", F.xxhash64("doc_id")), size, percent
+        self.levels = self.counts = None
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        return self.docs.join(ids.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-
-    def prefixes(self, docs: DataFrame) -> DataFrame:
-        return arrow_map(docs, _prefix_rows, "doc_id bigint, n bigint, node binary, prefix array<bigint>",
-                         self.size, self.percent, self.levels)
+    def pass_over(self, rows, schema: str, wanted: DataFrame, *args) -> DataFrame:
+        """What ``rows`` makes of the texts of the wanted (node, doc_id), one row for each node."""
+        picks = bit_filter(wanted, "doc_id")
+        made = arrow_map(self.docs, rows, schema, self.size, *args, picks)
+        columns = [c for c in made.columns if c != "node"]
+        return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
 
     def refined(self, nodes: Stored) -> Stored:
-        """Prefixes again with the tokens that many of them share at the end of the order; unchanged where there is none."""
+        """Prefixes again with the tokens that several of them share at the end of the order; unchanged where there is none."""
         total = nodes.df.agg(F.sum(F.size("prefix"))).first()[0] or 0
         limit = max(FREQUENT, total // FREQUENT_TABLE)
         frequent = Stored(nodes.df.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > limit), "frequent")
@@ -123,94 +131,95 @@ class Join:
         if not known:
             frequent.drop()
             return nodes
-        if self.levels is not None:
-            for t, c in zip(self.levels[0].view(np.int64).tolist(), self.levels[2].tolist()):
-                known[t] = max(c, known.get(t, 0))
+        for t, c in (self.counts or {}).items():
+            known[t] = max(c, known.get(t, 0))
+        self.counts = known
         tokens = np.array(list(known), np.int64).view(np.uint64)
-        counts = np.fromiter(known.values(), np.int64, len(known))
         at = np.argsort(tokens)
-        tokens, counts = tokens[at], counts[at]
-        self.levels = (tokens, np.minimum(np.log2(counts).astype(np.uint64), 63), counts)
-        hit = (nodes.df.select("node", "doc_id", F.explode("prefix").alias("token"))
-               .join(frequent.df.select("token"), "token", "left_semi").select("node", "doc_id").distinct())
-        moved = Stored(hit, "moved")
-        texts = self.texts(moved.df)
-        levels, self.levels = self.levels, self.levels[:2]
-        fresh = self.prefixes(texts).join(moved.df.select("node"), "node", "left_semi").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        self.levels = tokens[at], np.log2(np.fromiter(known.values(), np.int64, len(known))[at]).astype(np.uint64)
+        moved = Stored(nodes.df.select("node", "doc_id", F.explode("prefix").alias("token"))
+                       .join(frequent.df.select("token"), "token", "left_semi").select("node", "doc_id").distinct(), "moved")
+        fresh = self.pass_over(_prefix_rows, "doc_id bigint, n bigint, node binary, prefix array<bigint>", moved.df, self.percent, self.levels)
         out = Stored(nodes.df.join(moved.df.select("node"), "node", "left_anti").unionByName(fresh.select(nodes.df.columns)), "nodes")
-        self.levels = levels
         for x in (nodes, frequent, moved):
             x.drop()
         return out
 
     def shared(self, nodes: Stored) -> Stored:
-        """(token, node, n) of the prefix tokens that several nodes share."""
+        """(token, node, n, m) of the prefix tokens that m > 1 nodes share."""
         tokens = nodes.df.select(F.explode("prefix").alias("token"), "node", "n")
-        several = tokens.groupBy("token").count().filter("count > 1").select("token")
-        return Stored(tokens.join(several, "token", "left_semi"), "tokens")
-
-    def sets(self, nodes: Stored, shared: Stored) -> Stored:
-        wanted = Stored(nodes.df.select("node", "doc_id").join(shared.df.select("node").distinct(), "node", "left_semi"), "wanted")
-        texts = self.texts(wanted.df)
-        rows = arrow_map(texts, _set_rows, "node binary, tokens array<bigint>", self.size)
-        out = Stored(rows.join(wanted.df.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-        wanted.drop()
-        return out
-
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        return arrow_map(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y"), _verify_rows, "a binary, b binary",
-                         self.percent, self.levels and self.levels[:2])
+        several = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+        return Stored(tokens.join(several, "token"), "tokens")
+
+    def verified(self, pairs: DataFrame, nodes: Stored, others: Stored) -> Stored:
+        """The pairs that link, after the filters of the other orders."""
+        sides = [others.df.select(F.col("node").alias(c), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(1, ORDERS)]) for c in "ab"]
+        meet = pairs.join(sides[1], "b").join(sides[0], "a")
+        for k in range(1, ORDERS):
+            meet = meet.filter(F.arrays_overlap(f"a{k}", f"b{k}"))
+        open_ = Stored(meet.select("a", "b"), "open")
+        ends = open_.df.select(F.col("a").alias("node")).unionByName(open_.df.select(F.col("b").alias("node"))).distinct()
+        wanted = Stored(nodes.df.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
+        sets = Stored(self.pass_over(_set_rows, "node binary, tokens array<bigint>", wanted.df), "sets")
+        x = sets.df.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+        y = sets.df.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        links = Stored(arrow_map(open_.df.join(y, "b").join(x, "a").select("a", "b", "x", "y"), _verify_rows,
+                                 "a binary, b binary", self.percent), "found")
+        for s in (open_, wanted, sets):
+            s.drop()
+        return links
 
     def alike(self, one: str, other: str) -> F.Column:
         return 100 * F.least(one, other) >= self.percent * F.greatest(one, other)
 
     def centre_pairs(self, groups: DataFrame, turn: int) -> DataFrame:
-        """Every member of a token group with one member chosen by hash."""
+        """Every member of a token group with one member chosen by hash, if they are in different components."""
         centre = groups.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
         return (groups.join(centre, "token").filter((F.col("root") != F.col("c.root")) & self.alike("n", "c.n"))
-                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
 
     def open_pairs(self, groups: DataFrame) -> DataFrame:
-        """Pairs of a token group that are in different components."""
-        open_ = groups.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-        g = groups.join(open_, "token", "left_semi")
-        other = g.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"))
-        return (g.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & self.alike("n", "m"))
-                .select(F.col("node").alias("a"), "b").distinct())
+        """All pairs of each token group that are in different components."""
+        other = groups.select("token", F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("s"))
+        return (groups.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & self.alike("n", "k"))
+                .select(F.col("node").alias("a"), "b"))
 
     def links(self, nodes: Stored) -> DataFrame:
         """(node, root) of the components with more than one node."""
         shared = self.shared(nodes)
-        sets = self.sets(nodes, shared)
+        ends = Stored(nodes.df.select("node", "doc_id").join(shared.df.select("node").distinct(), "node", "left_semi"), "wanted")
+        others = Stored(self.pass_over(_other_prefix_rows, "node binary, " + ", ".join(f"p{k} array<bigint>" for k in range(1, ORDERS)),
+                                       ends.df, self.percent, self.levels), "others")
+        ends.drop()
         groups = shared.df.withColumn("root", F.col("node"))
-        found = tested = roots = None
-        for turn in range(4):
-            pairs = self.centre_pairs(groups, turn)
-            pairs = Stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = Stored(self.verified(pairs.df, sets.df), "found")
+        large = groups.filter(F.col("m") > SMALL)
+        pairs = Stored(self.open_pairs(groups.filter(F.col("m") <= SMALL)).unionByName(self.centre_pairs(large, 0)).distinct(), "pairs")
+        found = tested = None
+        for turn in range(1, 6):
+            links = self.verified(pairs.df, nodes, others)
             found = links.df if found is None else found.unionByName(links.df)
             tested = pairs.df if tested is None else tested.unionByName(pairs.df)
-            if links.df.limit(1).count():
-                roots = Stored(components(found), "roots").df
-                groups = (shared.df.join(roots.withColumnRenamed("root", "r"), "node", "left")
-                          .select("token", "node", "n", F.coalesce("r", "node").alias("root")))
-            elif turn:
+            roots = Stored(components(found), "roots").df
+            if turn == 5:
+                break
+            groups = (shared.df.filter(F.col("m") > SMALL).join(roots.withColumnRenamed("root", "r"), "node", "left")
+                      .select("token", "node", "n", "m", F.coalesce("r", "node").alias("root")))
+            split = groups.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+                F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left")).filter("left > 0")
+            members, left = split.agg(F.sum("c"), F.sum("left")).first()
+            if not members:
                 break
-            each = groups.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
-                ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left"), F.sum("c").alias("m"))
-            left, members = each.agg(F.sum("left"), F.sum("m")).first()
-            if (left or 0) <= (members or 0):
+            open_ = groups.join(split.select("token"), "token", "left_semi")
+            last = turn == 4 or left <= SMALL * members
+            step = self.open_pairs(open_) if last else self.centre_pairs(open_, turn)
+            pairs = Stored(step.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            if last:
+                links = self.verified(pairs.df, nodes, others)
+                roots = Stored(components(found.unionByName(links.df)), "roots").df
                 break
-        pairs = Stored(self.open_pairs(groups).join(tested, ["a", "b"], "left_anti"), "pairs")
-        last = Stored(self.verified(pairs.df, sets.df), "found")
-        if last.df.limit(1).count():
-            roots = Stored(components(found.unionByName(last.df)), "roots").df
-        sets.drop()
+        others.drop()
         shared.drop()
-        return roots if roots is not None else last.df.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return roots
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -224,7 +233,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     docs = picked(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     join = Join(docs, size, percent)
-    every = Stored(join.prefixes(docs), "shingled")
+    every = Stored(arrow_map(docs, _prefix_rows, "doc_id bigint, n bigint, node binary, prefix array<bigint>", size, percent, None), "shingled")
     nodes = Stored(every.df.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
     plain = Stored(every.df.select("doc_id", "n", "node"), "documents")
