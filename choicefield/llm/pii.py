@@ -4,7 +4,7 @@ Base detectors find e-mail addresses, IP addresses, card and phone numbers in th
 rewrites the text and keeps, for every character written, the source characters it stands for: look-alike letters and digits
 become ASCII and invisible characters vanish; spelled digits become digits; spelled or bracketed "at", "dot", "plus" and "dash"
 become signs. The same detectors run on the rewritten text and their spans are mapped back to the source. A mapped span is
-added if something inside was rewritten and no base span of its kind covers it; base spans stay as they are.
+added if something inside was rewritten and no base span of its kind covers it (for numbers: touches it); base spans stay.
 """
 
 from __future__ import annotations
@@ -53,15 +53,36 @@ def _folds() -> dict[int, str]:
 
 _FOLD = _folds()
 _HIDDEN = "­​‌‍⁠﻿"
-_FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_FOLD)) + _HIDDEN + "]")
+
+
+def _class(points: list[int]) -> str:
+    """A character class written as ranges, which is what the regular-expression engine searches fast."""
+    ranges: list[list[int]] = []
+    for c in sorted(points):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in ranges)
+
+
+_SMALL_FOLDS = _class([c for c in (*_FOLD, *map(ord, _HIDDEN)) if c < 1 << 16])
+_FOLDED = re.compile(f"[{_SMALL_FOLDS}]")
+_MATH = re.compile("[\U0001d400-\U0001d7ff]")
+_ANY_FOLDED = re.compile(f"[{_SMALL_FOLDS}]|[\U0001d400-\U0001d7ff]")
 _NUMBER = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:double|triple)\s+)?(?:{_NUMBER})(?:[\s,-]+(?:(?:double|triple)\s+)?(?:{_NUMBER}))*(?!\w)", re.I)
 _SIGN = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<a1>{_AT}|@)|(?P<d1>{_DOT}|\.))\s*[)\]}}>]\s*"
                    rf"|(?<=[\w])\s+(?:(?P<a2>{_AT}|@)|(?P<d2>{_DOT}|\.))\s+(?=\w)"
                    rf"|(?<!\w)(?P<plus>plus)\s+(?=[0-9])|(?<=[0-9])\s+(?P<dash>dash|hyphen)\s+(?=[0-9])", re.I)
-_HINT = re.compile(rf"[(\[{{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[)\]}}>]|\s(?:{_DOT}|[@.])\s|(?:\w[._]\w+|\w[0-9])\s+(?:{_AT})\s+\w", re.I)
+_BRACKETED = re.compile(rf"[(\[{{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[)\]}}>]", re.I)
+_SPACED = re.compile(rf"\s(?:{_DOT}|[@.])\s", re.I)
+_BARE = re.compile(rf"[0-9._]\S*\s+(?:{_AT})\s+\S+\.[a-z]|[0-9]\s+(?:{_AT})\s", re.I)
+_DOT_WORDS, _SIGN_WORDS = tuple(_DOT.split("|")), frozenset([*_DOT.split("|"), "plus", "double", "triple"])
 _PLAIN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_TLD})(?![\w.-]*\w)", re.I)
-_MANY = re.compile(rf"(?<!\w)(?:{_NUMBER})(?:[\s,.-]+|\s+(?:{_DOT})\s+)(?:(?:double|triple)\s+)?(?:{_NUMBER}|[0-9])(?!\w)", re.I)
+
+_SIGN_BEFORE = re.compile(rf"(?<!\w)(?:{_DOT}|plus)\s+$", re.I)
+_SIGN_AFTER = re.compile(rf"\s+(?:{_DOT})(?!\w)", re.I)
 
 Span = tuple[str, int, int]
 
@@ -140,9 +161,12 @@ def _digits(m: re.Match) -> str | None:
         else:
             out.append(str(_DIGITS[w]) * times)
             times = 1
-    around = m.string[max(0, m.start() - 12):m.start()], m.string[m.end():m.end() + 12]
-    near = re.search(rf"(?:[0-9.+-]|\b(?:{_DOT}|plus|dash))\s*$", around[0], re.I) or re.match(rf"\s*(?:[0-9.-][0-9]|[0-9]|(?:{_DOT}|dash)\b)", around[1], re.I)
-    return "".join(out) if len(words) > 1 or near else None
+    if len(words) == 1:
+        before, after = m.string[max(0, m.start() - 12):m.start()], m.string[m.end():m.end() + 12]
+        sign = _SIGN_BEFORE.search(before) or _SIGN_AFTER.match(after)
+        if not sign and not (before.rstrip()[-1:].isdigit() and after.lstrip()[:1].isdigit()):
+            return None
+    return "".join(out)
 
 
 def _sign(m: re.Match) -> str | None:
@@ -162,19 +186,46 @@ def _sign(m: re.Match) -> str | None:
     return "@" if spelled or (re.search(r"[0-9._]", local[0]) and _PLAIN_DOMAIN.match(after)) else None
 
 
+def hints(text: str) -> bool:
+    """Whether the text may hold a disguise; cheap looks first, as nearly all texts have none."""
+    if not text.isascii() and (_FOLDED.search(text) or _MATH.search(text)):
+        return True
+    low = text.lower()
+    if any(c in low for c in "([{<") and _BRACKETED.search(low):
+        return True
+    if any(w in low for w in (*_DOT_WORDS, " @", " .")) and _SPACED.search(low):
+        return True
+    if re.search(r"\.[a-z]", low) and _BARE.search(low):
+        return True
+    words = low.replace("-", " ").replace(",", " ").split()
+    if _DIGITS.keys().isdisjoint(words):
+        return False
+    last = len(words) - 1
+    for i, w in enumerate(words):
+        if w in _DIGITS and i < last:
+            after = words[i + 1]
+            if after in _DIGITS or after in _SIGN_WORDS or "0" <= after[0] <= "9":
+                return True
+        elif w in _SIGN_WORDS and i < last and words[i + 1] in _DIGITS:
+            return True
+        elif "0" <= w[-1] <= "9" and i < last and words[i + 1] in _DIGITS:
+            return True
+    return False
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans in source characters that only the rewritten text shows."""
-    folded, hinted, spelled = _FOLDED.search(text), _HINT.search(text), _MANY.search(text)
-    if not (folded or hinted or spelled):
+    if not hints(text):
         return []
     now = Aligned(text, list(range(len(text))), list(range(1, len(text) + 1)))
-    if folded:
-        now = now.rewritten(_FOLDED, lambda m: _FOLD.get(ord(m[0]), ""))
+    if not text.isascii():
+        now = now.rewritten(_ANY_FOLDED, lambda m: _FOLD.get(ord(m[0]), "" if m[0] in _HIDDEN else m[0]))
     now = now.rewritten(_SPELLED, _digits).rewritten(_SIGN, _sign)
     out = []
     for kind, a, b in base_spans(now.text) if now.text != text else []:
         start, end = now.start[a], now.end[b - 1]
-        if text[start:end] != now.text[a:b] and not any(k == kind and s <= start and end <= e for k, s, e in base):
+        known = any(k == kind and (s <= start and end <= e if k == "email" else s < end and start < e) for k, s, e in base)
+        if not known and text[start:end] != now.text[a:b]:
             out.append((kind, start, end))
     return out
 
