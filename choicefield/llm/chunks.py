@@ -5,33 +5,51 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 #: A space between two other non-space signs starts a match, whatever follows: the pattern's white-space matches start at the
 #: first white space of a run, and all others take at most one space, in front.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
-KEPT = 300_000
+KEPT = 400_000
 LONG = 64
+JOINED = 1 << 16
 
 
 class Chunks:
-    """Encodes texts piece by piece; ``encode(pieces)`` gives one bytes object for each piece. Keeps up to ``KEPT`` short pieces."""
+    """Encodes texts piece by piece and keeps up to ``KEPT`` short pieces.
+
+    ``encode(text)`` gives the ids of a text as little-endian unsigned 32-bit integers, ``sizes`` the bytes of each id.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], sizes: np.ndarray):
+        self.encode, self.sizes, self.after_space = encode, sizes, {}
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.after_space = encode, {}
+    def learn(self, pieces: list[str]) -> None:
+        """Codes of pieces that follow a space; many in one call, told apart again by their bytes."""
+        start = size = 0
+        for i, p in enumerate(pieces):
+            size += len(p) + 1
+            if size > JOINED or i + 1 == len(pieces):
+                block = pieces[start:i + 1]
+                code = self.encode(" " + " ".join(block))
+                ends = np.cumsum([len(p.encode()) + 1 for p in block])
+                at = 4 * (np.searchsorted(np.cumsum(self.sizes[np.frombuffer(code, "<u4")]), ends) + 1)
+                self.after_space.update(zip(block, [code[a:b] for a, b in zip([0, *at.tolist()], at.tolist())]))
+                start, size = i + 1, 0
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The concatenated codes of each text."""
         known = self.after_space
         if len(known) > KEPT:
             known.clear()
-        firsts, rests = [], []
-        for text in texts:
-            parts = _SAFE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-            firsts.append(parts[0])
-            rests.append(parts[1:])
-        fresh = list({p for parts in rests for p in parts if p not in known})
-        known.update(zip(fresh, self.encode([" " + p for p in fresh])))
-        codes = [b"".join([first, *map(known.__getitem__, parts)]) for first, parts in zip(self.encode(firsts), rests)]
+        parts = [_SAFE.split(text) if _TWO_SPACES.search(text) else text.split(" ") for text in texts]
+        firsts = [p.pop(0) for p in parts]
+        fresh = {p for p in set().union(*parts) if p not in known}
+        edge = [p for p in fresh if not p or p[0].isspace() or p[-1].isspace()]
+        self.learn(list(fresh.difference(edge)))
+        known.update((p, self.encode(" " + p)) for p in edge)
+        codes = [b"".join([self.encode(first), *map(known.__getitem__, rest)]) for first, rest in zip(firsts, parts)]
         for p in fresh:
             if len(p) > LONG:
                 del known[p]

@@ -5,9 +5,11 @@ Linked sets share a token among the first ``n - ceil(n * percent / 100) + 1`` to
 of tokens. An order here sorts by (frequency level, seeded hash): candidates come from a join on the prefix of the first
 order; only pairs whose prefixes meet under all other orders too are verified.
 
-Scale. Equal sets are one node, so copies never meet in a join. Tokens that several prefixes share get a frequency level and
-move to the end of every order; their table has at most 2^20 entries whatever the input (it holds tokens in more than
-``prefix rows / 2^20`` prefixes), so it may travel with the tasks. Every order is valid, so this is about speed only. A token
+Scale. Equal sets are one node, so copies never meet in a join. Rare tokens come first in every order. Frequencies are counted
+in two steps, as counting all tokens would shuffle more than the texts: exactly for one token in ``SAMPLED``, by hash; then, as
+frequent tokens come in passages, for the tokens up to ``NEAR`` places from a frequent sampled one. The table of frequent tokens
+has at most 2^20 entries whatever the input (it holds those counted more than ``rows / 2^20`` times), so it may travel with the
+tasks. Every order is valid, so a token that it lacks costs time, not results. A token
 group above ``SMALL`` members is not expanded into all pairs: its members are first compared with one centre at a time, linked
 sets are contracted to components, and only pairs that are still in different components are compared, until none is left.
 Texts are never shuffled: a later pass over them picks its rows by a bit filter of at most 8 MB and shuffles what it makes of
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, arrow_map, bit_filter, components, filtered, picked, text_slices
-from .shingles import mix, shingle_sets
+from .shingles import distinct, mix, shingle_sequences, shingle_sets
 
 SIZE, PERCENT = 4, 85
 ORDERS = 3
 FREQUENT = 2
-SMALL = 32
 FREQUENT_TABLE = 1 << 20
+SAMPLED = 16
+NEAR = 64
+SMALL = 32
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
 
 
@@ -71,10 +75,32 @@ def _digest(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _prefix_rows(batch, size, percent, levels, wanted=None) -> Iterator[dict]:
-    for part, texts in _texts(filtered(batch, wanted)):
+def _node_rows(batch, size) -> Iterator[dict]:
+    for part, texts in _texts(batch):
         sets = list(shingle_sets(texts, size))
         yield {"doc_id": part.column("doc_id"), "n": [len(s) for s in sets], "node": [_digest(s) for s in sets],
+               "some": _lists([s[mix(s) % np.uint64(SAMPLED) == 0] for s in sets])}
+
+
+def _near_rows(batch, size, frequent, wanted) -> Iterator[dict]:
+    """The distinct tokens near a frequent one."""
+    for _, texts in _texts(filtered(batch, wanted)):
+        nodes, near = [], []
+        for grams in shingle_sequences(texts, size):
+            at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+            hits = np.flatnonzero(frequent[at] == grams)
+            edge = np.zeros(len(grams) + 1, np.int64)
+            np.add.at(edge, np.maximum(hits - NEAR, 0), 1)
+            np.add.at(edge, np.minimum(hits + NEAR + 1, len(grams)), -1)
+            nodes.append(_digest(distinct(grams)))
+            near.append(distinct(grams[np.cumsum(edge[:-1]) > 0]))
+        yield {"node": nodes, "near": _lists(near)}
+
+
+def _prefix_rows(batch, size, percent, levels) -> Iterator[dict]:
+    for part, texts in _texts(batch):
+        sets = list(shingle_sets(texts, size))
+        yield {"node": [_digest(s) for s in sets], "doc_id": part.column("doc_id"), "n": [len(s) for s in sets],
                "prefix": _lists([prefix(s, 0, percent, levels) for s in sets])}
 
 
@@ -112,7 +138,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs.withColumn("filter_hash", F.xxhash64("doc_id")), size, percent
-        self.levels = self.counts = None
+        self.levels = None
 
     def pass_over(self, rows, schema: str, wanted: DataFrame, *args) -> DataFrame:
         """What ``rows`` makes of the texts of the wanted (node, doc_id), one row for each node."""
@@ -121,29 +147,28 @@ class Join:
         columns = [c for c in made.columns if c != "node"]
         return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
 
-    def refined(self, nodes: Stored) -> Stored:
-        """Prefixes again with the tokens that several of them share at the end of the order; unchanged where there is none."""
-        total = nodes.df.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        limit = max(FREQUENT, total // FREQUENT_TABLE)
-        frequent = Stored(nodes.df.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") > limit), "frequent")
-        table = frequent.df.toArrow()  # at most FREQUENT_TABLE rows
-        known = dict(zip(table["token"].to_pylist(), table["count"].to_pylist()))
-        if not known:
-            frequent.drop()
-            return nodes
-        for t, c in (self.counts or {}).items():
-            known[t] = max(c, known.get(t, 0))
-        self.counts = known
-        tokens = np.array(list(known), np.int64).view(np.uint64)
-        at = np.argsort(tokens)
-        self.levels = tokens[at], np.log2(np.fromiter(known.values(), np.int64, len(known))[at]).astype(np.uint64)
-        moved = Stored(nodes.df.select("node", "doc_id", F.explode("prefix").alias("token"))
-                       .join(frequent.df.select("token"), "token", "left_semi").select("node", "doc_id").distinct(), "moved")
-        fresh = self.pass_over(_prefix_rows, "doc_id bigint, n bigint, node binary, prefix array<bigint>", moved.df, self.percent, self.levels)
-        out = Stored(nodes.df.join(moved.df.select("node"), "node", "left_anti").unionByName(fresh.select(nodes.df.columns)), "nodes")
-        for x in (nodes, frequent, moved):
-            x.drop()
-        return out
+    def frequent(self, tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted tokens, counts) of those that occur most, at most ``FREQUENT_TABLE``."""
+        counted = Stored(tokens.groupBy("token").count().filter(F.col("count") > FREQUENT), "frequent")
+        total = counted.df.agg(F.sum("count")).first()[0] or 0
+        table = counted.df.filter(F.col("count") > total // FREQUENT_TABLE).toArrow()
+        counted.drop()
+        found = table["token"].to_numpy().view(np.uint64)
+        at = np.argsort(found)
+        return found[at], table["count"].to_numpy()[at]
+
+    def find_levels(self, nodes: DataFrame) -> None:
+        """Frequency levels of the tokens that many nodes share, from ``nodes`` (node, doc_id, some)."""
+        some = nodes.select("node", "doc_id", F.explode("some").alias("token"))
+        tokens, _ = self.frequent(some)
+        if not len(tokens):
+            return
+        known = self.docs.sparkSession.createDataFrame(pa.table({"token": tokens.view(np.int64)}))
+        hit = Stored(some.join(known, "token", "left_semi").select("node", "doc_id").distinct(), "hit")
+        near = self.pass_over(_near_rows, "node binary, near array<bigint>", hit.df, tokens)
+        tokens, counts = self.frequent(near.select(F.explode("near").alias("token")))
+        self.levels = tokens, np.log2(np.maximum(counts, 1)).astype(np.uint64)
+        hit.drop()
 
     def shared(self, nodes: Stored) -> Stored:
         """(token, node, n, m) of the prefix tokens that m > 1 nodes share."""
@@ -233,13 +258,16 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     docs = picked(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     join = Join(docs, size, percent)
-    every = Stored(arrow_map(docs, _prefix_rows, "doc_id bigint, n bigint, node binary, prefix array<bigint>", size, percent, None), "shingled")
-    nodes = Stored(every.df.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    every = Stored(arrow_map(docs, _node_rows, "doc_id bigint, n bigint, node binary, some array<bigint>", size), "shingled")
+    heads = Stored(every.df.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("some").alias("some")), "heads")
     plain = Stored(every.df.select("doc_id", "n", "node"), "documents")
     every.drop()
-    for _ in range(2):
-        nodes = join.refined(nodes)
+    join.find_levels(heads.df)
+    made = arrow_map(docs, _prefix_rows, "node binary, doc_id bigint, n bigint, prefix array<bigint>", size, percent, join.levels)
+    keys = heads.df.select(F.col("node").alias("head"), F.col("doc_id").alias("id"))
+    nodes = Stored(made.join(keys, (F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+                   .dropDuplicates(["node"]), "nodes")
+    heads.drop()
     first = nodes.df.select("node", F.col("doc_id").alias("low"))
     roots = join.links(nodes)
     grouped = first.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))

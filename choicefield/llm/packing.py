@@ -49,10 +49,10 @@ def _chunks(path: str) -> Chunks:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        _READY[path] = Chunks(encode)
+        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            sizes[i] = len(token)  # a byte-level vocabulary writes each byte as one sign
+        _READY[path] = Chunks(lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), sizes)
     return _READY[path]
 
 

@@ -64,15 +64,14 @@ def _windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(sum(words[i:i + n] * _STEP[i] for i in range(size)))
 
 
-def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its ``size``-word shingles; a shorter word sequence counts as one shingle."""
+def shingle_sequences(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of its ``size``-word shingles in order; a shorter word sequence counts as one shingle."""
     def of(words: np.ndarray, grams: np.ndarray) -> np.ndarray:
         if not len(words):
             return np.empty(0, np.uint64)
         if len(words) < size:
             return mix((words * _STEP[:len(words)]).sum(keepdims=True) + np.uint64(len(words) * _BASE % 2**64))
-        grams = np.sort(grams)
-        return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
+        return grams
 
     i = 0
     while i < len(texts):
@@ -91,3 +90,13 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 yield of(words[a:b], grams[a:max(a, b - size + 1)])
         i = j
+
+
+def distinct(grams: np.ndarray) -> np.ndarray:
+    grams = np.sort(grams)
+    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))] if len(grams) else grams
+
+
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The same as sorted distinct hashes."""
+    return map(distinct, shingle_sequences(texts, size))
