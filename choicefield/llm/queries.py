@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, langid, packing, pii
+from . import ann, bpe, chat, html, langid, packing, pii, secret_scan
+from .common import Stored
 from .ngram_join import jaccard_components
 
 
@@ -20,6 +21,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = Stored(secret_scan.findings(docs, secret_scan.corpus_of(docs)), "findings").df
+    return secret_scan.scan(found, secret_scan.train(found, label="weak"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -52,6 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_secret_scan": op3_secret_scan,
     "op4_html_text": op4_html_text,
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
