@@ -14,6 +14,7 @@ from ..session import fresh_path
 
 TEXT_BLOCK = 1 << 20
 FILTER_BITS = 1 << 26
+SMALL = 32
 
 
 def column(name: str) -> Column:
@@ -130,3 +131,51 @@ def components(edges: DataFrame) -> DataFrame:
     stars = now.df
     return stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def centre_pairs(groups: DataFrame, turn: int, alike: Callable[[str, str], Column]) -> DataFrame:
+    """Every member of a token group with one member chosen by hash, if they are in different components."""
+    centre = groups.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
+    return (groups.join(centre, "token").filter((F.col("root") != F.col("c.root")) & alike("n", "c.n"))
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
+
+
+def open_pairs(groups: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs of each token group that are in different components."""
+    other = groups.select("token", F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("s"))
+    return (groups.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & alike("n", "k"))
+            .select(F.col("node").alias("a"), "b"))
+
+
+def linked_components(shared: DataFrame, alike: Callable[[str, str], Column], verified: Callable[[DataFrame], Stored]) -> DataFrame:
+    """(node, root) of the components that verified pairs make among nodes that share a token.
+
+    ``shared`` is a stored (token, node, n, m) with m members of a token's group, ``alike`` a cheap condition on two n, and
+    ``verified`` keeps of pairs (a, b) those that link. Groups up to ``SMALL`` members give all their pairs. A larger one is first
+    compared with one centre at a time and contracted to components; then all pairs that are still in different components
+    are compared. So the components are those of all links, while a large group of linked members never gives all its pairs.
+    """
+    groups = shared.withColumn("root", F.col("node"))
+    first = open_pairs(groups.filter(F.col("m") <= SMALL), alike).unionByName(centre_pairs(groups.filter(F.col("m") > SMALL), 0, alike))
+    pairs = Stored(first.distinct(), "pairs")
+    found = tested = None
+    turn, last = 0, False
+    while True:
+        turn += 1
+        links = verified(pairs.df)
+        found = links.df if found is None else found.unionByName(links.df)
+        tested = pairs.df if tested is None else tested.unionByName(pairs.df)
+        roots = Stored(components(found), "roots").df
+        if last:
+            return roots
+        groups = (shared.filter(F.col("m") > SMALL).join(roots.withColumnRenamed("root", "r"), "node", "left")
+                  .select("token", "node", "n", "m", F.coalesce("r", "node").alias("root")))
+        split = groups.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+            F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left")).filter("left > 0")
+        members, left = split.agg(F.sum("c"), F.sum("left")).first()
+        if not members:
+            return roots
+        open_ = groups.join(split.select("token"), "token", "left_semi")
+        last = turn == 4 or left <= SMALL * members
+        step = open_pairs(open_, alike) if last else centre_pairs(open_, turn, alike)
+        pairs = Stored(step.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")

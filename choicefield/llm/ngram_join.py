@@ -10,7 +10,7 @@ in two steps, as counting all tokens would shuffle more than the texts: exactly
 frequent tokens come in passages, for the tokens up to ``NEAR`` places from a frequent sampled one. The table of frequent tokens
 has at most 2^20 entries whatever the input (it holds those counted more than ``rows / 2^20`` times), so it may travel with the
 tasks. Every order is valid, so a token that it lacks costs time, not results. A token
-group above ``SMALL`` members is not expanded into all pairs: its members are first compared with one centre at a time, linked
+group above 32 members is not expanded into all pairs: its members are first compared with one centre at a time, linked
 sets are contracted to components, and only pairs that are still in different components are compared, until none is left.
 Texts are never shuffled: a later pass over them picks its rows by a bit filter of at most 8 MB and shuffles what it makes of
 them. All steps live in the shared folder.
@@ -23,10 +23,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow_map, bit_filter, components, filtered, picked, text_slices
+from .common import Stored, arrow_map, bit_filter, filtered, linked_components, picked, text_slices
 from .shingles import distinct, mix, shingle_sequences, shingle_sets
 
 SIZE, PERCENT = 4, 85
@@ -35,7 +35,6 @@ FREQUENT = 2
 FREQUENT_TABLE = 1 << 20
 SAMPLED = 16
 NEAR = 64
-SMALL = 32
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
 
 
@@ -194,21 +193,6 @@ class Join:
             s.drop()
         return links
 
-    def alike(self, one: str, other: str) -> F.Column:
-        return 100 * F.least(one, other) >= self.percent * F.greatest(one, other)
-
-    def centre_pairs(self, groups: DataFrame, turn: int) -> DataFrame:
-        """Every member of a token group with one member chosen by hash, if they are in different components."""
-        centre = groups.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
-        return (groups.join(centre, "token").filter((F.col("root") != F.col("c.root")) & self.alike("n", "c.n"))
-                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
-
-    def open_pairs(self, groups: DataFrame) -> DataFrame:
-        """All pairs of each token group that are in different components."""
-        other = groups.select("token", F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("s"))
-        return (groups.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & self.alike("n", "k"))
-                .select(F.col("node").alias("a"), "b"))
-
     def links(self, nodes: Stored) -> DataFrame:
         """(node, root) of the components with more than one node."""
         shared = self.shared(nodes)
@@ -216,32 +200,11 @@ class Join:
         others = Stored(self.pass_over(_other_prefix_rows, "node binary, " + ", ".join(f"p{k} array<bigint>" for k in range(1, ORDERS)),
                                        ends.df, self.percent, self.levels), "others")
         ends.drop()
-        groups = shared.df.withColumn("root", F.col("node"))
-        large = groups.filter(F.col("m") > SMALL)
-        pairs = Stored(self.open_pairs(groups.filter(F.col("m") <= SMALL)).unionByName(self.centre_pairs(large, 0)).distinct(), "pairs")
-        found = tested = None
-        for turn in range(1, 6):
-            links = self.verified(pairs.df, nodes, others)
-            found = links.df if found is None else found.unionByName(links.df)
-            tested = pairs.df if tested is None else tested.unionByName(pairs.df)
-            roots = Stored(components(found), "roots").df
-            if turn == 5:
-                break
-            groups = (shared.df.filter(F.col("m") > SMALL).join(roots.withColumnRenamed("root", "r"), "node", "left")
-                      .select("token", "node", "n", "m", F.coalesce("r", "node").alias("root")))
-            split = groups.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
-                F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left")).filter("left > 0")
-            members, left = split.agg(F.sum("c"), F.sum("left")).first()
-            if not members:
-                break
-            open_ = groups.join(split.select("token"), "token", "left_semi")
-            last = turn == 4 or left <= SMALL * members
-            step = self.open_pairs(open_) if last else self.centre_pairs(open_, turn)
-            pairs = Stored(step.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            if last:
-                links = self.verified(pairs.df, nodes, others)
-                roots = Stored(components(found.unionByName(links.df)), "roots").df
-                break
+
+        def alike(one: str, other: str) -> Column:
+            return 100 * F.least(one, other) >= self.percent * F.greatest(one, other)
+
+        roots = linked_components(shared.df, alike, lambda pairs: self.verified(pairs, nodes, others))
         others.drop()
         shared.drop()
         return roots

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, langid, packing, pii, secret_scan
+from . import ann, bpe, chat, html, langid, media, packing, pii, secret_scan
 from .common import Stored
 from .ngram_join import jaccard_components
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables hold no images, so each embedding is drawn as one, and one in ten also as an edited copy."""
+    return media.image_copies(media.drawings(table(spark, sf_dir, "embeddings")))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_copies": op1_media_copies,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_secret_scan": op3_secret_scan,
     "op4_html_text": op4_html_text,
