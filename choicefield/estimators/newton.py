@@ -70,6 +70,11 @@ class Fit:
         rows = [(n, float(b), float(s)) for n, b, s in zip(self.names, self.theta, self.std_errors())]
         return coef_table(spark.createDataFrame(rows, "parameter string, estimate double, std_error double"), "estimate", "std_error")
 
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The coefficients, and whether and how the search ended: converged, n_iterations, max_gradient on every row."""
+        return self.coefficients(spark).withColumns({
+            "converged": F.lit(self.converged), "n_iterations": F.lit(len(self.trace)), "max_gradient": F.lit(float(np.abs(self.point.gradient).max()))})
+
     def statistics(self, spark: SparkSession) -> DataFrame:
         k, ll, n = len(self.names), self.point.ll, self.n_obs
         rho = 1 - ll / self.null_ll if self.null_ll else None
@@ -130,7 +135,8 @@ def maximise(names: list[str], start: np.ndarray, evaluate: Callable[[dict[str,
                     break
             step /= 2
         if found is None:
-            converged = bool(np.abs(point.gradient).max() < 1e-6 * max(n_obs, 1))
+            # no step raises the likelihood: at the optimum up to the sums' own rounding, or stuck
+            converged = bool(point.gradient @ direction < max(tol, 1e-12 * abs(point.ll)))
             break
         if learn_curvature and step < 0.25:
             inv = _bfgs(inv, trial - theta, point.gradient - found.gradient)

@@ -1,8 +1,8 @@
 """Ordered and grouped primitives that stay spread out when one group is huge.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task. The helpers here ask first
-(one sketch aggregate over the key column) whether any group is that large. If not, they are the plain
-window. If so, hot groups are cut:
+A plain ``Window.partitionBy(key)`` puts every row of a key into one task. The helpers here count the groups
+exactly first (a partially combined aggregate: a row per key and task). If none exceeds ``HOT_ROWS`` rows, they are the
+plain window. If one does, it is cut:
 
 * ``with_group_values`` - group aggregates on each row; the totals of hot groups come from a partially
   combined aggregate instead of the window;
@@ -10,8 +10,8 @@ window. If so, hot groups are cut:
   ranges, and each range starts from the totals of the ranges before it;
 * ``exact_quantiles`` - linear-interpolated quantiles from running value counts.
 
-Both ways give the same values. What is broadcast are the hot groups' own totals and ranges: at most
-rows / ``hot_rows`` groups of 1024 ranges, whatever the data is.
+Both ways give the same values. Totals and ranges of hot groups are joined without a broadcast hint, so their number
+may grow with the data.
 """
 
 from __future__ import annotations
@@ -19,18 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 HOT_ROWS = 5_000_000
-COARSE = FINE = 32
-RANGES = COARSE * FINE
+RANGES = 1024
 
 
 def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> bool:
-    """Does the largest group exceed ``hot_rows`` rows? A frequent-items sketch never underestimates a count."""
+    """Does any group exceed ``hot_rows`` rows? An exact count; what reaches the driver is one number."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     if not keys:
         return df.count() > hot_rows
-    top = df.select(F.xxhash64(*keys).alias("k")).agg(F.count("k").alias("n"), F.expr("approx_top_k(k, 1, 10000)").alias("t")).first()
-    return top.n > hot_rows and bool(top.t) and top.t[0]["count"] > hot_rows
+    return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > hot_rows
 
 
 def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
@@ -42,7 +42,7 @@ def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
                       split: bool | None = None, hot_rows: int | None = None) -> DataFrame:
     """Each row with the aggregates of its group (``values``: name -> aggregate).
 
-    ``split``: whether some group is hot; None asks the sketch, which costs a pass over the key column.
+    ``split``: whether some group is hot; None counts the groups, which costs a pass over the key columns.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     if not (has_hot_group(df, keys, hot_rows) if split is None else split):
@@ -54,7 +54,7 @@ def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
               .filter(F.col("__n") > hot_rows))
     hot = F.col("__n").isNotNull()
     salt = F.when(hot, F.pmod(F.xxhash64(*df.columns), F.lit(RANGES))).otherwise(0)
-    joined = df.join(F.broadcast(totals), keys, "left").withColumn("__salt", salt)
+    joined = df.join(totals, keys, "left").withColumn("__salt", salt)
     w = Window.partitionBy(*keys, "__salt")
     return joined.select(
         *df.columns,
@@ -66,29 +66,20 @@ def _parse(df: DataFrame, order: list[str]):
     sort = [F.col(c).desc() if o.startswith("-") else F.col(c).asc() for o, c in zip(order, cols)]
     rank = F.struct(*[(-F.col(c) if o.startswith("-") else F.col(c)).alias(f"o{i}")
                       for i, (o, c) in enumerate(zip(order, cols))])
-    lead = F.col(cols[0])
-    if df.schema[cols[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
-        lead = F.unix_micros(lead.cast("timestamp"))
-    lead = lead.cast("double")
-    return sort, rank, (-lead if order[0].startswith("-") else lead)
+    return sort, rank
 
 
-def _into_ranges(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Adds ``__range`` (0 .. 1023 along ``__lead`` for hot groups, -1 for all others)."""
-    probs = [i / RANGES for i in range(1, RANGES)]
-    cut = F.percentile_approx("__lead", probs, 10_000).alias("__cuts")
-    if keys:
-        hot = df.join(F.broadcast(_hot_keys(df, keys, hot_rows)), keys, "left_semi")
-        cuts = hot.groupBy(*keys).agg(cut)
-        df = df.join(F.broadcast(cuts), keys, "left")
-    else:
-        df = df.withColumn("__cuts", df.agg(cut).scalar())
-    # two short searches instead of one long one: first among every 32nd cut, then among the 31 after it
-    df = df.withColumn("__coarse", F.expr(f"transform(sequence(1, {COARSE - 1}), i -> __cuts[i * {FINE} - 1])"))
-    df = df.withColumn("__step", F.expr("size(filter(__coarse, c -> c < __lead))"))
-    fine = F.expr(f"__step * {FINE} + size(filter(slice(__cuts, __step * {FINE} + 1, {FINE - 1}), c -> c < __lead))")
-    return (df.withColumn("__range", F.when(F.col("__cuts").isNull(), -1).otherwise(fine))
-            .drop("__cuts", "__coarse", "__step"))
+def _into_ranges(df: DataFrame, keys: list[str], sort: list[Column], hot_rows: int) -> DataFrame:
+    """Adds ``__range``: -1 for rows of small groups; the others are cut into ranges along the whole order, ties in its
+    first columns included, and numbered along it. Written once, as cuts are sampled."""
+    def placed(hot: DataFrame) -> DataFrame:
+        ranged = hot.repartitionByRange(RANGES, *keys, *sort).withColumn("__range", F.spark_partition_id())
+        return stored(ranged, "ranges")
+
+    if not keys:
+        return placed(df)
+    hot_keys = _hot_keys(df, keys, hot_rows)
+    return placed(df.join(hot_keys, keys, "left_semi")).unionByName(df.join(hot_keys, keys, "left_anti").withColumn("__range", F.lit(-1)))
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, number: str | None = None,
@@ -97,17 +88,16 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, number: st
                  split: bool | None = None, hot_rows: int | None = None) -> DataFrame:
     """Row number / lag / running sum / running max (up to, or strictly before, the row) within ``keys``.
 
-    ``order`` names non-null columns ("-x" = descending) and must be a total order; the first one is a number,
-    date or timestamp, and so is every descending one.
+    ``order`` names non-null columns ("-x" = descending) and must be a total order; every descending one is a number.
     """
     lag, run_sum, run_max, max_before = lag or {}, run_sum or {}, run_max or {}, max_before or {}
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     split = has_hot_group(df, keys, hot_rows) if split is None else split
-    sort, rank, lead = _parse(df, order)
+    sort, rank = _parse(df, order)
     groups = list(keys)
     if split:
         groups.append("__range")
-        ranged = _into_ranges(df.withColumn("__lead", lead), keys, hot_rows)
+        ranged = _into_ranges(df, keys, sort, hot_rows)
     else:
         ranged = df
     here = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*sort)
@@ -126,7 +116,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *, number: st
                 parts.append(how(c).alias(f"p_{out}"))
                 carry.append(how(f"p_{out}").over(prior).alias(f"__c_{out}"))
         ranges = ranged.filter("__range >= 0").groupBy(*groups).agg(*parts).select(*groups, *carry)
-        ranged = ranged.join(F.broadcast(ranges), groups, "left")
+        ranged = ranged.join(ranges, groups, "left")
 
     def carried(value: Column, out: str, join) -> Column:
         return join(value, F.col(f"__c_{out}")) if split else value
@@ -180,7 +170,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, split:
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, name: str | None = None) -> DataFrame:
     """First ``n`` rows per group. Spark turns the rank filter into a per-task group limit before the shuffle."""
-    sort, _, _ = _parse(df, order)
+    sort, _ = _parse(df, order)
     rn = name or "__rn"
     out = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))).filter(F.col(rn) <= n)
     return out if name else out.drop(rn)

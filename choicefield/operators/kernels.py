@@ -16,9 +16,18 @@ from ..functions.groups import has_hot_group, numbered, with_group_values
 from ..functions.normal import norm_cdf, norm_pdf, with_normals
 from ..functions.scalars import PROB_FLOOR, add, clip, clip_prob, hash_unit
 
-MAX_EXPONENT = 700.0
-# First primes, one per draw dimension.
-PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47]
+OCTAVE = 256.0  # width of the exponent ranges whose sums are kept apart; any width that exp() and its products can hold
+
+
+def primes(n: int) -> list[int]:
+    """The first ``n`` primes, one base per draw dimension."""
+    found: list[int] = []
+    k = 2
+    while len(found) < n:
+        if all(k % p for p in found if p * p <= k):
+            found.append(k)
+        k += 1
+    return found
 
 
 def relative_design(df: DataFrame, keys: list[str], attrs: list[str], chosen: str, keep: list[str] = (),
@@ -32,22 +41,34 @@ def relative_design(df: DataFrame, keys: list[str], attrs: list[str], chosen: st
             .select(*dict.fromkeys([*keys, *keep]), *[(F.col(a) - F.col(f"__c_{a}")).alias(f"d_{a}") for a in attrs]))
 
 
-def _exp(v: Column) -> Column:
-    return F.exp(F.least(v, F.lit(MAX_EXPONENT)))
+def exp_sums(rows: DataFrame, keys: list[str], v: Column, sums: dict[str, Column], carry: list[Column] = ()) -> DataFrame:
+    """Per ``keys``: for each of ``sums`` the sum of exp(v - shift) * value, and the ``__shift`` near the largest v.
+
+    Nothing overflows and no exponent is capped. Rows are summed by ranges of v first (partially combined); the ranges of
+    a key, nearly always one, are then put on the scale of the highest. Rows with a NULL v count as none.
+    """
+    level = F.floor(v / OCTAVE)
+    parts = (rows.withColumn("__level", level).withColumn("__e", F.exp(v - F.col("__level") * OCTAVE)).groupBy(*keys, "__level")
+             .agg(*[F.sum(F.col("__e") * value).alias(name) for name, value in sums.items()], *carry))
+    kept = [c for c in parts.columns if c not in (*keys, "__level", *sums)]
+    top = F.max("__level").over(Window.partitionBy(*keys))
+    scaled = parts.withColumn("__top", top).withColumn("__f", F.exp((F.col("__level") - F.col("__top")) * OCTAVE))
+    return scaled.groupBy(*keys).agg((F.max("__top") * OCTAVE).alias("__shift"), *[F.sum(F.col("__f") * F.col(n)).alias(n) for n in sums],
+                                     *[F.first(c, True).alias(c) for c in kept])
 
 
 def _set_ll(s: Column, floor: float = PROB_FLOOR) -> Column:
-    return F.log(clip(1.0 / s, floor, 1 - floor))
+    """Log-likelihood of a set whose exponentials, shifted by ``__shift``, sum to ``s``."""
+    return F.greatest(F.lit(math.log(floor)), F.least(F.lit(math.log1p(-floor)), -(F.log(s) + F.col("__shift"))))
 
 
 def set_scores(rel: DataFrame, keys: list[str], beta: dict[str, float], by: list[str] = (), hessian: bool = False) -> DataFrame:
     """Per choice set: ll, gradient g_<attr> and, if asked, the second derivatives h_<a>_<b> (upper triangle)."""
     attrs = list(beta)
-    e = _exp(add([F.lit(float(b)) * F.col(f"d_{a}") for a, b in beta.items()]))
+    v = add([F.lit(float(b)) * F.col(f"d_{a}") for a, b in beta.items()])
     pairs = [(a, b) for i, a in enumerate(attrs) for b in attrs[i:]] if hessian else []
-    sums = (rel.withColumn("__e", e).groupBy(*dict.fromkeys([*by, *keys])).agg(
-        F.sum("__e").alias("__s"), *[F.sum(F.col("__e") * F.col(f"d_{a}")).alias(f"__t_{a}") for a in attrs],
-        *[F.sum(F.col("__e") * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"__q_{a}_{b}") for a, b in pairs]))
+    sums = exp_sums(rel, list(dict.fromkeys([*by, *keys])), v, {"__s": F.lit(1.0)} | {f"__t_{a}": F.col(f"d_{a}") for a in attrs}
+                    | {f"__q_{a}_{b}": F.col(f"d_{a}") * F.col(f"d_{b}") for a, b in pairs})
     s = F.col("__s")
     g = {a: -F.col(f"__t_{a}") / s for a in attrs}
     return sums.select(*dict.fromkeys([*by, *keys]), _set_ll(s).alias("ll"), *[v.alias(f"g_{a}") for a, v in g.items()],
@@ -99,9 +120,9 @@ def hessian_agg(rel: DataFrame, keys: list[str], beta: dict[str, float]) -> Data
 
 # ---- draws -----------------------------------------------------------------------------------------------
 
-def radical_inverse(index: Column, base: int, max_index: int = 2 ** 40) -> Column:
-    """Digits of ``index`` in ``base`` mirrored behind the point, as plain integer arithmetic."""
-    digits = math.ceil(math.log(max_index) / math.log(base))
+def radical_inverse(index: Column, base: int, max_index: int = 2 ** 62) -> Column:
+    """Digits of ``index`` in ``base`` mirrored behind the point, as plain integer arithmetic, for every non-negative bigint."""
+    digits = int(math.log(max_index) / math.log(base)) + 1
     return add([(F.call_function("div", index, F.lit(base ** j)) % base) / F.lit(float(base ** (j + 1))) for j in range(digits)])
 
 
@@ -117,8 +138,8 @@ def halton_draws(ids: DataFrame, key: str, n_draws: int, dims: int, index: str =
     rows = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     rows = rows.withColumn("__i", F.col(index) * n_draws + F.col("r") + 1)
     uniforms = {}
-    for d in range(dims):
-        u = radical_inverse(F.col("__i"), PRIMES[d])
+    for d, base in enumerate(primes(dims)):
+        u = radical_inverse(F.col("__i"), base)
         if shift_seed is not None:
             u = F.pmod(u + hash_unit(F.lit(shift_seed), F.lit(d)), F.lit(1.0))
         uniforms[f"z{d + 1}"] = clip(u, 1e-12, 1 - 1e-12)
@@ -133,18 +154,25 @@ def random_draws(ids: DataFrame, key: str, n_draws: int, dims: int, seed: int) -
 
 # ---- simulated likelihood --------------------------------------------------------------------------------
 
-def draw_choice(rel: DataFrame, coefs: DataFrame, keys: list[str], set_keys: list[str], attrs: list[str]) -> DataFrame:
-    """Choice log-likelihood and its derivatives by the coefficients per (keys, r).
+def draw_choice(rel: DataFrame, coefs: DataFrame, keys: list[str], set_keys: list[str], attrs: list[str], carry: list[str] = (),
+                how: str = "inner") -> DataFrame:
+    """Choice log-likelihood and its derivatives by the coefficients per (keys, r), with the columns ``carry`` of ``coefs``.
 
     ``coefs`` holds (keys, r, b_<attr>): the coefficients of individual and draw. The join multiplies the rows of an
-    individual by its draws; both sides hash on ``keys``, and so does everything after it.
+    individual by its draws; both sides hash on ``keys``, and so does everything after it. ``how="left"`` keeps individuals
+    without choice sets, at a log-likelihood and derivatives of 0.
     """
     v = add([F.col(f"b_{a}") * F.col(f"d_{a}") for a in attrs])
-    sets = (rel.join(coefs.select(*keys, "r", *[f"b_{a}" for a in attrs]), keys).withColumn("__e", _exp(v))
-            .groupBy(*dict.fromkeys([*keys, *set_keys]), "r")
-            .agg(F.sum("__e").alias("__s"), *[F.sum(F.col("__e") * F.col(f"d_{a}")).alias(f"__t_{a}") for a in attrs]))
-    return sets.groupBy(*keys, "r").agg(F.sum(_set_ll(F.col("__s"))).alias("ll"),
-                                        *[F.sum(-F.col(f"__t_{a}") / F.col("__s")).alias(f"g_{a}") for a in attrs])
+    joined = coefs.select(*keys, "r", *[f"b_{a}" for a in attrs], *carry).join(rel, keys, how)
+    taken = [F.first(c).alias(c) for c in carry]
+    sets = exp_sums(joined, [*dict.fromkeys([*keys, *set_keys]), "r"], v, {"__s": F.lit(1.0)} | {f"__t_{a}": F.col(f"d_{a}") for a in attrs}, taken)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return sets.groupBy(*keys, "r").agg(zero(F.sum(_finite_set_ll(F.col("__s")))).alias("ll"),
+                                        *[zero(F.sum(-F.col(f"__t_{a}") / F.col("__s"))).alias(f"g_{a}") for a in attrs], *taken)
+
+
+def _finite_set_ll(s: Column) -> Column:
+    return F.when(s.isNotNull(), _set_ll(s))
 
 
 def finite_or_floor(ll: Column) -> Column:
@@ -152,10 +180,16 @@ def finite_or_floor(ll: Column) -> Column:
 
 
 def importance_weights(draws: DataFrame, key: str, ll: str = "ll") -> DataFrame:
-    """Adds ``w``: softmax of the draw log-likelihoods of each individual (as many rows as draws, a fixed number)."""
+    """Adds ``w``: softmax of the draw log-likelihoods of each individual (as many rows as draws, a fixed number).
+
+    A draw whose log-likelihood is NULL, NaN or infinite is rejected: its weight is 0. An individual without another draw has
+    only weights 0.
+    """
     w = Window.partitionBy(key)
-    e = F.exp(F.col(ll) - F.max(ll).over(w))
-    return draws.withColumn("__e", e).withColumn("w", F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    good = F.when(F.col(ll).isNotNull() & ~F.isnan(ll) & (F.abs(ll) < float("inf")), F.col(ll))
+    e = F.coalesce(F.exp(F.col("__ll") - F.max("__ll").over(w)), F.lit(0.0))
+    scaled = draws.withColumn("__ll", good).withColumn("__e", e).withColumn("__sum", F.sum("__e").over(w))
+    return scaled.withColumn("w", F.when(F.col("__sum") > 0, F.col("__e") / F.col("__sum")).otherwise(0.0)).drop("__e", "__ll", "__sum")
 
 
 def simulated_loglik(draws: DataFrame, key: str, n_draws: int, ll: str = "ll") -> DataFrame:

@@ -79,7 +79,7 @@ def bootstrap_stage1(df: DataFrame, key: str, factors: dict[str, list[str]], pat
 
 
 def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[str, float], weights: DataFrame, scores: DataFrame | None = None,
-                     products: dict[str, tuple[str, str]] | None = None, max_iter: int = 12) -> DataFrame:
+                     products: dict[str, tuple[str, str]] | None = None, max_iter: int = 100) -> DataFrame:
     """Conditional logit per replicate: (replicate, parameter, value); a replicate that does not converge is NULL.
 
     ``rel`` is the difference design. All replicates take their Newton step in the same job: one aggregate by
@@ -108,12 +108,12 @@ def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[
         for a in names:
             t = F.col(f"b_{a}") * F.col(f"d_{a}")
             v = t if v is None else v + t
-        e = rows.join(F.broadcast(betas), "replicate").withColumn("__e", F.exp(F.least(v, F.lit(kernels.MAX_EXPONENT))))
-        sets = e.groupBy("replicate", *dict.fromkeys([*keys, *set_keys])).agg(
-            F.max("w").alias("w"), F.sum("__e").alias("s"), *[F.sum(F.col("__e") * F.col(f"d_{a}")).alias(f"t_{a}") for a in names],
-            *[F.sum(F.col("__e") * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"q_{a}_{b}") for a, b in pairs])
+        sets = kernels.exp_sums(
+            rows.join(F.broadcast(betas), "replicate"), ["replicate", *dict.fromkeys([*keys, *set_keys])], v,
+            {"s": F.lit(1.0)} | {f"t_{a}": F.col(f"d_{a}") for a in names} | {f"q_{a}_{b}": F.col(f"d_{a}") * F.col(f"d_{b}") for a, b in pairs},
+            [F.max("w").alias("w")])
         g = {a: -F.col(f"t_{a}") / F.col("s") for a in names}
-        one = sets.groupBy("replicate").agg(F.sum(-F.col("w") * F.log("s")).alias("ll"), *[F.sum(F.col("w") * g[a]).alias(f"g_{a}") for a in names],
+        one = sets.groupBy("replicate").agg(F.sum(-F.col("w") * (F.log("s") + F.col("__shift"))).alias("ll"), *[F.sum(F.col("w") * g[a]).alias(f"g_{a}") for a in names],
                                             *[F.sum(F.col("w") * (F.col(f"q_{a}_{b}") / F.col("s") - g[a] * g[b])).alias(f"i_{a}_{b}") for a, b in pairs])
         for r in one.collect():
             b = r.replicate

@@ -21,7 +21,7 @@ def _long(t):
 
 @query("fit_mnl")
 def _(t):
-    return choice.fit_mnl(_long(t), ["sid"], ATTRS, key="id").coefficients(t.spark)
+    return choice.fit_mnl(_long(t), ["sid"], ATTRS, key="id").report(t.spark)
 
 
 @query("fit_mnl_statistics")
@@ -42,25 +42,25 @@ def _(t):
 
 @query("fit_binary_probit")
 def _(t):
-    return choice.fit_binary_probit(_long(t), ["p", "d"]).coefficients(t.spark)
+    return choice.fit_binary_probit(_long(t), ["p", "d"]).report(t.spark)
 
 
 @query("fit_ordered_probit")
 def _(t):
     fits = choice.fit_ordered_probit(eta_rows(t), "eta", ["q1"])
-    return fits["q1"].coefficients(t.spark)
+    return fits["q1"].report(t.spark)
 
 
 @query("fit_rpl")
 def _(t):
-    return simulated.fit_rpl(_long(t), "id", ["sid"], ["p", "d"], ["d"], n_draws=10, max_iter=6).coefficients(t.spark)
+    return simulated.fit_rpl(_long(t), "id", ["sid"], ["p", "d"], ["d"], n_draws=10).report(t.spark)
 
 
 @query("fit_iclv_simultaneous")
 def _(t):
     ind = items(t).selectExpr("id", "q1 - 3.0D as q1", "q3 - 3.0D as q3", "q4 - 3.0D as q4", "balance / 5000 - 1 as wealth")
-    fit = simulated.fit_iclv_simultaneous(_long(t), ind, "id", ["sid"], ["p"], "buy", ["q1", "q3", "q4"], ["wealth"], n_draws=10, max_iter=8)
-    return fit.coefficients(t.spark)
+    fit = simulated.fit_iclv_simultaneous(_long(t), ind, "id", ["sid"], ["p"], "buy", ["q1", "q3", "q4"], ["wealth"], n_draws=10)
+    return fit.report(t.spark)
 
 
 @query("fit_iclv_sequential")
@@ -102,7 +102,7 @@ def _(t):
 @query("fit_logit_embeddings")
 def _(t):
     emb = t.embeddings.select(F.col("vec_id").alias("doc_id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return choice.fit_logit(emb.join(t.labels, "doc_id"), [f"e{i}" for i in range(8)], "quality", l2=1.0).coefficients(t.spark)
+    return choice.fit_logit(emb.join(t.labels, "doc_id"), [f"e{i}" for i in range(8)], "quality", l2=1.0).report(t.spark)
 
 
 @query("fit_linear_component", doubles="coefficient:9", sql=f"with {LONG} select regr_slope(chosen, disc) as coefficient from long")

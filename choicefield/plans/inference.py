@@ -383,15 +383,17 @@ def _(t):
     return _residuals(t)
 
 
-@query("modification_index", doubles="residual mi expected_change", sql=f"""with {_RESID}, sym as (select model, var1 as from_var, var2 as to_var, residual from res where var1 <> var2 union all select model, var2, var1, residual from res where var1 <> var2),
+@query("modification_index", doubles="residual mi expected_change", sql=f"""with {_RESID}, sizes as (select segment as model, count(*)::DOUBLE as n from complete group by segment), sym as (select model, var1 as from_var, var2 as to_var, residual from res where var1 <> var2 union all select model, var2, var1, residual from res where var1 <> var2),
   va as (select model, var1 as v, observed from res where var1 = var2)
-  select s.model, s.from_var, s.to_var, residual, 500 * residual * residual / b.observed as mi, residual / a.observed as expected_change, 500 * residual * residual / b.observed >= 3.84 as recommended
-  from sym s join va a on a.model = s.model and a.v = from_var join va b on b.model = s.model and b.v = to_var""")
+  select s.model, s.from_var, s.to_var, residual, n * residual * residual / b.observed as mi, residual / a.observed as expected_change, n * residual * residual / b.observed >= 3.84 as recommended
+  from sym s join va a on a.model = s.model and a.v = from_var join va b on b.model = s.model and b.v = to_var join sizes on sizes.model = s.model""")
 def _(t):
     r = _residuals(t)
     var = r.filter("var1 = var2").select("model", F.col("var1").alias("variable"), F.col("observed").alias("variance"))
     from ..operators.shape import ordered_pairs
-    return latent.modification_index(r, var, ordered_pairs(nodes(t), ["model"], "node"), 500, ["model"]).drop("p_value")
+    sizes = complete_scores(t).groupBy(F.col("segment").alias("model")).agg(F.count("*").alias("n"))
+    pairs = ordered_pairs(nodes(t), ["model"], "node").join(sizes, "model")
+    return latent.modification_index(r, var, pairs, "n", ["model"]).drop("p_value", "n")
 
 
 @query("compare_stage2_bootstrap", doubles="estimate bootstrap_mean difference percent", sql=f"""with {WEIGHTS}, per as (select o_custkey as id, sum(o_totalprice) as s, count(*) as c from orders group by 1),

@@ -11,7 +11,7 @@ from ..functions.groups import ordered_scan
 ITERATION_MARK = "[Major Iteration #"
 ITERATION_FIELDS = {
     "iteration": (r"^(\d+) 완료\]", "bigint"),
-    "ll": (r"최종 LL: ([-\d.]+)", "double"),
+    "ll": (r"최종 LL: ([-+]?[\d.]+(?:[eE][-+]?\d+)?)", "double"),
     "line_search_calls": (r"Line Search: (\d+)회 함수 호출", "bigint"),
     "status": (r"Line Search: \d+회 함수 호출 - \[(.*?)\]", "string"),
     "func_calls": (r"함수 호출: (\d+)회 \(누적\)", "bigint"),
@@ -23,9 +23,9 @@ ATTEMPT_MARK = "[Line Search 함수 호출 #"
 ATTEMPT_FIELDS = {
     "major": (r"^iter(\d+)-", "bigint"),
     "attempt": (r"^iter\d+-(\d+)\]", "bigint"),
-    "ll": (r"LL = ([-\d.]+)", "double"),
+    "ll": (r"LL = ([-+]?[\d.]+(?:[eE][-+]?\d+)?)", "double"),
     "param_change": (r"파라미터 변화량 \(L2 norm\): ([\d.eE+-]+)", "double"),
-    "ll_change": (r"함수값 변화: ([-+\d.]+)", "double"),
+    "ll_change": (r"함수값 변화: ([-+]?[\d.]+(?:[eE][-+]?\d+)?)", "double"),
 }
 TRACE_MARK = "전체 파라미터 값 및 그래디언트:"
 TRACE_LINE = (r"\[\s*(\d+)\]\s+(\S+)\s+:\s+param=([+-]?\d+\.\d+e[+-]?\d+),\s+grad=([+-]?\d+\.\d+e[+-]?\d+)")

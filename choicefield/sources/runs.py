@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,23 @@ RUN_NAME = r"^st2_(.+?)1_(.+)2"
 
 
 def read_result_runs(spark: SparkSession, paths: str | list[str], fmt: str = "csv") -> DataFrame:
-    """Rows of every result file with ``run_file`` (file name) and ``run`` (name without endings)."""
+    """Rows of every result file with ``run_file`` (file name) and ``run`` (name without endings).
+
+    CSV files may have different headers: each is read under its own, and a column that a file lacks is NULL there.
+    """
     paths = [paths] if isinstance(paths, str) else paths
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(paths)
     name = F.col("_metadata.file_name")
-    return df.select("*", name.alias("run_file"), F.regexp_replace(name, r"(_results)?\.[a-z]+$", "").alias("run"))
+    ids = [name.alias("run_file"), F.regexp_replace(name, r"(_results)?\.[a-z]+$", "").alias("run")]
+    if fmt != "csv":
+        return spark.read.format(fmt).load(paths).select("*", *ids)
+    # one row per file: its first line, the smallest block number of the text reader
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    heads = lines.filter("block = 0").withColumn("pos", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "pos").alias("head"))
+    by_head: dict[str, list[str]] = {}
+    for r in heads.collect():
+        by_head.setdefault(r["head"], []).append(r["path"])
+    tables = [spark.read.option("header", True).csv(files).select("*", *ids) for _, files in sorted(by_head.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else spark.read.option("header", True).csv(paths).select("*", *ids)
 
 
 def _literal_map(d: dict[str, str]) -> Column:
