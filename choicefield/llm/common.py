@@ -117,8 +117,8 @@ def components(edges: DataFrame) -> DataFrame:
     Repeated large-star and small-star steps, each written to the shared folder, until a step changes nothing; nothing is
     collected but one count and checksum a step. Links may repeat, run in both directions, or join a node with itself.
     """
-    clean = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    now, seen = Stored(clean, "links"), None
+    clean = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    now, seen = Stored(star_step(clean), "links"), None
     while True:
         mark = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
@@ -133,31 +133,54 @@ def components(edges: DataFrame) -> DataFrame:
         stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def centre_pairs(groups: DataFrame, turn: int, alike: Callable[[str, str], Column]) -> DataFrame:
-    """Every member of a token group with one member chosen by hash, if they are in different components."""
+def centre_pairs(groups: DataFrame, turn: int) -> DataFrame:
+    """(a, b) of every member of a token group with one member chosen by hash, if they are in different components."""
     centre = groups.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
-    return (groups.join(centre, "token").filter((F.col("root") != F.col("c.root")) & alike("n", "c.n"))
-            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
+    low = F.col("node") < F.col("c.node")
+    return (groups.join(centre, "token").filter(F.col("root") != F.col("c.root"))
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"),
+                    F.when(low, F.col("n")).otherwise(F.col("c.n")).alias("na"), F.when(low, F.col("c.n")).otherwise(F.col("n")).alias("nb")))
 
 
 def open_pairs(groups: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs of each token group that are in different components."""
-    other = groups.select("token", F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("s"))
-    return (groups.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("s")) & alike("n", "k"))
-            .select(F.col("node").alias("a"), "b"))
-
-
-def linked_components(shared: DataFrame, alike: Callable[[str, str], Column], verified: Callable[[DataFrame], Stored]) -> DataFrame:
+    """(a, b, na, nb, i, j) once for all pairs of a token group in different components; i and j are the first places shared."""
+    other = groups.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("root").alias("s"))
+    return (groups.withColumnsRenamed({"node": "a", "n": "na", "pos": "i"}).join(other, "token")
+            .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("s")) & alike("na", "nb"))
+            .groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("i").alias("i"), F.min("j").alias("j")))
+
+
+def possible(pairs: DataFrame, elsewhere: DataFrame, able: Callable[[Column, str, str], Column] | None) -> DataFrame:
+    """Pairs whose overlap may still suffice: after the first shared place of either, plus ``elsewhere`` (node, o): the tokens of
+    both that these groups leave out, which may be shared before it."""
+    if able is None:
+        return pairs.select("a", "b")
+    x, y = (elsewhere.select(F.col("node").alias(n), F.col("o").alias(o)) for n, o in (("a", "oa"), ("b", "ob")))
+    more = F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
+    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + more
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(able(most, "na", "nb")).select("a", "b")
+
+
+def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], Stored]],
+                      alike: Callable[[str, str], Column] = lambda one, other: F.lit(True),
+                      able: Callable[[Column, str, str], Column] | None = None) -> DataFrame:
     """(node, root) of the components that verified pairs make among nodes that share a token.
 
-    ``shared`` is a stored (token, node, n, m) with m members of a token's group, ``alike`` a cheap condition on two n, and
-    ``verified`` keeps of pairs (a, b) those that link. Groups up to ``SMALL`` members give all their pairs. A larger one is first
-    compared with one centre at a time and contracted to components; then all pairs that are still in different components
-    are compared. So the components are those of all links, while a large group of linked members never gives all its pairs.
+    ``shared`` is a stored (token, node, n, pos, m): a node with n tokens has the token at place pos, and m nodes share it.
+    ``alike`` is a cheap condition on two n, ``able`` one on the largest possible overlap of two nodes. ``verifier`` gets all
+    nodes that may be compared and returns what keeps of pairs (a, b) those that link. Groups up to ``SMALL`` members
+    give all their pairs. A larger one is first compared with one centre at a time and contracted to components; then all
+    pairs that are still in different components are compared. So the components are those of all links, while a large
+    group of linked members never gives all its pairs.
     """
-    groups = shared.withColumn("root", F.col("node"))
-    first = open_pairs(groups.filter(F.col("m") <= SMALL), alike).unionByName(centre_pairs(groups.filter(F.col("m") > SMALL), 0, alike))
-    pairs = Stored(first.distinct(), "pairs")
+    shared = shared.withColumn("root", F.col("node"))
+    large = shared.filter(F.col("m") > SMALL)
+    held = Stored(large.groupBy("node").agg(F.count("*").alias("o")), "large")
+    first = possible(open_pairs(shared.filter(F.col("m") <= SMALL), alike), held.df, able)
+    centres = centre_pairs(large, 0).filter(alike("na", "nb")).select("a", "b")
+    pairs = Stored(first.unionByName(centres).distinct(), "pairs")
+    ends = pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).unionByName(held.df.select("node"))
+    verified = verifier(ends.distinct())
     found = tested = None
     turn, last = 0, False
     while True:
@@ -166,16 +189,22 @@ def linked_components(shared: DataFrame, alike: Callable[[str, str], Column], ve
         found = links.df if found is None else found.unionByName(links.df)
         tested = pairs.df if tested is None else tested.unionByName(pairs.df)
         roots = Stored(components(found), "roots").df
-        if last:
+        if last or not held.df.limit(1).count():
             return roots
-        groups = (shared.filter(F.col("m") > SMALL).join(roots.withColumnRenamed("root", "r"), "node", "left")
-                  .select("token", "node", "n", "m", F.coalesce("r", "node").alias("root")))
-        split = groups.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
-            F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left")).filter("left > 0")
-        members, left = split.agg(F.sum("c"), F.sum("left")).first()
+        groups = (shared.filter(F.col("m") > SMALL).drop("root").join(roots, "node", "left")
+                  .withColumn("root", F.coalesce("root", "node")))
+        split = Stored(groups.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+            F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left")).filter("left > 0"), "split")
+        members, left = split.df.agg(F.sum("c"), F.sum("left")).first()
         if not members:
             return roots
-        open_ = groups.join(split.select("token"), "token", "left_semi")
-        last = turn == 4 or left <= SMALL * members
-        step = open_pairs(open_, alike) if last else centre_pairs(open_, turn, alike)
-        pairs = Stored(step.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        open_ = groups.join(split.df.select("token"), "token", "left_semi")
+        last = turn == 3 or left <= SMALL * members
+        if last:
+            here = open_.groupBy("node").agg(F.count("*").alias("h"))
+            every = shared.groupBy("node").agg(F.count("*").alias("q"))
+            elsewhere = here.join(every, "node").select("node", (F.col("q") - F.col("h")).alias("o"))
+            step = possible(open_pairs(open_, alike), elsewhere, able)
+        else:
+            step = centre_pairs(open_, turn).filter(alike("na", "nb")).select("a", "b").distinct()
+        pairs = Stored(step.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles. Two documents link when ``100 * |intersection| >= percent * |union|``.
 Linked sets share a token among the first ``n - ceil(n * percent / 100) + 1`` tokens of either set under *every* total order
 of tokens. An order here sorts by (frequency level, seeded hash): candidates come from a join on the prefix of the first
-order; only pairs whose prefixes meet under all other orders too are verified.
+order; a pair is dropped if the places of its first shared token leave too little to share, and verified only if its prefixes
+meet under all other orders too.
 
 Scale. Equal sets are one node, so copies never meet in a join. Rare tokens come first in every order. Frequencies are counted
 in two steps, as counting all tokens would shuffle more than the texts: exactly for one token in ``SAMPLED``, by hash; then, as
@@ -18,7 +19,7 @@ them. All steps live in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -55,8 +56,10 @@ def order_keys(tokens: np.ndarray, order: int, levels: tuple | None) -> np.ndarr
 def prefix(tokens: np.ndarray, order: int, percent: int, levels: tuple | None) -> np.ndarray:
     p = prefix_length(len(tokens), percent)
     if p >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(order_keys(tokens, order, levels), p - 1)[:p]]
+        return tokens[np.argsort(order_keys(tokens, order, levels))]
+    keys = order_keys(tokens, order, levels)
+    first = np.argpartition(keys, p - 1)[:p]
+    return tokens[first[np.argsort(keys[first])]]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -103,21 +106,14 @@ def _prefix_rows(batch, size, percent, levels) -> Iterator[dict]:
                "prefix": _lists([prefix(s, 0, percent, levels) for s in sets])}
 
 
-def _other_prefix_rows(batch, size, percent, levels, wanted) -> Iterator[dict]:
-    for _, texts in _texts(filtered(batch, wanted)):
-        sets = list(shingle_sets(texts, size))
-        yield {"node": [_digest(s) for s in sets]} | {
-            f"p{k}": _lists([prefix(s, k, percent, levels) for s in sets]) for k in range(1, ORDERS)}
-
-
 def _set_rows(batch, size, wanted) -> Iterator[dict]:
     for _, texts in _texts(filtered(batch, wanted)):
         sets = list(shingle_sets(texts, size))
         yield {"node": [_digest(s) for s in sets], "tokens": _lists(sets)}
 
 
-def _verify_rows(batch, percent) -> Iterator[dict]:
-    """The pairs that link."""
+def _verify_rows(batch, percent, levels) -> Iterator[dict]:
+    """Of the pairs whose prefixes meet under the other orders too, those that link."""
     def sets(name):
         column = batch.column(name)
         flat, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
@@ -125,9 +121,10 @@ def _verify_rows(batch, percent) -> Iterator[dict]:
 
     kept = []
     for row, (x, y) in enumerate(zip(sets("x"), sets("y"))):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            kept.append(row)
+        if all(np.isin(prefix(x, k, percent, levels), prefix(y, k, percent, levels), assume_unique=True).any() for k in range(1, ORDERS)):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                kept.append(row)
     out = batch.take(pa.array(kept, pa.int64()))
     yield {"a": out.column("a"), "b": out.column("b")}
 
@@ -170,42 +167,35 @@ class Join:
         hit.drop()
 
     def shared(self, nodes: Stored) -> Stored:
-        """(token, node, n, m) of the prefix tokens that m > 1 nodes share."""
-        tokens = nodes.df.select(F.explode("prefix").alias("token"), "node", "n")
+        """(token, node, n, pos, m) of the prefix tokens that m > 1 nodes share; pos is the place in the order."""
+        tokens = nodes.df.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
         several = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
         return Stored(tokens.join(several, "token"), "tokens")
 
-    def verified(self, pairs: DataFrame, nodes: Stored, others: Stored) -> Stored:
-        """The pairs that link, after the filters of the other orders."""
-        sides = [others.df.select(F.col("node").alias(c), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(1, ORDERS)]) for c in "ab"]
-        meet = pairs.join(sides[1], "b").join(sides[0], "a")
-        for k in range(1, ORDERS):
-            meet = meet.filter(F.arrays_overlap(f"a{k}", f"b{k}"))
-        open_ = Stored(meet.select("a", "b"), "open")
-        ends = open_.df.select(F.col("a").alias("node")).unionByName(open_.df.select(F.col("b").alias("node"))).distinct()
+    def verifier(self, nodes: Stored, ends: DataFrame) -> Callable[[DataFrame], Stored]:
         wanted = Stored(nodes.df.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
-        sets = Stored(self.pass_over(_set_rows, "node binary, tokens array<bigint>", wanted.df), "sets")
-        x = sets.df.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        y = sets.df.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        links = Stored(arrow_map(open_.df.join(y, "b").join(x, "a").select("a", "b", "x", "y"), _verify_rows,
-                                 "a binary, b binary", self.percent), "found")
-        for s in (open_, wanted, sets):
-            s.drop()
-        return links
+        sets = Stored(self.pass_over(_set_rows, "node binary, tokens array<bigint>", wanted.df), "sets").df
+        wanted.drop()
+        x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+
+        def verified(pairs: DataFrame) -> Stored:
+            both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+            return Stored(arrow_map(both, _verify_rows, "a binary, b binary", self.percent, self.levels), "found")
+
+        return verified
 
     def links(self, nodes: Stored) -> DataFrame:
         """(node, root) of the components with more than one node."""
         shared = self.shared(nodes)
-        ends = Stored(nodes.df.select("node", "doc_id").join(shared.df.select("node").distinct(), "node", "left_semi"), "wanted")
-        others = Stored(self.pass_over(_other_prefix_rows, "node binary, " + ", ".join(f"p{k} array<bigint>" for k in range(1, ORDERS)),
-                                       ends.df, self.percent, self.levels), "others")
-        ends.drop()
 
         def alike(one: str, other: str) -> Column:
             return 100 * F.least(one, other) >= self.percent * F.greatest(one, other)
 
-        roots = linked_components(shared.df, alike, lambda pairs: self.verified(pairs, nodes, others))
-        others.drop()
+        def able(overlap: Column, one: str, other: str) -> Column:
+            return 100 * overlap >= self.percent * (F.col(one) + F.col(other) - overlap)
+
+        roots = linked_components(shared.df, lambda ends: self.verifier(nodes, ends), alike, able)
         shared.drop()
         return roots
 
