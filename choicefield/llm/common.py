@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
@@ -15,6 +15,7 @@ from ..session import fresh_path
 TEXT_BLOCK = 1 << 20
 FILTER_BITS = 1 << 26
 SMALL = 32
+CENTRES = (1, 8, 32)
 
 
 def column(name: str) -> Column:
@@ -134,8 +135,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def centre_pairs(groups: DataFrame, turn: int) -> DataFrame:
-    """(a, b) of every member of a token group with one member chosen by hash, if they are in different components."""
-    centre = groups.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
+    """(a, b, na, nb) of every member of a token group with a few members chosen by hash, if they are in different components."""
+    chosen = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn))))
+    centre = groups.withColumn("chosen", chosen).filter(F.col("chosen") <= CENTRES[turn]).select(
+        "token", F.struct("node", "n", "root").alias("c"))
     low = F.col("node") < F.col("c.node")
     return (groups.join(centre, "token").filter(F.col("root") != F.col("c.root"))
             .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"),
@@ -169,7 +172,7 @@ def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callabl
     ``shared`` is a stored (token, node, n, pos, m): a node with n tokens has the token at place pos, and m nodes share it.
     ``alike`` is a cheap condition on two n, ``able`` one on the largest possible overlap of two nodes. ``verifier`` gets all
     nodes that may be compared and returns what keeps of pairs (a, b) those that link. Groups up to ``SMALL`` members
-    give all their pairs. A larger one is first compared with one centre at a time and contracted to components; then all
+    give all their pairs. A larger one is first compared with 1, then 8, then 32 centres and contracted to components each time; then all
     pairs that are still in different components are compared. So the components are those of all links, while a large
     group of linked members never gives all its pairs.
     """
@@ -199,7 +202,7 @@ def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callabl
         if not members:
             return roots
         open_ = groups.join(split.df.select("token"), "token", "left_semi")
-        last = turn == 3 or left <= SMALL * members
+        last = turn == len(CENTRES) or left <= SMALL * members
         if last:
             here = open_.groupBy("node").agg(F.count("*").alias("h"))
             every = shared.groupBy("node").agg(F.count("*").alias("q"))

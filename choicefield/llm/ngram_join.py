@@ -11,7 +11,7 @@ in two steps, as counting all tokens would shuffle more than the texts: exactly
 frequent tokens come in passages, for the tokens up to ``NEAR`` places from a frequent sampled one. The table of frequent tokens
 has at most 2^20 entries whatever the input (it holds those counted more than ``rows / 2^20`` times), so it may travel with the
 tasks. Every order is valid, so a token that it lacks costs time, not results. A token
-group above 32 members is not expanded into all pairs: its members are first compared with one centre at a time, linked
+group above 32 members is not expanded into all pairs: its members are first compared with a few centres, linked
 sets are contracted to components, and only pairs that are still in different components are compared, until none is left.
 Texts are never shuffled: a later pass over them picks its rows by a bit filter of at most 8 MB and shuffles what it makes of
 them. All steps live in the shared folder.
@@ -119,10 +119,22 @@ def _verify_rows(batch, percent, levels) -> Iterator[dict]:
         flat, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
         return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
 
+    known: dict[bytes, list[np.ndarray]] = {}
+
+    def prefixes(node, tokens):
+        if node not in known:
+            if len(known) > 4096:
+                known.clear()
+            known[node] = [np.sort(prefix(tokens, k, percent, levels)) for k in range(1, ORDERS)]
+        return known[node]
+
+    def shared(x, y):
+        return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+
     kept = []
-    for row, (x, y) in enumerate(zip(sets("x"), sets("y"))):
-        if all(np.isin(prefix(x, k, percent, levels), prefix(y, k, percent, levels), assume_unique=True).any() for k in range(1, ORDERS)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
+    for row, (a, b, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), sets("x"), sets("y"))):
+        if all(shared(p, q).any() for p, q in zip(prefixes(a, x), prefixes(b, y))):
+            both = int(shared(x, y).sum())
             if 100 * both >= percent * (len(x) + len(y) - both):
                 kept.append(row)
     out = batch.take(pa.array(kept, pa.int64()))
