@@ -27,7 +27,7 @@ from .common import arrow_map, picked, text_slices
 
 LEAF = 12
 LONG = 64
-KEPT = 500_000
+KEPT = 300_000
 NONE = 1 << 32
 
 

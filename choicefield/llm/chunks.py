@@ -11,7 +11,8 @@ import numpy as np
 #: first white space of a run, and all others take at most one space, in front.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
-KEPT = 400_000
+KEPT = 1_000_000
+MARKS = (",", ".")
 LONG = 64
 JOINED = 1 << 16
 
@@ -23,7 +24,8 @@ class Chunks:
     """
 
     def __init__(self, encode: Callable[[str], bytes], sizes: np.ndarray):
-        self.encode, self.sizes, self.after_space = encode, sizes, {}
+        self.encode, self.sizes, self.after_space, self.at_start = encode, sizes, {}, {}
+        self.marks = {m: encode(m) for m in MARKS}
 
     def learn(self, pieces: list[str]) -> None:
         """Codes of pieces that follow a space; many in one call, told apart again by their bytes."""
@@ -45,12 +47,25 @@ class Chunks:
             known.clear()
         parts = [_SAFE.split(text) if _TWO_SPACES.search(text) else text.split(" ") for text in texts]
         firsts = [p.pop(0) for p in parts]
-        fresh = {p for p in set().union(*parts) if p not in known}
-        edge = [p for p in fresh if not p or p[0].isspace() or p[-1].isspace()]
-        self.learn(list(fresh.difference(edge)))
+        fresh = [p for p in set().union(*parts) if p not in known]
+        # a letter and a mark after it are always different matches
+        marked = [p for p in fresh if p.endswith(MARKS) and p[-2:-1].isalpha()]
+        words = {p[:-1] for p in marked if p[:-1] not in known}
+        words.update(set(fresh).difference(marked))
+        edge = [p for p in words if not p or p[0].isspace() or p[-1].isspace()]
+        self.learn(list(words.difference(edge)))
         known.update((p, self.encode(" " + p)) for p in edge)
-        codes = [b"".join([self.encode(first), *map(known.__getitem__, rest)]) for first, rest in zip(firsts, parts)]
-        for p in fresh:
+        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        start = self.at_start
+        if len(start) > KEPT:
+            start.clear()
+        for p in firsts:
+            if p not in start:
+                start[p] = self.encode(p)
+        codes = [b"".join([start[first], *map(known.__getitem__, rest)]) for first, rest in zip(firsts, parts)]
+        for p in words.union(marked):
             if len(p) > LONG:
                 del known[p]
+        for p in [p for p in firsts if len(p) > LONG]:
+            start.pop(p, None)
         return codes
