@@ -137,20 +137,23 @@ def reassign_duplicate_ids(df: DataFrame, key: str, order: list[str], name: str
     later = stored(ranked.filter("__copy > 1"), "later_copies")
     extra = numbered(later, [], [key, *order], "__rank")
     wanted = later.agg(F.count("*")).scalar()
-    # gaps before each used id, counted along the ids; only as many free ids are written out as are needed
+    # gaps before each used id, counted along the ids
     split = has_hot_group(df, [])
     used = ordered_scan(df.select(key).distinct(), [], [key], lag={"__prev": key}, split=split)
     low = F.greatest(F.coalesce(F.col("__prev"), F.lit(0)), F.lit(0))
     gaps = used.withColumn("__low", low).withColumn("__gap", F.greatest(F.col(key) - F.col("__low") - 1, F.lit(0)))
     gaps = ordered_scan(gaps, [], [key], run_sum={"__upto": "__gap"}, split=split)
     first = F.col("__upto") - F.col("__gap")
-    last = F.least(F.col(key) - 1, F.col("__low") + wanted - first)
-    free = (gaps.filter((F.col("__gap") > 0) & (first < wanted))
-            .select("__low", first.alias("__first"), F.explode(F.sequence(F.col("__low") + 1, last)).alias("free"))
-            .select("free", (F.col("__first") + F.col("free") - F.col("__low")).alias("__rank")))
+    # a copy's rank falls into the last gap that starts before it: one ordered scan over gap starts and ranks together
+    none = F.lit(None).cast("bigint")
+    starts = gaps.filter((F.col("__gap") > 0) & (first < wanted)).select(
+        (first + 1).cast("bigint").alias("__rank"), F.lit(0).alias("__kind"), F.col("__low").cast("bigint").alias("__low"), first.cast("bigint").alias("__first"))
+    asked = extra.select("__rank", F.lit(1).alias("__kind"), none.alias("__low"), none.alias("__first"))
+    free = (ordered_scan(starts.unionByName(asked), [], ["__rank", "__kind"], run_max={"__l": "__low", "__f": "__first"}, split=split)
+            .filter("__kind = 1").select("__rank", (F.col("__l") + F.col("__rank") - F.col("__f")).alias("free")))
     top, n_gaps = df.agg(F.max(key)).scalar(), gaps.agg(F.sum("__gap")).scalar()
-    moved = extra.join(free, "__rank", "left").withColumn(
-        name, F.coalesce(F.col("free"), top + F.col("__rank") - n_gaps)).select(*df.columns, "__copy", name)
+    moved = extra.join(free, "__rank").withColumn(
+        name, F.when(F.col("__rank") <= n_gaps, F.col("free")).otherwise(top + F.col("__rank") - n_gaps)).select(*df.columns, "__copy", name)
     kept = ranked.filter("__copy = 1").withColumn(name, F.col(key))
     return kept.unionByName(moved).drop("__copy")
 

@@ -175,20 +175,21 @@ def pair_enumeration(nodes: DataFrame, keys: list[str], node: str) -> DataFrame:
 
 def model_grid(base: DataFrame, lvs: list[str], attrs: list[str]) -> DataFrame:
     """Every row of ``base`` with every hierarchically valid model: main effects (subset of the LVs) and
-    LV:attribute interactions whose LV is a main effect. Subsets are bit masks."""
+    LV:attribute interactions whose LV is a main effect. Subsets are bit masks (62 interactions at most); only valid ones
+    are made, by doubling the rows once for each interaction that a model may have."""
     pairs = [(i, f"{lv}:{a}") for i, lv in enumerate(lvs) for a in attrs]
     mains = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(lvs) - 1))).alias("main_mask")
-    inters = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(pairs) - 1))).alias("inter_mask")
 
     def bit(mask: Column, i: int) -> Column:
         return F.shiftright(mask, i).bitwiseAND(1) == 1
-    grid = base.select("*", mains).select("*", inters)
-    valid = F.lit(True)
+    grid = base.select("*", mains).withColumn("inter_mask", F.lit(0).cast("bigint"))
     for j, (i, _) in enumerate(pairs):
-        valid = valid & (~bit(F.col("inter_mask"), j) | bit(F.col("main_mask"), i))
+        choices = F.when(bit(F.col("main_mask"), i), F.array(F.lit(0).cast("bigint"), F.lit(1 << j).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+        grid = grid.withColumn("__add", F.explode(choices)).withColumn("inter_mask", F.col("inter_mask") + F.col("__add")).drop("__add")
+    grid = grid.withColumn("inter_mask", F.col("inter_mask").cast("int" if len(pairs) < 31 else "bigint"))
     main = F.concat_ws(",", *[F.when(bit(F.col("main_mask"), i), lv) for i, lv in enumerate(lvs)])
     inter = F.concat_ws(",", *[F.when(bit(F.col("inter_mask"), j), name) for j, (_, name) in enumerate(pairs)])
-    return grid.filter(valid).withColumns({"main_lvs": main, "interactions": inter})
+    return grid.withColumns({"main_lvs": main, "interactions": inter})
 
 
 def scenario_grid(base: DataFrame, columns: dict[str, tuple[float, float, int]]) -> DataFrame:
