@@ -88,6 +88,6 @@ def read_estimation_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_param_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Rows carry the byte order only through ``iteration``: the rank of the block within its file."""
+    """Parameter rows of every block; ``pos`` tells blocks apart and rises within a file, it is no iteration number."""
     blocks = read_blocks(spark, path, TRACE_MARK).withColumn("pos", F.monotonically_increasing_id())
     return param_trace_rows(blocks, ["run", "pos"])
