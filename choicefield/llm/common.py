@@ -146,32 +146,38 @@ def centre_pairs(groups: DataFrame, turn: int) -> DataFrame:
 
 
 def open_pairs(groups: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
-    """(a, b, na, nb, i, j) once for all pairs of a token group in different components; i and j are the first places shared."""
+    """(a, b, na, nb, i, j, c) once for all pairs of a token group in different components; i and j are the first places shared,
+    c counts the shared tokens."""
     other = groups.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("root").alias("s"))
     return (groups.withColumnsRenamed({"node": "a", "n": "na", "pos": "i"}).join(other, "token")
             .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("s")) & alike("na", "nb"))
-            .groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("i").alias("i"), F.min("j").alias("j")))
+            .groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("c")))
 
 
-def possible(pairs: DataFrame, elsewhere: DataFrame, able: Callable[[Column, str, str], Column] | None) -> DataFrame:
-    """Pairs whose overlap may still suffice: after the first shared place of either, plus ``elsewhere`` (node, o): the tokens of
-    both that these groups leave out, which may be shared before it."""
+def possible(pairs: DataFrame, elsewhere: DataFrame, able: Callable[[Column, str, str], Column] | None,
+             rest: Callable[[str], Column] | None) -> DataFrame:
+    """Pairs whose overlap may still suffice.
+
+    Nothing is shared before the first shared place, and of the prefix that ends first in the order only c tokens are shared, so
+    besides them at most the ``rest`` outside it. Both bounds grow by the tokens of both nodes that these groups leave out,
+    ``elsewhere`` (node, o).
+    """
     if able is None:
         return pairs.select("a", "b")
     x, y = (elsewhere.select(F.col("node").alias(n), F.col("o").alias(o)) for n, o in (("a", "oa"), ("b", "ob")))
     more = F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
-    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + more
+    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"), F.greatest(rest("na"), rest("nb")) + F.col("c")) + more
     return pairs.join(x, "a", "left").join(y, "b", "left").filter(able(most, "na", "nb")).select("a", "b")
 
 
 def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], Stored]],
                       alike: Callable[[str, str], Column] = lambda one, other: F.lit(True),
-                      able: Callable[[Column, str, str], Column] | None = None) -> DataFrame:
+                      able: Callable[[Column, str, str], Column] | None = None, rest: Callable[[str], Column] | None = None) -> DataFrame:
     """(node, root) of the components that verified pairs make among nodes that share a token.
 
     ``shared`` is a stored (token, node, n, pos, m): a node with n tokens has the token at place pos, and m nodes share it.
-    ``alike`` is a cheap condition on two n, ``able`` one on the largest possible overlap of two nodes. ``verifier`` gets all
-    nodes that may be compared and returns what keeps of pairs (a, b) those that link. Groups up to ``SMALL`` members
+    ``alike`` is a cheap condition on two n, ``able`` one on the largest possible overlap of two nodes, ``rest`` the number of
+    tokens outside the prefix. ``verifier`` gets nodes that may be compared and returns what keeps of pairs (a, b) those that link. Groups up to ``SMALL`` members
     give all their pairs. A larger one is first compared with 1, then 8, then 32 centres and contracted to components each time; then all
     pairs that are still in different components are compared. So the components are those of all links, while a large
     group of linked members never gives all its pairs.
@@ -179,10 +185,10 @@ def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callabl
     shared = shared.withColumn("root", F.col("node"))
     large = shared.filter(F.col("m") > SMALL)
     held = Stored(large.groupBy("node").agg(F.count("*").alias("o")), "large")
-    first = possible(open_pairs(shared.filter(F.col("m") <= SMALL), alike), held.df, able)
+    first = possible(open_pairs(shared.filter(F.col("m") <= SMALL), alike), held.df, able, rest)
     centres = centre_pairs(large, 0).filter(alike("na", "nb")).select("a", "b")
     pairs = Stored(first.unionByName(centres).distinct(), "pairs")
-    ends = pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).unionByName(held.df.select("node"))
+    ends = pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node")))
     verified = verifier(ends.distinct())
     found = tested = None
     turn, last = 0, False
@@ -201,13 +207,15 @@ def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callabl
         members, left = split.df.agg(F.sum("c"), F.sum("left")).first()
         if not members:
             return roots
+        if turn == 1:
+            verified = verifier(held.df.select("node"))
         open_ = groups.join(split.df.select("token"), "token", "left_semi")
         last = turn == len(CENTRES) or left <= SMALL * members
         if last:
             here = open_.groupBy("node").agg(F.count("*").alias("h"))
             every = shared.groupBy("node").agg(F.count("*").alias("q"))
             elsewhere = here.join(every, "node").select("node", (F.col("q") - F.col("h")).alias("o"))
-            step = possible(open_pairs(open_, alike), elsewhere, able)
+            step = possible(open_pairs(open_, alike), elsewhere, able, rest)
         else:
             step = centre_pairs(open_, turn).filter(alike("na", "nb")).select("a", "b").distinct()
         pairs = Stored(step.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles. Two documents link when ``100 * |intersection| >= percent * |union|``.
 Linked sets share a token among the first ``n - ceil(n * percent / 100) + 1`` tokens of either set under *every* total order
 of tokens. An order here sorts by (frequency level, seeded hash): candidates come from a join on the prefix of the first
-order; a pair is dropped if the places of its first shared token leave too little to share, and verified only if its prefixes
-meet under all other orders too.
+order; a pair is dropped if the places of its first shared token, or the number of shared prefix tokens, leave too little to
+share, and verified only if its prefixes meet under all other orders too.
 
 Scale. Equal sets are one node, so copies never meet in a join. Rare tokens come first in every order. Frequencies are counted
 in two steps, as counting all tokens would shuffle more than the texts: exactly for one token in ``SAMPLED``, by hash; then, as
@@ -207,7 +207,10 @@ class Join:
         def able(overlap: Column, one: str, other: str) -> Column:
             return 100 * overlap >= self.percent * (F.col(one) + F.col(other) - overlap)
 
-        roots = linked_components(shared.df, lambda ends: self.verifier(nodes, ends), alike, able)
+        def rest(n: str) -> Column:
+            return F.ceil(self.percent * F.col(n) / 100) - 1
+
+        roots = linked_components(shared.df, lambda ends: self.verifier(nodes, ends), alike, able, rest)
         shared.drop()
         return roots
 
