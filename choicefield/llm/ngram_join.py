@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Stored, arrow_map, bit_filter, filtered, linked_components, picked, text_slices
+from .common import Stored, arrow_map, bit_filter, column, filtered, linked_components, picked, text_slices
 from .shingles import distinct, mix, shingle_sequences, shingle_sets
 
 SIZE, PERCENT = 4, 85
@@ -215,16 +216,8 @@ class Join:
         return roots
 
 
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: its number of distinct shingles and the smallest doc_id that links reach.
-
-    Words are maximal runs without ASCII white space, with A-Z lower-cased. A text of fewer than ``size`` words is one shingle.
-    A null or wordless text has no shingle, links with nothing and is its own component. Rows with equal texts always link;
-    repeated doc_ids give a row for each input row. A null doc_id stays null and is ignored as a component's smallest id
-    unless the component has no other. An empty table gives no rows; other columns of ``df`` are not read. Candidates come
-    from ``ORDERS`` token orders; nothing is dropped, and no pair of linked texts is missed.
-    """
-    docs = picked(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+def linked_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row of (doc_id, text), and (node, low, root) of every set: its smallest doc_id and its component."""
     join = Join(docs, size, percent)
     every = Stored(arrow_map(docs, _node_rows, "doc_id bigint, n bigint, node binary, some array<bigint>", size), "shingled")
     heads = Stored(every.df.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("some").alias("some")), "heads")
@@ -238,8 +231,48 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     heads.drop()
     first = nodes.df.select("node", F.col("doc_id").alias("low"))
     roots = join.links(nodes)
-    grouped = first.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    return plain.df, first.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: its number of distinct shingles and the smallest doc_id that links reach.
+
+    Words are maximal runs without ASCII white space, with A-Z lower-cased. A text of fewer than ``size`` words is one shingle.
+    A null or wordless text has no shingle, links with nothing and is its own component. Rows with equal texts always link;
+    repeated doc_ids give a row for each input row. A null doc_id stays null and is ignored as a component's smallest id
+    unless the component has no other. An empty table gives no rows; other columns of ``df`` are not read. Candidates come
+    from ``ORDERS`` token orders; nothing is dropped, and no pair of linked texts is missed.
+    """
+    plain, grouped = linked_nodes(picked(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint")), size, percent)
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "root").select("node", "component_id")
-    return (plain.df.join(named, "node", "left")
+    return (plain.join(named, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_per_component(df: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row of ``df`` (with doc_id and text) for each component of ``jaccard_components``, and every row without words.
+
+    The row kept has the component's smallest doc_id; a null one comes last. Of several such sets the smallest digest is taken, of
+    equal sets under that id the smallest row. Ids only order the rows of a component: unlike texts stay, whatever ids they share.
+    """
+    keyed = df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    _, grouped = linked_nodes(picked(keyed, doc_id="doc_id", text="text"), size, percent)
+    first = F.min(F.struct(F.col("low").isNull().alias("last"), "low", "node")).alias("first")
+    kept = Stored(grouped.groupBy("root").agg(first).select(F.col("first.low").alias("doc_id"), F.col("first.node").alias("node")), "kept").df
+    picks = bit_filter(kept, "doc_id")
+    rows = keyed.withColumn("filter_hash", F.xxhash64("doc_id"))
+    schema = StructType([*rows.schema, StructField("node", BinaryType())])
+
+    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _texts(filtered(batch, picks)):
+                yield part.append_column("node", pa.array([_digest(s) if len(s) else None for s in shingle_sets(texts, size)], pa.binary()))
+
+    def key() -> Column:
+        return F.concat_ws("|", F.hex("node"), F.col("doc_id").cast("string"))  # a null id adds nothing
+
+    one = (rows.mapInArrow(with_node, schema).filter("node is not null").groupBy(key().alias("key"))
+           .agg(F.min(F.struct(*map(column, df.columns))).alias("row")).join(kept.select(key().alias("key")), "key", "left_semi").select("row.*"))
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return df.filter(wordless).unionByName(one)

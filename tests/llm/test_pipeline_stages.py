@@ -37,3 +37,14 @@ def test_near_duplicates_share_four_fifths_of_five_word_shingles(spark, monkeypa
     assert {d for d, _ in got} == {d for d, _, c in groups if d == c} and sum(got.values()) == len(got)
     assert (10 * 8 + 1) not in {d for d, _ in got}  # 100 of 118 shingles: between the two thresholds
     assert {d for d, _, c in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if d == c} > {d for d, _ in got}
+
+
+def test_unlike_documents_stay_under_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"]
+    near = texts[4] + " z"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1].upper()), (7, texts[2]), (7, texts[3]), (7, texts[3]),
+            (3, texts[4]), (9, near), (9, texts[5]), (None, near), (5, None), (5, " "), (None, None), (5, None)]
+    got = near_stage(spark, rows)
+    assert got == Counter([(None, texts[0]), (None, min(texts[1], texts[1].upper())), (7, texts[2]), (7, texts[3]), (3, texts[4]),
+                           (9, texts[5]), (5, None), (5, " "), (None, None), (5, None)])
+    assert not near_stage(spark, [])
