@@ -2,9 +2,9 @@
 
 Each document is its token ids and an end sign. Longer ones are cut so that only the first piece is shorter than a sequence.
 What is left to pack is one number for each length below the capacity: how many pieces have it. Exact complements come first:
-for each length from the longest, one other length, then two, that fill the gap exactly and are still available, as often as
-counts allow. The rest is placed best-fit decreasing, on counts too; as it needs short pieces to fill gaps, plans that keep a
-share of them from the exact steps are made as well, and the one with the fewest sequences is used. The plan has a bounded number of rows whatever the corpus:
+for each length from the longest, one other length, then two, then three, that fill the gap exactly and are still available, as
+often as counts allow. The rest is placed best-fit decreasing, on counts too; as it needs short pieces to fill gaps, plans that
+keep a share of them from the exact steps, or take no three, are made as well, and the one with the fewest sequences is used. The plan has a bounded number of rows whatever the corpus:
 each exact step uses up a length, and best fit opens a class of sequences at most a few times per length.
 
 In Spark, texts are tokenised once into a stored table; a piece's rank within its length comes from counts per (length, salt)
@@ -19,7 +19,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, product
 
 import numpy as np
 import pyarrow as pa
@@ -69,20 +69,46 @@ def _token_rows(batch: pa.RecordBatch, path: str, capacity: int, end: int, numbe
         yield {"doc_id": part.column("doc_id"), "n": lengths, "crcs": crcs, "salt": [next(numbers) % SALTS for _ in lengths]}
 
 
-def exact_steps(left: Counter, capacity: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(lengths, times) of combinations of two or three lengths that fill a sequence exactly; takes them out of ``left``."""
-    for long in sorted(left, reverse=True):
-        while left[long]:
-            gap = capacity - long
-            if left[gap]:
-                lengths = (long, gap)
-            else:
-                lengths = next(((long, a, gap - a) for a in range(min(long, gap - 1), (gap - 1) // 2, -1)
-                                if left[a] and left[gap - a] and all(left[x] >= k for x, k in Counter((long, a, gap - a)).items())), None)
-            need = Counter(lengths or ())
-            times = min((left[x] // k for x, k in need.items()), default=0)
-            if not times:
+def exact_steps(left: Counter, capacity: int, most: int = 3) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(lengths, times) of combinations of a length and up to ``most`` others that fill a sequence exactly; takes them out of ``left``.
+
+    Pairs are indexed by their sum, triples are a length and an indexed pair. As ``left`` only shrinks, a pair that is used up
+    leaves the index for good; of the pairs of a sum at most two need a length that the combination has already."""
+    present = sorted((x for x in left if left[x] > 0), reverse=True)
+    sums: dict[int, list[int]] = {}
+    for i in range(len(present) - 1, -1, -1):
+        for b in reversed(present[i:]):
+            if present[i] + b >= capacity:
                 break
+            sums.setdefault(present[i] + b, []).append(present[i])
+
+    def enough(lengths: tuple[int, ...]) -> bool:
+        return all(left[x] >= k for x, k in Counter(lengths).items())
+
+    def pair(total: int, *others: int) -> tuple[int, ...]:
+        """``others`` and the pair of this sum with the longest length that is still there besides them."""
+        longest = sums.get(total, [])
+        for i in range(len(longest) - 1, -1, -1):
+            two = (longest[i], total - longest[i])
+            if enough(others + two):
+                return others + two
+            if not enough(two):
+                del longest[i]
+        return ()
+
+    def filling(long: int) -> tuple[int, ...]:
+        gap = capacity - long
+        if enough((long, gap)):
+            return long, gap
+        found = pair(gap, long)
+        if found or most < 3:
+            return found
+        return next(filter(None, (pair(gap - a, long, a) for a in present if a <= gap - 2 and sums.get(gap - a) and left[a])), ())
+
+    for long in present:
+        while left[long] and (lengths := filling(long)):
+            need = Counter(lengths)
+            times = min(left[x] // k for x, k in need.items())
             left.subtract({x: k * times for x, k in need.items()})
             yield lengths, times
 
@@ -121,16 +147,17 @@ def best_fit_steps(left: Counter, capacity: int) -> list[tuple[tuple[int, ...],
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[PlanRow], int]:
     """Rows (length, first rank, end rank, first sequence, offset) and the number of sequences."""
-    def steps(reserve: float) -> list[tuple[tuple[int, ...], int]]:
+    def steps(how: tuple[float, int]) -> list[tuple[tuple[int, ...], int]]:
         """Exact steps that leave a share of the short pieces, which best fit needs to fill gaps; then best fit."""
+        reserve, most = how
         kept = Counter({x: math.ceil(reserve * c) for x, c in counts.items() if 3 * x <= capacity})
         left = Counter({x: c - kept[x] for x, c in counts.items()})
-        exact = list(exact_steps(left, capacity))
+        exact = list(exact_steps(left, capacity, most))
         left.update(kept)
         return exact + best_fit_steps(left, capacity)
 
     taken, sequence, rows = Counter(), 0, []
-    for lengths, times in min(map(steps, RESERVES), key=lambda made: sum(t for _, t in made)):
+    for lengths, times in min(map(steps, product(RESERVES, (3, 2))), key=lambda made: sum(t for _, t in made)):
         offset = 0
         for x in lengths:
             rows.append((x, taken[x], taken[x] + times, sequence, offset))
