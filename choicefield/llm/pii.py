@@ -36,7 +36,15 @@ _DIGITS = {"zero": 0, "null": 0, "zéro": 0, "cero": 0, "one": 1, "eins": 1, "un
            "cinq": 5, "cinco": 5, "six": 6, "sechs": 6, "seis": 6, "seven": 7, "sieben": 7, "sept": 7, "siete": 7, "eight": 8, "acht": 8,
            "huit": 8, "ocho": 8, "nine": 9, "neun": 9, "neuf": 9, "nueve": 9}
 _AT, _DOT = "at|arobase|arroba|klammeraffe|ät", "dot|point|punkt|punto|period"
-_TLD = "com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|us"
+_TLD = "com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|us"  # endings in any case, after a local part of digits too
+# Words after which a bare "at" is mostly a preposition, and words that tell of an address.
+_PLACED = frozenset("""look looks looked looking see seen find finds found available online hosted host based located listed sold live working work works worked
+    employed engineer developer manager visit visiting visited read reading more us me him her them it you we here there site website page pages
+    shop store store's is are was were be been being and or but the a an this that these those information info details docs documentation
+    posted published appeared starts started start ends arrive arrived arriving stay stayed stop stops stopped meet meeting met up only not out
+    back aimed pointed points down over free registered register buy bought order ordered download downloads all also even just now today""".split())
+_ADDRESS = re.compile(r"(?<!\w)(?:e-?mails?|mails?|mailto|contact|reach|write|address|addresses|send|message|reply|cc|bcc|adresse|courriel|schreib\w*|"
+                      r"correo|écri\w*|escrib\w*|kontakt|contacto)(?!\w)", re.I)
 
 
 def _folds() -> dict[int, str]:
@@ -77,9 +85,12 @@ _SIGN = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<a1>{_AT}|@)|(?P<d1>{_DOT}|\.))\s*[)\]
                    rf"|(?<!\w)(?P<plus>plus)\s+(?=[0-9])|(?<=[0-9])\s+(?P<dash>dash|hyphen)\s+(?=[0-9])", re.I)
 _BRACKETED = re.compile(rf"[(\[{{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[)\]}}>]", re.I)
 _SPACED = re.compile(rf"\s(?:{_DOT}|[@.])\s", re.I)
-_BARE = re.compile(rf"[0-9._]\S*\s+(?:{_AT})\s+\S+\.[a-z]|[0-9]\s+(?:{_AT})\s", re.I)
+_BARE = re.compile(rf"\s(?:{_AT})\s+[a-z0-9-]+\.[a-z0-9]|[0-9]\s+(?:{_AT})\s", re.I)
 _DOT_WORDS, _SIGN_WORDS = tuple(_DOT.split("|")), frozenset([*_DOT.split("|"), "plus", "double", "triple"])
-_PLAIN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_TLD})(?![\w.-]*\w)", re.I)
+_PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?P<end>[A-Za-z]{2,})(?![\w.-]*\w)")
+_KNOWN_END = re.compile(_TLD, re.I)
+_PUNCTUATION = str.maketrans(dict.fromkeys("-,.;:!?()[]{}<>\"'/+*|", " "))
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][\s().-]*$"), re.compile(r"[\s().-]*[0-9]")
 
 _SIGN_BEFORE = re.compile(rf"(?<!\w)(?:{_DOT}|plus)\s+$", re.I)
 _SIGN_AFTER = re.compile(rf"\s+(?:{_DOT})(?!\w)", re.I)
@@ -164,7 +175,7 @@ def _digits(m: re.Match) -> str | None:
     if len(words) == 1:
         before, after = m.string[max(0, m.start() - 12):m.start()], m.string[m.end():m.end() + 12]
         sign = _SIGN_BEFORE.search(before) or _SIGN_AFTER.match(after)
-        if not sign and not (before.rstrip()[-1:].isdigit() and after.lstrip()[:1].isdigit()):
+        if not sign and not _DIGIT_BEFORE.search(before) and not _DIGIT_AFTER.match(after):
             return None
     return "".join(out)
 
@@ -183,7 +194,22 @@ def _sign(m: re.Match) -> str | None:
     if not local:
         return None
     spelled = re.match(rf"[A-Za-z0-9-]+(?:\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+)[A-Za-z0-9-]", after, re.I)
-    return "@" if spelled or (re.search(r"[0-9._]", local[0]) and _PLAIN_DOMAIN.match(after)) else None
+    return "@" if spelled or _names_mailbox(local[0], m["a2"], before[:local.start()], after) else None
+
+
+def _names_mailbox(local: str, at: str, before: str, after: str) -> bool:
+    """Whether a bare "at" before a domain without spelled dots stands in an address.
+
+    Any alphabetic ending in one case will do. A local part with a digit, dot or underscore counts at once (numbers alone only
+    before a common ending), a plain word unless a preposition mostly follows it; words that tell of an address let all count."""
+    domain = _PLAIN_DOMAIN.match(after)
+    known = domain and _KNOWN_END.fullmatch(domain["end"])
+    if not domain or not (known or domain["end"].islower() or domain["end"].isupper()):
+        return False
+    if at.lower() != "at" or _ADDRESS.search(before):
+        return True
+    marked = re.search(r"[0-9._]", local)
+    return bool(known or re.search("[A-Za-z]", local)) if marked else local.lower() not in _PLACED
 
 
 def hints(text: str) -> bool:
@@ -197,7 +223,7 @@ def hints(text: str) -> bool:
         return True
     if re.search(r"\.[a-z]", low) and _BARE.search(low):
         return True
-    words = low.replace("-", " ").replace(",", " ").split()
+    words = low.translate(_PUNCTUATION).split()
     if _DIGITS.keys().isdisjoint(words):
         return False
     last = len(words) - 1
