@@ -5,6 +5,9 @@ composite density weighs characters per tag by how much of the text is linked, c
 styles, forms and other things that are never text are not counted. The sum of the densities of a node's children is largest for
 the element that holds the article. The threshold is the smallest density on the path from that node to the body: parts of the
 chosen subtree below it are dropped if they look like boilerplate by name or are mostly links.
+
+Elements are left out by kind, role or name only after the whole tree was counted: one that holds most of the page's unlinked
+text wraps the article and stays (a form around a page, "content-sidebar-wrap"); the controls of a form never count.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ _CLOSERS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
             "option": ({"option"}, {"select", "optgroup"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
             "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tfoot", "tr", "td", "th"}, {"table"})}
-_NEVER = frozenset("script style textarea title noscript iframe template xmp noframes head form button select input svg canvas object embed "
-                   "audio video map math dialog datalist nav aside footer menu".split())
+_NEVER = frozenset("script style textarea title noscript iframe template xmp noframes head button select input svg canvas object embed "
+                   "audio video map math datalist".split())
+_SELDOM = frozenset("form dialog nav aside footer menu".split())
+_STATE = re.compile(r"(?<!\S)(?:has|no|with|without|is|not)[_-]\S*", re.I)  # classes that tell what a wrapper holds or lacks
+_OTHERS = re.compile(r"(?:^|[\s_-])(?:cookie\w*|consent|gdpr|popup|modal|overlay|comment\w*|disqus|respond|reply|replies|legal|disclaimer)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|outbrain|taboola|menu\w*|nav|navbar|navigation|breadcrumb\w*"
                     r"|sidebar\w*|side|widget\w*|footer\w*|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay"
@@ -50,7 +56,7 @@ _ARTICLE = frozenset("article main".split())
 @dataclass(slots=True)
 class Node:
     name: str
-    dropped: bool
+    dropped: int
     parent: Node | None
     items: list = field(default_factory=list)
     chars: int = 0
@@ -61,26 +67,66 @@ class Node:
     below: float = 0.0
 
 
-def _dropped(name: str, attrs: str, inside: frozenset[str]) -> bool:
-    """Whether an element is boilerplate by its kind, role or name. Headers count only outside an article."""
-    if name in _NEVER or name == "header" and not inside & _ARTICLE:
-        return True
+# Why an element is left out: never text or hidden; text of its own that may be longer than the article; boilerplate unless it wraps the page.
+_HARD, _OWN, _SOFT = 1, 2, 3
+
+
+def _dropped(name: str, attrs: str, inside: frozenset[str]) -> int:
+    """Why an element is boilerplate by its kind, role or name, 0 if it is not. Headers count only outside an article."""
+    if name in _NEVER:
+        return _HARD
+    why = _SOFT if name in _SELDOM or name == "header" and not inside & _ARTICLE else 0
     if not attrs or name in ("html", "body") or name in _ARTICLE and not re.search("comment|repl", attrs, re.I):
-        return False
+        return why
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return _HARD
         if key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id") and (_NAMES.search(value) or _HEADERS.search(value) and not inside & _ARTICLE and not re.fullmatch("h[1-6]", name)):
-            return True
-    return False
+            why = why or _SOFT
+        if key in ("class", "id"):
+            value = _STATE.sub(" ", value)
+            if _OTHERS.search(value):
+                why = _OWN
+            elif _NAMES.search(value) or _HEADERS.search(value) and not inside & _ARTICLE and not re.fullmatch("h[1-6]", name):
+                why = why or _SOFT
+    return why
+
+
+def _length(text: str) -> int:
+    return len(_SPACE.sub(" ", entities.unescape(text)).strip())
+
+
+def keep_wrappers(root: Node) -> None:
+    """Elements that would be left out but hold most of the page's unlinked text stay, unless an article element outside has text.
+
+    Comments, consent dialogs and the like do not count as the page's text while it has other text, and never stay then."""
+    order, todo = [], [(root, False, False)]
+    while todo:
+        node, linked, article = todo.pop()
+        if node.dropped != _HARD:
+            linked, article = linked or node.name == "a", article or node.name in _ARTICLE and not node.dropped
+            order.append((node, linked, article))
+            todo += [(c, linked, article) for c in node.items if isinstance(c, Node)]
+    if not any(n.dropped for n, _, _ in order):
+        return
+    sizes = [0 if linked else sum(_length(t) for t in n.items if isinstance(t, str)) for n, linked, _ in order]
+    for others in (_OWN, _HARD):  # without the text of others; if that leaves nothing, with it
+        free, shown = {}, {}
+        for (node, _, article), own in zip(reversed(order), reversed(sizes)):
+            inner = [c for c in node.items if isinstance(c, Node)]
+            free[id(node)] = 0 if node.dropped == others else own + sum(free.get(id(c), 0) for c in inner)
+            shown[id(node)] = 0 if node.dropped else (own if article else 0) + sum(shown.get(id(c), 0) for c in inner)
+        if free[id(root)]:
+            break
+    for node, _, _ in order:
+        if node.dropped and node.dropped != others and 2 * free[id(node)] > free[id(root)] and not shown[id(root)]:
+            node.dropped = 0
 
 
 def parsed(source: str) -> Node:
     """The element tree; unclosed and misnested elements are closed where a browser would close them."""
-    root = now = Node("html", False, None)
+    root = now = Node("html", 0, None)
     open_ = ["html"]
     at = 0
 
@@ -117,7 +163,7 @@ def parsed(source: str) -> Node:
         if name in _CLOSERS:
             close_to(*_CLOSERS[name])
         if name in _VOID:
-            now.items.append(Node(name, True, now) if name != "br" else " ")
+            now.items.append(Node(name, _HARD, now) if name != "br" else " ")
             continue
         node = Node(name, _dropped(name, m["attrs"], frozenset(open_)), now)
         now.items.append(node)
@@ -146,7 +192,7 @@ def walk(root: Node) -> list[Node]:
 def measure(root: Node) -> list[Node]:
     order = walk(root)
     for node in reversed(order):
-        node.chars += sum(len(_SPACE.sub(" ", entities.unescape(t)).strip()) for t in node.items if isinstance(t, str))
+        node.chars += sum(_length(t) for t in node.items if isinstance(t, str))
         if node.name == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         if node.parent is not None:
@@ -201,6 +247,7 @@ def _wraps(outer: Node, inner: Node) -> bool:
 def main_text(source: str) -> str:
     """The blocks of the densest subtree, joined by newlines; empty if the page has no text."""
     root = parsed(source)
+    keep_wrappers(root)
     order = [n for n in measure(root) if n.chars]
     top = max(order, key=lambda n: n.below, default=root)
     while top.parent is not None and (top.name not in _BLOCK or top.name in ("p", "li") or _wraps(top.parent, top)):
