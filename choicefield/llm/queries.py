@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, langid, media, packing, pii, secret_scan
+from . import ann, automaton, bpe, chat, html, langid, media, packing, pii, secret_scan
 from .common import Stored
 from .ngram_join import jaccard_components
 
@@ -62,6 +62,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.records_of_turns(conversations)))
 
 
+def op13_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_copies": op1_media_copies,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -73,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op13_tokenization_automaton": op13_tokenization_automaton,
 }
 ORACLE_SQL: dict[str, str] = {}
