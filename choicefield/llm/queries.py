@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import ann, automaton, bpe, chat, html, langid, media, packing, pii, secret_scan
 from .common import Stored
 from .ngram_join import jaccard_components
+from .prefix_trie import prefix_trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.records_of_turns(conversations)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -77,6 +82,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_tokenization_automaton": op13_tokenization_automaton,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: CRC-32 of the decimal number: its bytes in order, each followed by eight shifts (-1) with the reflected polynomial
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint],
+  flatten(list_transform(range(1, length(c::varchar) + 1), lambda k: list_concat([ascii(substr(c::varchar, k::int, 1))::bigint], [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))),
+  lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+#: Leaves and saved tokens of a node are sums over its conversations: a leaf counts for its smallest conversation, and so does what a
+#: node saves, as the smallest conversation of a node below is one of the node's.
+_PREFIX_TRIE = f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 100 AS b, {_CRC} % 6 AS h FROM (SELECT DISTINCT c FROM own)),
+heads AS (SELECT c AS b, least(max(i), 5) AS m FROM own GROUP BY c),
+begun AS (SELECT ids.c, own.i AS d, own.role, own.text FROM ids JOIN own ON own.c = ids.b AND own.i <= ids.h),
+later AS (SELECT own.c, own.i - ids.h + least(ids.h, coalesce(m, 0)) AS d, own.role, own.text
+          FROM own JOIN ids USING (c) LEFT JOIN heads USING (b) WHERE own.i > ids.h),
+turns AS (SELECT * FROM begun UNION ALL SELECT * FROM later),
+paths AS (SELECT c, d, length(text) AS n, list(struct_pack(r := role, t := text)) OVER (PARTITION BY c ORDER BY d) AS path FROM turns
+          UNION ALL SELECT c, 0, 0, [] FROM ids),
+marked AS (SELECT *, min(c) OVER (PARTITION BY path) AS m, count(*) OVER (PARTITION BY path) AS k, max(d) OVER (PARTITION BY c) AS last FROM paths),
+up AS (SELECT *, lag(m) OVER (PARTITION BY c ORDER BY d) AS parent, CASE WHEN c = m THEN (k - 1) * n ELSE 0 END AS saves FROM marked),
+nodes AS (SELECT m, d, any_value(parent) AS parent, any_value(k) AS k, string_agg(c::varchar, ',' ORDER BY c) FILTER (d = last) AS ends FROM up GROUP BY m, d),
+born AS (SELECT parent AS m, d - 1 AS d, count(*) AS born FROM nodes WHERE d > 0 GROUP BY ALL),
+carried AS (SELECT up.m, up.d, sum(saves) OVER (PARTITION BY up.c ORDER BY up.d DESC) AS saves, max(CASE WHEN born.m IS NULL AND c = up.m THEN 1 ELSE 0 END) OVER (PARTITION BY up.c) AS leaf
+            FROM up LEFT JOIN born ON born.m = up.m AND born.d = up.d),
+summed AS (SELECT m, d, sum(saves) AS saved, sum(leaf) AS leaves FROM carried GROUP BY m, d)
+SELECT nodes.m AS conv_id, nodes.d::bigint AS depth, parent AS parent_conv_id, k AS n_convs, coalesce(born, 0)::bigint AS n_children,
+       leaves::bigint AS n_leaves, saved::bigint AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes JOIN summed USING (m, d) LEFT JOIN born USING (m, d)
+"""
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": _PREFIX_TRIE}
