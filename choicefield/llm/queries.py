@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ann, automaton, bpe, chat, html, langid, media, packing, pii, secret_scan
 from .common import Stored
+from .hard_negatives import hard_negatives
 from .ngram_join import jaccard_components
 from .prefix_trie import prefix_trie
 
@@ -67,6 +68,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
+
+
 def op13_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_tokenization_automaton": op13_tokenization_automaton,
 }
 
@@ -115,4 +122,18 @@ SELECT nodes.m AS conv_id, nodes.d::bigint AS depth, parent AS parent_conv_id, k
        leaves::bigint AS n_leaves, saved::bigint AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM nodes JOIN summed USING (m, d) LEFT JOIN born USING (m, d)
 """
-ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": _PREFIX_TRIE}
+_HARD_NEGATIVES = """
+WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                        list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+                 WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::bigint AS score
+          FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::int AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": _PREFIX_TRIE, "op12_hard_negatives": _HARD_NEGATIVES}
