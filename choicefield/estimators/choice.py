@@ -9,11 +9,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normal import norm_cdf, norm_pdf
-from ..functions.scalars import add, clip_prob
-from ..operators import kernels, measurement, utility
+from ..functions import vector
+from ..functions.scalars import PROB_FLOOR
+from ..operators import blocks, kernels, measurement
 from ..operators.encode import zscore_apply, scale_stats
-from .newton import Fit, Point, inverse, maximise, symmetric
+from .newton import Fit, Point, inverse, maximise, numeric_information, symmetric
 
 
 def _cached(df: DataFrame) -> DataFrame:
@@ -64,8 +64,7 @@ def fit_mnl(df: DataFrame | None, set_keys: list[str], attrs: list[str], chosen:
 
 
 def opg_of(scores: DataFrame, names: list[str]) -> np.ndarray:
-    row = scores.agg(*[F.sum(F.col(f"g_{a}") * F.col(f"g_{b}")).alias(f"o_{a}_{b}") for a, b in _pairs(names)]).first()
-    return symmetric(names, row, "o_")
+    return blocks.gram(scores, [f"g_{a}" for a in names])
 
 
 def sandwich(fit: Fit, scores: DataFrame) -> np.ndarray:
@@ -84,34 +83,93 @@ def opg_covariance(scores: DataFrame, names: list[str]) -> DataFrame:
     return matrix_table(scores.sparkSession, names, inverse(opg_of(scores, names)))
 
 
-# ---- binary probit ---------------------------------------------------------------------------------------
+# ---- binary models ---------------------------------------------------------------------------------------
 
-def fit_binary_probit(df: DataFrame, attrs: list[str], chosen: str = "chosen", intercept: bool = True) -> Fit:
-    """P(y = 1) = Phi(V) by Fisher scoring."""
-    names = (["const"] if intercept else []) + list(attrs)
-    data = _cached(df.select(F.col(chosen).alias("__y"), F.lit(1.0).alias("const"), *[F.col(a).cast("double").alias(a) for a in attrs]).dropna())
+def _logit_link(v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row ln P(y), its derivative by v, and the information by v (here minus the second derivative)."""
+    p = np.clip(1 / (1 + np.exp(-np.clip(v, -700, 700))), 1e-15, 1 - 1e-15)
+    return np.where(y == 1, np.log(p), np.log(1 - p)), y - p, p * (1 - p)
 
-    def evaluate(theta):
-        v = add([F.lit(float(b)) * F.col(a) for a, b in theta.items()])
-        x = data.withColumn("__v", v).withColumn("__p", clip_prob(norm_cdf(F.col("__v")))).withColumn("__f", norm_pdf(F.col("__v")))
-        p, f, y = F.col("__p"), F.col("__f"), F.col("__y")
-        w = f * f / (p * (1 - p))
-        row = x.agg(F.sum(F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("ll"),
-                    *[F.sum((y - p) * f / (p * (1 - p)) * F.col(a)).alias(f"g_{a}") for a in names],
-                    *[F.sum(w * F.col(a) * F.col(b)).alias(f"i_{a}_{b}") for a, b in _pairs(names)]).first()
-        return Point(row["ll"], np.array([row[f"g_{a}"] for a in names]), symmetric(names, row, "i_"))
+
+def _probit_link(v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_logit_link``; the information is the expected one."""
+    p = np.clip(vector.norm_cdf(v), PROB_FLOOR, 1 - PROB_FLOOR)
+    f = vector.norm_pdf(v)
+    return np.where(y == 1, np.log(p), np.log(1 - p)), (y - p) * f / (p * (1 - p)), f * f / (p * (1 - p))
+
+
+def _binary_points(data: DataFrame, names: list[str], link, thetas: list[np.ndarray]) -> list[tuple[Point, np.ndarray]]:
+    """Point and outer products of the row scores at each parameter vector, from one pass; blocks of k x k, whatever k."""
+    k = len(names)
+    size = 1 + k + 2 * k * k
+
+    def sums(batches):
+        for batch in batches:
+            x, y = blocks.columns_of(batch, names), blocks.columns_of(batch, ["__y"])[:, 0]
+            out = []
+            for theta in thetas:
+                ll, score, weight = link(x @ theta, y)
+                out += [[ll.sum()], x.T @ score, (x.T @ (weight[:, None] * x)).ravel(), (x.T @ ((score * score)[:, None] * x)).ravel()]
+            yield np.concatenate(out)
+    total = blocks.vector_sum(data.select("__y", *names), size * len(thetas), sums).reshape(len(thetas), size)
+    return [(Point(float(t[0]), t[1:1 + k], t[1 + k:1 + k + k * k].reshape(k, k)), t[1 + k + k * k:].reshape(k, k)) for t in total]
+
+
+def _fit_binary(data: DataFrame, names: list[str], link, penalty: np.ndarray, robust: bool, exact: bool) -> Fit:
+    """``exact``: the link's information is minus the Hessian; otherwise the sandwich takes it from perturbed points."""
+    def points(thetas: list[np.ndarray]) -> list[Point]:
+        return [Point(p.ll - 0.5 * float(penalty @ (t * t)), p.gradient - penalty * t, p.information + np.diag(penalty))
+                for t, (p, _) in zip(thetas, _binary_points(data, names, link, thetas))]
     counts = data.agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("m")).first()
-    fit = maximise(names, np.zeros(len(names)), evaluate, counts.n)
+    fit = maximise(names, np.zeros(len(names)), lambda theta: points([np.array(list(theta.values()))])[0], counts.n)
     m = min(max(counts.m, 1e-12), 1 - 1e-12)
     fit.null_ll = counts.n * (m * math.log(m) + (1 - m) * math.log(1 - m))
+    if robust:
+        h = inverse(fit.point.information if exact else numeric_information(points, fit.theta))
+        fit.robust = h @ _binary_points(data, names, link, [fit.theta])[0][1] @ h
+    return fit
+
+
+def _with_const(df: DataFrame, attrs: list[str], chosen: str, intercept: bool = True) -> tuple[DataFrame, list[str]]:
+    data = df.select(F.col(chosen).cast("double").alias("__y"), *[F.col(a).cast("double").alias(a) for a in attrs]).dropna()
+    return (data.withColumn("const", F.lit(1.0)), ["const", *attrs]) if intercept else (data, list(attrs))
+
+
+def fit_binary_probit(df: DataFrame, attrs: list[str], chosen: str = "chosen", intercept: bool = True, robust: bool = False) -> Fit:
+    """P(y = 1) = Phi(V) by Fisher scoring. ``robust``: sandwich over the rows."""
+    data, names = _with_const(df, attrs, chosen, intercept)
+    data = _cached(data)
+    fit = _fit_binary(data, names, _probit_link, np.zeros(len(names)), robust, exact=False)
     data.unpersist()
     return fit
 
 
 # ---- ordered probit --------------------------------------------------------------------------------------
 
+def _ordered_sums(items: list[str], theta: dict[str, np.ndarray], k: int):
+    """Per item ln P, scores and their outer products; (eta, answers) rows, answers from 1."""
+    def sums(batches):
+        for batch in batches:
+            eta, answers = blocks.columns_of(batch, ["__eta"])[:, 0], blocks.columns_of(batch, items, float("nan"))
+            out = []
+            for j, i in enumerate(items):
+                seen = ~np.isnan(answers[:, j])
+                y, e = np.clip(answers[seen, j].astype(int), 1, k), eta[seen]
+                taus = np.concatenate(([-measurement.FAR], theta[i][1:], [measurement.FAR]))
+                low, high = taus[y - 1] - theta[i][0] * e, taus[y] - theta[i][0] * e
+                p = np.clip(vector.interval_prob(low, high), PROB_FLOOR, 1 - PROB_FLOOR)
+                f_low, f_high = vector.norm_pdf(low) / p, vector.norm_pdf(high) / p
+                s = np.zeros((len(e), k))
+                s[:, 0] = (f_low - f_high) * e
+                for t in range(1, k):
+                    s[:, t] = np.where(y == t, f_high, 0.0) - np.where(y == t + 1, f_low, 0.0)
+                out += [[np.log(p).sum()], s.sum(axis=0), (s.T @ s).ravel()]
+            yield np.concatenate(out)
+    return sums
+
+
 def fit_ordered_probit(df: DataFrame, eta: str, items: list[str], categories: int = 5) -> dict[str, Fit]:
-    """zeta and thresholds of every item given the latent score, by BHHH. One aggregate per step serves all items."""
+    """zeta and thresholds of every item given the latent score, by BHHH. One pass per step serves all items."""
     taus = [f"tau_{j}" for j in range(1, categories)]
     names = ["zeta", *taus]
     data = _cached(df.select(F.col(eta).cast("double").alias("__eta"), *items).filter("__eta is not null"))
@@ -122,17 +180,12 @@ def fit_ordered_probit(df: DataFrame, eta: str, items: list[str], categories: in
     for i in items:
         shares = [min(max(counts[f"c{j}_{i}"], 1e-4 * j), 1 - 1e-4 * (categories - j)) for j in range(1, categories)]
         start[i] = np.array([0.1, *[NormalDist().inv_cdf(s) for s in shares]])
+    k = len(names)
+    size = 1 + k + k * k
 
     def evaluate_all(theta: dict[str, np.ndarray]) -> dict[str, Point]:
-        spec = {i: (float(theta[i][0]), [float(x) for x in theta[i][1:]]) for i in items}
-        wide = measurement.ordered_probit_scores(data, "__eta", spec)
-        exprs = []
-        for i in items:
-            exprs.append(F.sum(F.log(f"p_{i}")).alias(f"{i}__ll"))
-            exprs += [F.sum(f"s_{i}_{n}").alias(f"{i}__g_{n}") for n in names]
-            exprs += [F.sum(F.col(f"s_{i}_{a}") * F.col(f"s_{i}_{b}")).alias(f"{i}__o_{a}_{b}") for a, b in _pairs(names)]
-        row = wide.agg(*exprs).first()
-        return {i: Point(row[f"{i}__ll"], np.array([row[f"{i}__g_{n}"] for n in names]), symmetric(names, row, f"{i}__o_")) for i in items}
+        total = blocks.vector_sum(data, size * len(items), _ordered_sums(items, theta, k)).reshape(len(items), size)
+        return {i: Point(float(t[0]), t[1:1 + k], t[1 + k:].reshape(k, k)) for i, t in zip(items, total)}
 
     def ordered(t):
         return all(a < b for a, b in zip(t[1:], t[2:]))
@@ -166,40 +219,24 @@ def fit_ordered_probit(df: DataFrame, eta: str, items: list[str], categories: in
 
 # ---- logit of single components --------------------------------------------------------------------------
 
-def fit_logit(df: DataFrame, attrs: list[str], chosen: str, l2: float = 0.0, standardise: bool = False) -> Fit:
+def fit_logit(df: DataFrame, attrs: list[str], chosen: str, l2: float = 0.0, standardise: bool = False, robust: bool = False) -> Fit:
     """Binary logit with intercept and optional ridge penalty l2/2 * |b|^2 (intercept free).
 
-    ``standardise`` fits on z-scored columns and transforms the coefficients back.
+    ``standardise`` fits on z-scored columns and transforms the coefficients back. ``robust``: sandwich over the rows.
     """
-    names = ["const", *attrs]
-    base = df.select(F.col(chosen).cast("double").alias("__y"), *[F.col(a).cast("double").alias(a) for a in attrs]).dropna()
-    stats = scale_stats(base, attrs, 0).first() if standardise else None
+    data, names = _with_const(df, attrs, chosen)
+    stats = scale_stats(data, attrs, 0).first() if standardise else None
     if standardise:
-        base = zscore_apply(base, attrs, scale_stats(base, attrs, 0), "")
-    data = _cached(base.withColumn("const", F.lit(1.0)))
-    pen = np.array([0.0] + [l2] * len(attrs))
-
-    def evaluate(theta):
-        v = add([F.lit(float(b)) * F.col(a) for a, b in theta.items()])
-        x = data.withColumn("__p", clip_prob(utility.logistic_prob(v), 1e-15))
-        p, y = F.col("__p"), F.col("__y")
-        row = x.agg(F.sum(F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("ll"),
-                    *[F.sum((y - p) * F.col(a)).alias(f"g_{a}") for a in names],
-                    *[F.sum(p * (1 - p) * F.col(a) * F.col(b)).alias(f"i_{a}_{b}") for a, b in _pairs(names)]).first()
-        t = np.array(list(theta.values()))
-        return Point(row["ll"] - 0.5 * float(pen @ (t * t)), np.array([row[f"g_{a}"] for a in names]) - pen * t,
-                     symmetric(names, row, "i_") + np.diag(pen))
-    counts = data.agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("m")).first()
-    fit = maximise(names, np.zeros(len(names)), evaluate, counts.n)
-    m = min(max(counts.m, 1e-12), 1 - 1e-12)
-    fit.null_ll = counts.n * (m * math.log(m) + (1 - m) * math.log(1 - m))
+        data = zscore_apply(data, attrs, scale_stats(data, attrs, 0), "")
+    data = _cached(data)
+    fit = _fit_binary(data, names, _logit_link, np.array([0.0] + [l2] * len(attrs)), robust, exact=True)
     data.unpersist()
     if standardise:
         mu = np.array([stats[f"mu_{a}"] for a in attrs])
         sd = np.array([s if (s := stats[f"sd_{a}"]) > 1e-10 else 1.0 for a in attrs])
         back = np.eye(len(names))
         back[0, 1:], back[1:, 1:] = -mu / sd, np.diag(1 / sd)
-        fit.robust = back @ inverse(fit.point.information) @ back.T
+        fit.robust = back @ fit.covariance() @ back.T
         fit.theta = back @ fit.theta
     return fit
 

@@ -98,6 +98,15 @@ class Fit:
                                             none.alias("std_error"), none.alias("p_value")))
 
 
+def numeric_information(points: Callable[[list[np.ndarray]], list[Point]], theta: np.ndarray, width: float = 1e-4) -> np.ndarray:
+    """Negative Hessian from the gradients at 2k perturbed points, which ``points`` evaluates in one pass over the data."""
+    k = len(theta)
+    h = width * (1 + np.abs(theta))
+    moved = points([theta + sign * h[i] * np.eye(k)[i] for i in range(k) for sign in (1, -1)])
+    rows = np.array([(moved[2 * i + 1].gradient - moved[2 * i].gradient) / (2 * h[i]) for i in range(k)])
+    return (rows + rows.T) / 2
+
+
 def _bfgs(inv: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
     sy = float(s @ y)
     if sy < 1e-12:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.groups import has_hot_group, numbered, with_group_values
 from ..functions.normal import norm_cdf, norm_pdf, with_normals
 from ..functions.scalars import PROB_FLOOR, add, clip, clip_prob, hash_unit
+from .blocks import gram_table
 
+FEW = 8  # parameters up to which products are single generated sums
 OCTAVE = 256.0  # width of the exponent ranges whose sums are kept apart; any width that exp() and its products can hold
 
 
@@ -101,9 +103,12 @@ def probit_gradient(df: DataFrame, v: str, chosen: str, attrs: list[str]) -> Dat
 
 
 def opg_matrix(scores: DataFrame, columns: list[str], sign: float = 1.0, prefix: str = "g_") -> DataFrame:
-    """Sum of outer products of individual scores: (row, col, value), upper triangle with diagonal."""
+    """Sum of outer products of individual scores: (row, col, value), upper triangle with diagonal. Up to ``FEW`` columns are
+    generated sums, more are Gram blocks; both give the same sums."""
     from .stats import inline
     names = [c.removeprefix(prefix) for c in columns]
+    if len(columns) > FEW:
+        return gram_table(scores, columns, names, sign)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     one = scores.agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs])
     return inline(one, [], [{"row": F.lit(names[i]), "col": F.lit(names[j]), "value": F.lit(float(sign)) * F.col(f"p{i}_{j}")} for i, j in pairs])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..estimators import choice, linear, pipeline, simulated
 from ..operators import encode, kernels
-from .bindings import FACTORS, LONG, choice_rows, complete_scores, items, scaled, scores
+from .bindings import FACTORS, ITEM_COLS, LONG, choice_rows, complete_scores, items, scaled, scores
 from .choice import eta_rows, relative
 from .describe import RICH, rich
 from .registry import query
 
 ATTRS = ["p", "d", "x"]
+DIMENSIONS = 64
 
 
 def _long(t):
@@ -47,19 +50,43 @@ def _(t):
 
 @query("fit_ordered_probit")
 def _(t):
-    fits = choice.fit_ordered_probit(eta_rows(t), "eta", ["q1"])
-    return fits["q1"].report(t.spark)
+    """All seven items, each given the latent score."""
+    fits = choice.fit_ordered_probit(eta_rows(t), "eta", ITEM_COLS)
+    return reduce(lambda x, y: x.unionByName(y), [f.report(t.spark).withColumn("item", F.lit(i)) for i, f in fits.items()])
+
+
+@query("fit_binary_probit_robust")
+def _(t):
+    return choice.fit_binary_probit(_long(t), ["p", "d"], robust=True).report(t.spark)
 
 
 @query("fit_rpl")
 def _(t):
-    return simulated.fit_rpl(_long(t), "id", ["sid"], ["p", "d"], ["d"], n_draws=10).report(t.spark)
+    return simulated.fit_rpl(_long(t), "id", ["sid"], ["p", "d"], ["d"]).report(t.spark)
+
+
+@query("fit_rpl_robust")
+def _(t):
+    """Sandwich errors, and draws with permuted digits."""
+    return simulated.fit_rpl(_long(t), "id", ["sid"], ["p", "d"], ["d"], n_draws=50, robust=True, scramble=7).report(t.spark)
+
+
+def _people(t, centred: bool):
+    shift = "" if not centred else " - 3.0D"
+    return items(t).selectExpr("id", *[f"{q}{shift} as {q}" for q in ITEM_COLS], "balance / 5000 - 1 as wealth")
 
 
 @query("fit_iclv_simultaneous")
 def _(t):
-    ind = items(t).selectExpr("id", "q1 - 3.0D as q1", "q3 - 3.0D as q3", "q4 - 3.0D as q4", "balance / 5000 - 1 as wealth")
-    fit = simulated.fit_iclv_simultaneous(_long(t), ind, "id", ["sid"], ["p"], "buy", ["q1", "q3", "q4"], ["wealth"], n_draws=10)
+    """One latent variable behind all items of its factor."""
+    return simulated.fit_iclv_simultaneous(_long(t), _people(t, True), "id", ["sid"], ["p"], "buy", FACTORS["A"], ["wealth"]).report(t.spark)
+
+
+@query("fit_joint_paths")
+def _(t):
+    """Two latent variables, the second predicted by the first, behind ordered answers to all seven items."""
+    kinds = {lv: dict.fromkeys(cols, "ordered") for lv, cols in FACTORS.items()}
+    fit = simulated.fit_joint(_long(t), _people(t, False), "id", ["sid"], ["p"], {"A": ["wealth"], "B": ["A"]}, kinds, [("A", "buy"), ("B", "p")], n_draws=50)
     return fit.report(t.spark)
 
 
@@ -99,10 +126,25 @@ def _(t):
     return choice.fit_logit(rich(t), ["price", "disc", "tax"], "chosen", standardise=True).coefficients(t.spark)
 
 
+def _embedded(t):
+    """All components of the vectors with a 0/1 label."""
+    emb = t.embeddings.select(F.col("vec_id").alias("doc_id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)])
+    return emb.join(t.labels, "doc_id").dropna()
+
+
 @query("fit_logit_embeddings")
 def _(t):
-    emb = t.embeddings.select(F.col("vec_id").alias("doc_id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return choice.fit_logit(emb.join(t.labels, "doc_id"), [f"e{i}" for i in range(8)], "quality", l2=1.0).report(t.spark)
+    return choice.fit_logit(_embedded(t), [f"e{i}" for i in range(DIMENSIONS)], "quality", l2=1.0, robust=True).report(t.spark)
+
+
+@query("gram_embeddings", doubles="value", sql=f"""with x as (select unnest(range({DIMENSIONS})) as i, vec_id from embeddings),
+  long as (select vec_id, i, embedding[i + 1]::DOUBLE as v from x join embeddings using (vec_id) where embedding[i + 1] is not null)
+  select 'e' || a.i as row, 'e' || b.i as col, sum(a.v * b.v) as value from long a join long b on a.vec_id = b.vec_id and a.i <= b.i group by a.i, b.i""")
+def _(t):
+    """Outer products of many columns at once: 2,080 sums in one block a partition."""
+    cols = [f"g_e{i}" for i in range(DIMENSIONS)]
+    wide = t.embeddings.select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    return kernels.opg_matrix(wide, cols)
 
 
 @query("fit_linear_component", doubles="coefficient:9", sql=f"with {LONG} select regr_slope(chosen, disc) as coefficient from long")
