@@ -154,7 +154,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("vector") == sizes.d).withColumn(
-        "key", F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64("vector", F.lit(i))), 16, "0") for i in range(2)])))
+        "key", F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), "vector")), 16, "0") for i in range(2)])))
     low = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
     entries = Stored(rows.distinct().withColumn("r", low).filter(F.col("r") <= keep).groupBy("key").agg(
         F.first("vector").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors").df
