@@ -44,7 +44,11 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         _POW = _powers(int(sizes.max()))
     at = np.cumsum(sizes) - sizes
     pos = np.arange(sizes.sum()) - np.repeat(at, sizes)
-    return mix(np.add.reduceat(_LOWER[raw[ink]] * _POW[pos], at) + sizes.astype(np.uint64)), starts
+    # folded before they are added: sums of plain products agree for words of a and b that mirror each other, whatever the base
+    signs = _LOWER[raw[ink]] * _POW[pos]
+    signs = (signs ^ (signs >> np.uint64(32))) * _STEP[0]
+    signs ^= signs >> np.uint64(29)
+    return mix(np.add.reduceat(signs, at) + sizes.astype(np.uint64)), starts
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
