@@ -86,6 +86,7 @@ _SIGN = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<a1>{_AT}|@)|(?P<d1>{_DOT}|\.))\s*[)\]
 _BRACKETED = re.compile(rf"[(\[{{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[)\]}}>]", re.I)
 _SPACED = re.compile(rf"\s(?:{_DOT}|[@.])\s", re.I)
 _BARE = re.compile(rf"\s(?:{_AT})\s+[a-z0-9-]+\.[a-z0-9]|[0-9]\s+(?:{_AT})\s", re.I)
+_SPOKEN = re.compile(r"(?<!\w)plus\s+[0-9]|[0-9]\s+(?:dash|hyphen)\s+[0-9]")
 _DOT_WORDS, _SIGN_WORDS = tuple(_DOT.split("|")), frozenset([*_DOT.split("|"), "plus", "double", "triple"])
 _PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?P<end>[A-Za-z]{2,})(?![\w.-]*\w)")
 _KNOWN_END = re.compile(_TLD, re.I)
@@ -219,6 +220,8 @@ def hints(text: str) -> bool:
     low = text.lower()
     if any(c in low for c in "([{<") and _BRACKETED.search(low):
         return True
+    if any(w in low for w in ("plus", "dash", "hyphen")) and _SPOKEN.search(low):
+        return True
     if any(w in low for w in (*_DOT_WORDS, " @", " .")) and _SPACED.search(low):
         return True
     if re.search(r"\.[a-z]", low) and _BARE.search(low):
