@@ -71,11 +71,11 @@ class Node:
 _HARD, _OWN, _SOFT = 1, 2, 3
 
 
-def _dropped(name: str, attrs: str, inside: frozenset[str]) -> int:
+def _dropped(name: str, attrs: str, in_article: bool) -> int:
     """Why an element is boilerplate by its kind, role or name, 0 if it is not. Headers count only outside an article."""
     if name in _NEVER:
         return _HARD
-    why = _SOFT if name in _SELDOM or name == "header" and not inside & _ARTICLE else 0
+    why = _SOFT if name in _SELDOM or name == "header" and not in_article else 0
     if not attrs or name in ("html", "body") or name in _ARTICLE and not re.search("comment|repl", attrs, re.I):
         return why
     for key, value in _ATTR.findall(attrs):
@@ -88,7 +88,7 @@ def _dropped(name: str, attrs: str, inside: frozenset[str]) -> int:
             value = _STATE.sub(" ", value)
             if _OTHERS.search(value):
                 why = _OWN
-            elif _NAMES.search(value) or _HEADERS.search(value) and not inside & _ARTICLE and not re.fullmatch("h[1-6]", name):
+            elif _NAMES.search(value) or _HEADERS.search(value) and not in_article and not re.fullmatch("h[1-6]", name):
                 why = why or _SOFT
     return why
 
@@ -128,18 +128,20 @@ def parsed(source: str) -> Node:
     """The element tree; unclosed and misnested elements are closed where a browser would close them."""
     root = now = Node("html", 0, None)
     open_ = ["html"]
+    places: dict[str, list[int]] = {}  # where elements of a name are open
     at = 0
 
+    def last(names: set[str] | frozenset[str] | tuple) -> int:
+        return max([places[n][-1] for n in names if places.get(n)], default=0)
+
     def close_to(names: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
+        """Close the innermost open element of these names and all in it, unless one of ``scope`` is open inside it."""
         nonlocal now
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i] in names:
-                for _ in range(len(open_) - i):
-                    now = now.parent
-                del open_[i:]
-                return
-            if open_[i] in scope:
-                return
+        i = last(names)
+        if i and i >= last(scope):
+            for _ in range(len(open_) - i):
+                places[open_.pop()].pop()
+                now = now.parent
 
     for m in iter(lambda: _TOKEN.search(source, at), None):
         if m.start() > at:
@@ -165,13 +167,14 @@ def parsed(source: str) -> Node:
         if name in _VOID:
             now.items.append(Node(name, _HARD, now) if name != "br" else " ")
             continue
-        node = Node(name, _dropped(name, m["attrs"], frozenset(open_)), now)
+        node = Node(name, _dropped(name, m["attrs"], last(_ARTICLE) > 0), now)
         now.items.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif not m["attrs"].rstrip().endswith("/") or name not in ("svg", "path"):
             now = node
+            places.setdefault(name, []).append(len(open_))
             open_.append(name)
     if at < len(source):
         now.items.append(source[at:])
