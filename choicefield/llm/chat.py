@@ -116,7 +116,7 @@ def formatted(df: DataFrame, turns: str = "turns") -> DataFrame:
 def read_back(text: Column) -> Column:
     """The turns of a formatted string."""
     pieces = F.split(text, TAIL.replace("/", "\\/"), -1)
-    head = r"(?s)^### ((?:[^\\:]|\\.)*): "
+    head = r"(?s)^### ((?:[^\\:]|\\.)*+): "  # possessive: the engine loops, where it would call itself for every sign of a role
     return F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(
         unescaped(F.regexp_extract(p, head, 1)).alias("role"), unescaped(F.regexp_replace(p, head, "")).alias("text")))
 
@@ -157,7 +157,13 @@ def format_conversations(df: DataFrame, record: str = "record") -> DataFrame:
 
 
 def digests(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read back from ``formatted`` and ``loss_mask``."""
+    """(key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read back from ``formatted`` and ``loss_mask``.
+
+    A row without a formatted string (a record of no known layout, or beyond the limits of the JSON parser: 20 million characters
+    in one string, 128 MB in all) raises an error; it has no digests."""
+    whole = F.when(F.col("formatted").isNull(), F.raise_error(F.concat(F.lit("no formatted string for "), F.coalesce(column(key).cast("string"), F.lit("null"))))
+                   .cast("string")).otherwise(F.col("formatted"))
+    df = df.withColumn("formatted", whole)
     back = df.select(column(key), "formatted", read_back(F.col("formatted")).alias("back"),
                      masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     lines = F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
