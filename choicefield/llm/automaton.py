@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, picked, text_slices
 
 STATES = 200_000
-KEPT = 200_000
+KEPT = 500_000
 LONG = 64
 #: white space of the public pre-tokenizer; str.split() also cuts at the four separators U+001C to U+001F
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
