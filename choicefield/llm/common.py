@@ -60,6 +60,16 @@ def arrow_map(df: DataFrame, rows: Callable[..., Iterable[dict]], schema: str, *
     return df.mapInArrow(run, schema)
 
 
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Python workers are used again by later stages: whoever starts to remember things there drops what others remembered."""
+    for name in [n for n in _MEMORIES if n != owner]:
+        _MEMORIES.pop(name)()
+    _MEMORIES[owner] = clear
+
+
 def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``limit`` bytes of text (a longer text is alone), to bound memory."""
     lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()

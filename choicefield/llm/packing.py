@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import Chunks
-from .common import Stored, arrow_map, picked, text_slices
+from .common import Stored, arrow_map, hold, picked, text_slices
 
 CAPACITY = 1024
 END = 2
@@ -40,6 +40,7 @@ _READY: dict[str, Chunks] = {}
 
 def _chunks(path: str) -> Chunks:
     """One tokenizer and its known pieces for each Python worker."""
+    hold("packing", _READY.clear)
     if path not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
