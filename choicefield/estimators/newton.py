@@ -154,3 +154,31 @@ def maximise(names: list[str], start: np.ndarray, evaluate: Callable[[dict[str,
         theta, point = trial, found
         trace.append((it, point.ll, float(np.abs(point.gradient).max()), step))
     return Fit(names, theta, point, converged, trace, n_obs)
+
+
+def maximise_together(models: dict[str, list[str]], evaluate: Callable[[dict[str, np.ndarray]], dict[str, Point]], max_iter: int = 50, tol: float = 1e-7) -> dict[str, Fit]:
+    """Newton searches of several models (name -> parameters) from 0, side by side: ``evaluate`` gets the trial vectors of all that
+    are not done and is called once a step. A model whose trial is worse tries half the step in the next call."""
+    theta = {name: np.zeros(len(use)) for name, use in models.items()}
+    point = evaluate(theta)
+    trace = {name: [(0, p.ll, float(np.abs(p.gradient).max(initial=0)), 0.0)] for name, p in point.items()}
+    step, converged, left = dict.fromkeys(models, 1.0), dict.fromkeys(models, False), list(models)
+    for it in range(1, max_iter + 1):
+        direction = {n: inverse(point[n].information) @ point[n].gradient for n in left}
+        for n in list(left):
+            gain = point[n].gradient @ direction[n]
+            # below the smallest step no step raises the likelihood: at the optimum up to rounding, or stuck
+            if gain < tol or step[n] < 1e-6:
+                converged[n] = bool(gain < max(tol, 1e-12 * abs(point[n].ll)))
+                left.remove(n)
+        if not left:
+            break
+        trial = {n: theta[n] + step[n] * direction[n] for n in left}
+        for n, p in evaluate(trial).items():
+            if p.finite and p.ll >= point[n].ll:
+                theta[n], point[n] = trial[n], p
+                trace[n].append((it, p.ll, float(np.abs(p.gradient).max()), step[n]))
+                step[n] = 1.0
+            else:
+                step[n] /= 2
+    return {n: Fit(list(models[n]), theta[n], point[n], converged[n], trace[n]) for n in models}

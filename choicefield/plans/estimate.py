@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..estimators import choice, linear, pipeline, simulated
-from ..operators import encode, kernels
+from ..operators import encode, kernels, shape
 from .bindings import FACTORS, ITEM_COLS, LONG, choice_rows, complete_scores, items, scaled, scores
 from .choice import eta_rows, relative
 from .describe import RICH, rich
@@ -110,10 +110,10 @@ def _(t):
 
 @query("run_model_grid")
 def _(t):
+    """Every model of the grid over two scores and two attributes."""
     s = scores(t).select("id", "sa", "sb")
-    grid = {"base": {}, "sa": {"main": {"sa": "buy"}}, "sa_p": {"main": {"sa": "buy"}, "interactions": [("sa", "p")]},
-            "sa_sb": {"main": {"sa": "buy", "sb": "buy"}}}
-    return pipeline.run_model_grid(_long(t), s, "id", ["sid"], ["p", "buy"], grid)
+    grid = shape.model_grid(t.spark.range(1), ["sa", "sb"], ["p", "d"])
+    return pipeline.run_model_grid(_long(t), s, "id", ["sid"], ["p", "d", "buy"], pipeline.grid_models(grid, {"sa": "buy", "sb": "buy"}))
 
 
 @query("fit_logit_component")
