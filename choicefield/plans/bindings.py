@@ -219,11 +219,12 @@ def sql_norm_ppf(p: str) -> str:
 
 NODES = ["sa", "sb", "sc", "sd"]
 COMPLETE = SCORES.replace("segment, nation, (q1", "segment, nation, balance / 10000 as sd, (q1") + """,
-  complete as (select * from scores where sc is not null)"""
-PATHS = COMPLETE + ", paths as (" + " union all ".join(
-    f"""select segment as model, '{l}' as lval, '{r}' as rval, regr_slope({l}, {r}) as estimate,
-  sqrt((1 - corr({l}, {r}) * corr({l}, {r})) * var_samp({l}) / var_samp({r}) / (count(*) - 2)) as std_err
-  from complete group by segment""" for r, l in permutations(NODES, 2)) + ")"
+  complete as materialized (select * from scores where sc is not null)"""
+# one pass over the scores, materialised: joined with itself, it must not be computed once for each use
+PATHS = COMPLETE + """, paths as materialized (select model, e.lval as lval, e.rval as rval, e.estimate as estimate, e.std_err as std_err from (
+  select segment as model, unnest([""" + ", ".join(
+    f"""{{'lval': '{l}', 'rval': '{r}', 'estimate': regr_slope({l}, {r}),
+  'std_err': sqrt((1 - corr({l}, {r}) * corr({l}, {r})) * var_samp({l}) / var_samp({r}) / (count(*) - 2))}}""" for r, l in permutations(NODES, 2)) + "]) as e from complete group by segment))"
 
 
 def complete_scores(t: Tables) -> DataFrame:
