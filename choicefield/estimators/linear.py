@@ -7,37 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from ..operators import blocks
+from ..operators.leastsq import solve
 from ..operators.models import coef_table
 
 
-def _moments(df: DataFrame, y: str, xs: list[str]):
-    cols = [*xs, y]
-    row = df.dropna(subset=cols).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"m{i}_{j}")
-                                     for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]).first()
-    k = len(cols)
-    m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    return row.n, m
-
-
-def solve_ols(n: int, m: np.ndarray, names: list[str]) -> list[tuple]:
-    """Rows (parameter, estimate, std_error, sigma2, rss) from the moment matrix of [xs, y]."""
-    xx, xy, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-    inv = np.linalg.pinv(xx)
-    b = inv @ xy
-    rss = float(yy - b @ xy)
-    s2 = rss / (n - len(names))
-    return [(nm, float(v), float(np.sqrt(max(s2 * inv[i, i], 0.0))), s2, rss) for i, (nm, v) in enumerate(zip(names, b))]
-
-
 def ols(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> DataFrame:
-    """(parameter, estimate, std_error, z, p_value, ci, stars, sigma2, r2, n)."""
-    data = df.withColumn("const", F.lit(1.0))
+    """(parameter, estimate, std_error, z, p_value, ci, stars, sigma2, r2, n); many columns are summed as Gram blocks."""
     names = (["const"] if intercept else []) + list(xs)
-    n, m = _moments(data, y, names)
-    mean = df.dropna(subset=[y, *xs]).agg(F.var_pop(y).alias("v")).first().v
-    rows = [(*r, 1 - r[4] / (n * mean) if mean else None, n) for r in solve_ols(n, m, names)]
-    out = df.sparkSession.createDataFrame(rows, "parameter string, estimate double, std_error double, sigma2 double, rss double, r2 double, n bigint")
-    return coef_table(out.drop("rss"), "estimate", "std_error")
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*xs, y])]).dropna().withColumns({"const": F.lit(1.0), "__n": F.lit(1.0)})
+    m = blocks.gram(data, [*names, y, "__n"])
+    k, n = len(names), int(round(m[-1, -1]))
+    b, cov, s2, rss, _ = solve(m[:k, :k], m[:k, k], m[k, k], n)
+    tss = m[k, k] - m[k, -1] ** 2 / n if n else 0.0
+    rows = [(nm, float(v), float(np.sqrt(max(cov[i, i], 0.0))), float(s2), float(1 - rss / tss) if tss > 0 else None, n) for i, (nm, v) in enumerate(zip(names, b))]
+    out = df.sparkSession.createDataFrame(rows, "parameter string, estimate double, std_error double, sigma2 double, r2 double, n bigint")
+    return coef_table(out, "estimate", "std_error")
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +68,38 @@ def convergence_status(trace: DataFrame, keys: list[str], status: str, ftol: str
         count_if(F.col(ftol) <= limit).alias("n_ftol"), F.count(ftol).alias("n_with_ftol"), count_if(F.col(gtol) <= limit).alias("n_gtol"))
 
 
+def _late_gains(tol: float):
+    """Rows (run, seg, step, v, base), sorted, v rising within (run, seg) -> the (run, step) where v exceeds the best value by more
+    than ``tol``, which then moves there. Only the best value of the open stretch is carried from batch to batch."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, best = None, 0.0
+        for batch in batches:
+            seg, v, base, runs = (batch.column(c) for c in ("seg", "v", "base", "run"))
+            seg, v, base = seg.to_numpy(), v.to_numpy(), base.to_numpy()
+            other = (pc.fill_null(pc.not_equal(runs[1:], runs[:-1]), True).to_numpy(zero_copy_only=False) if len(v) > 1 else np.empty(0, bool)) | (np.diff(seg) != 0)
+            starts = [0, *(np.flatnonzero(other) + 1).tolist(), len(v)]
+            hits = []
+            for a, b in zip(starts, starts[1:]):
+                if b == a:
+                    continue
+                if here != (runs[a].as_py(), seg[a]):
+                    here, best = (runs[a].as_py(), seg[a]), base[a]
+                i = a + int(np.searchsorted(v[a:b], best + tol, "right"))
+                while i < b:
+                    hits.append(i)
+                    best = v[i]
+                    i = a + int(np.searchsorted(v[a:b], best + tol, "right"))
+            at = pa.array(hits, pa.int64())
+            yield pa.RecordBatch.from_arrays([runs.take(at), batch.column("step").cast(pa.int64()).take(at)], ["run", "step"])
+    return fold
+
+
 def early_stop_point(trace: DataFrame, run: str, order: list[str], ll: str, patience: int = 5, tol: float = 1e-6) -> DataFrame:
     """Per run the evaluation at which ``patience`` evaluations in a row brought no gain above ``tol``, or NULLs.
 
     The rule's best value moves only on a gain above ``tol``. A row above the running maximum by more than
     ``tol`` is a gain for sure and sets the best value. Rows that raise the maximum by less can add up to a
-    gain; only those few are folded in order, within the stretch that follows a sure gain.
+    gain; only those are folded in order, streaming, within the stretch that follows a sure gain.
     """
     split = has_hot_group(trace, [run])
     step = stored(ordered_scan(trace, [run], order, number="step", max_before={"__prev": ll}, split=split), "steps")
@@ -77,16 +108,11 @@ def early_stop_point(trace: DataFrame, run: str, order: list[str], ll: str, pati
                                run_max={"__seg": "__sure"}, split=split), "gains")
 
     base = rows.filter(F.col("__sure").isNotNull()).select(run, "__seg", F.col(ll).alias("__base"))
-    creeping = (rows.filter(F.col("__sure").isNull() & (F.col(ll) > F.col("__prev")))
-                .groupBy(run, "__seg").agg(F.array_sort(F.collect_list(F.struct("step", F.col(ll).alias("v")))).alias("c"))
-                .join(base, [run, "__seg"]))
-    start = F.struct(F.col("__base").alias("best"), F.array().cast("array<bigint>").alias("hits"))
-
-    def fold(acc, x):
-        hit = x["v"] > acc["best"] + tol
-        return F.struct(F.when(hit, x["v"]).otherwise(acc["best"]).alias("best"),
-                        F.when(hit, F.concat(acc["hits"], F.array(x["step"]))).otherwise(acc["hits"]).alias("hits"))
-    late = creeping.select(run, F.explode(F.aggregate("c", start, fold)["hits"]).alias("step")).withColumn("__late", F.lit(True))
+    creeping = (rows.filter(F.col("__sure").isNull() & (F.col(ll) > F.col("__prev"))).join(base, [run, "__seg"])
+                .select(F.col(run).alias("run"), F.col("__seg").alias("seg"), "step", F.col(ll).cast("double").alias("v"), F.col("__base").cast("double").alias("base"))
+                .repartition("run", "seg").sortWithinPartitions("run", "seg", "step"))
+    late = (creeping.mapInArrow(_late_gains(tol), f"run {rows.schema[run].dataType.simpleString()}, step bigint")
+            .select(F.col("run").alias(run), "step", F.lit(True).alias("__late")))
     marked = (rows.join(late, [run, "step"], "left")
               .withColumn("__gain", F.when(F.col("__sure").isNotNull() | F.col("__late").isNotNull(), F.col("step")))
               .withColumn("__gain_ll", F.when(F.col("__gain").isNotNull(), F.col(ll))))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.groups import has_hot_group, numbered, with_group_values
 from ..functions.normal import norm_cdf, norm_pdf, with_normals
 from ..functions.scalars import PROB_FLOOR, add, clip, clip_prob, hash_unit
+from ..functions.vector import digit_maps, digits_for
 from .blocks import gram_table
 
 FEW = 8  # parameters up to which products are single generated sums
@@ -125,10 +126,16 @@ def hessian_agg(rel: DataFrame, keys: list[str], beta: dict[str, float]) -> Data
 
 # ---- draws -----------------------------------------------------------------------------------------------
 
-def radical_inverse(index: Column, base: int, max_index: int = 2 ** 62) -> Column:
-    """Digits of ``index`` in ``base`` mirrored behind the point, as plain integer arithmetic, for every non-negative bigint."""
-    digits = int(math.log(max_index) / math.log(base)) + 1
-    return add([(F.call_function("div", index, F.lit(base ** j)) % base) / F.lit(float(base ** (j + 1))) for j in range(digits)])
+def radical_inverse(index: Column, base: int, largest: int = 2 ** 62, seed: int | None = None) -> Column:
+    """Digits of ``index`` (0 to ``largest``) in ``base`` mirrored behind the point, as plain integer arithmetic.
+
+    With a seed each digit d at place j becomes (a_j d + c_j) mod base, a permutation, and the point lies in the middle of its cell.
+    """
+    maps = digit_maps(base, digits_for(largest, base), seed)
+    digit = lambda j: F.call_function("div", index, F.lit(base ** j)) % base
+    if seed is None:
+        return add([digit(j) / F.lit(float(base ** (j + 1))) for j in range(len(maps))])
+    return add([((digit(j) * a + c) % base) / F.lit(float(base ** (j + 1))) for j, (a, c) in enumerate(maps)]) + F.lit(0.5 * float(base) ** -len(maps))
 
 
 def index_individuals(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -137,14 +144,19 @@ def index_individuals(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     return numbered(ids, [], [key], "__n", split=has_hot_group(df, [])).select(key, (F.col("__n") - 1).alias(name))
 
 
-def halton_draws(ids: DataFrame, key: str, n_draws: int, dims: int, index: str = "idx", shift_seed: int | None = None) -> DataFrame:
+def halton_draws(ids: DataFrame, key: str, n_draws: int, dims: int, index: str = "idx", shift_seed: int | None = None,
+                 scramble: int | None = None, largest: int | None = None) -> DataFrame:
     """(key, r, z1..zD): point idx * R + r + 1 of the Halton sequence, as normals. Rows are generated where the
-    individual is; there is no draw tensor. ``shift_seed`` adds one random shift per dimension (mod 1)."""
+    individual is; there is no draw tensor. ``scramble`` seeds a permutation of the digits at every place; ``shift_seed`` adds one
+    random shift per dimension (mod 1). ``largest`` bounds the points, so that no digit is computed in vain; None asks the ids,
+    and scrambled points depend on it, as leading zeros are permuted too."""
+    if largest is None:
+        largest = ((ids.agg(F.max(index)).first()[0] or 0) + 1) * n_draws
     rows = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     rows = rows.withColumn("__i", F.col(index) * n_draws + F.col("r") + 1)
     uniforms = {}
     for d, base in enumerate(primes(dims)):
-        u = radical_inverse(F.col("__i"), base)
+        u = radical_inverse(F.col("__i"), base, largest, scramble)
         if shift_seed is not None:
             u = F.pmod(u + hash_unit(F.lit(shift_seed), F.lit(d)), F.lit(1.0))
         uniforms[f"z{d + 1}"] = clip(u, 1e-12, 1 - 1e-12)

@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 from itertools import permutations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import exact_quantiles
+from ..functions.groups import exact_quantiles, with_group_values
 from ..functions.normal import two_sided_p
 from ..functions.scalars import safe_div
 from .encode import _attach
+from .leastsq import moments, solve, solved
 
 
 def _edge(paths: DataFrame, keys: list[str], frm: str, to: str, est: str, se: str | None = None) -> DataFrame:
@@ -74,45 +73,32 @@ def mediation_sweep(paths: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- moderation ------------------------------------------------------------------------------------------
 
-def _xm_moments(df: DataFrame, x: str, m: str, y: str, keys: list[str] = ()) -> DataFrame:
-    """One row per group: the sums of products of (1, x, m, xm, y) and the moderator's moments."""
-    full = df.dropna(subset=[x, m, y])
-    v = {"c": F.lit(1.0), "x": F.col(x).cast("double"), "m": F.col(m).cast("double"), "xm": F.col(x).cast("double") * F.col(m), "y": F.col(y).cast("double")}
-    names = list(v)
-    return full.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(m).alias("m_mean"), F.stddev_samp(m).alias("m_sd"),
-                                   *[F.sum(v[a] * v[b]).alias(f"{a}__{b}") for i, a in enumerate(names) for b in names[i:]])
-
-
-_TERMS = ["c", "x", "m", "xm"]
 FIT_SCHEMA = "term string, estimate double, std_err double, cov_x_xm double, sigma2 double, r2 double, n bigint, m_mean double, m_sd double"
 
 
-def _solve(row) -> list[tuple]:
-    """Least squares of y on (1, x, m, xm) from one row of moments: a 4 x 4 solve."""
-    full = [*_TERMS, "y"]
-    get = lambda a, b: row[f"{a}__{b}"] if full.index(a) <= full.index(b) else row[f"{b}__{a}"]
-    xx = np.array([[get(a, b) for b in _TERMS] for a in _TERMS])
-    xy = np.array([get(a, "y") for a in _TERMS])
-    n, yy, sy = row["n"], row["y__y"], row["c__y"]
-    inv = np.linalg.pinv(xx)
-    b = inv @ xy
-    rss = max(yy - b @ xy, 0.0)
-    s2 = rss / (n - 4) if n > 4 else float("nan")
-    tss = yy - sy * sy / n
-    return [(t, float(b[i]), float(math.sqrt(max(s2 * inv[i, i], 0))), float(s2 * inv[1, 3]), float(s2), float(1 - rss / tss) if tss > 0 else None,
-             int(n), float(row["m_mean"]), float(row["m_sd"])) for i, t in enumerate(_TERMS)]
-
-
-def moderation_fit(df: DataFrame, x: str, m: str, y: str, keys: list[str] = ()) -> DataFrame:
-    """y ~ 1 + x + m + x*m: term, estimate, std_err, z, p; one 4 x 4 solve per group of moments."""
-    keys = list(keys)
-    mom = _xm_moments(df, x, m, y, keys)
-    kinds = "".join(f"{k} {mom.schema[k].dataType.simpleString()}, " for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*[r[k] for k in keys], *s) for _, r in pdf.iterrows() for s in _solve(r)]
-        return pd.DataFrame(rows, columns=[*keys, *[c.strip().split()[0] for c in FIT_SCHEMA.split(",")]])
-    fit = mom.groupBy(*keys).applyInPandas(run, kinds + FIT_SCHEMA)
+def moderation_fit(df: DataFrame, x: str, m: str, y: str, keys: list[str] = (), controls: list[str] = (), centre: bool = False) -> DataFrame:
+    """y ~ 1 + x + m + x*m + controls per group: term (c, x, m, xm, <control>), estimate, std_err, z, p; one solve per group of moments.
+
+    ``centre`` takes the means of x and m (over the group's complete rows) off before their product is formed: the slopes are then
+    those at the mean. Terms that depend on others share their effect (``leastsq.solve``).
+    """
+    keys, controls = list(keys), list(controls)
+    full = df.dropna(subset=[x, m, y, *controls])
+    vx, vm = F.col(x).cast("double"), F.col(m).cast("double")
+    if centre:
+        full = with_group_values(full, keys, {"__mx": F.avg(x), "__mm": F.avg(m)}) if keys else _attach(full, full.agg(F.avg(x).alias("mx"), F.avg(m).alias("mm")))
+        vx, vm = (vx - F.col("__mx"), vm - F.col("__mm")) if keys else (vx - F.col("__s.mx"), vm - F.col("__s.mm"))
+    terms = {"c": F.lit(1.0), "x": vx, "m": vm, "xm": vx * vm} | {c: F.col(c) for c in controls}
+    names, k = list(terms), len(terms)
+
+    def rows(group, mm) -> list[tuple]:
+        n = int(group["n"])
+        b, cov, s2, rss, _ = solve(mm[:k, :k], mm[:k, k], mm[k, k], n)
+        tss = mm[k, k] - mm[0, k] ** 2 / n
+        return [(t, float(b[i]), float(math.sqrt(max(cov[i, i], 0.0))) if s2 == s2 else float("nan"), float(cov[1, 3]), s2, 1 - rss / tss if tss > 0 else None, n,
+                 float(group["m_mean"]), float("nan") if group["m_sd"] is None else float(group["m_sd"])) for i, t in enumerate(names)]
+    groups = moments(full, terms, F.col(y), keys, [F.avg(vm).alias("m_mean"), F.stddev_samp(vm).alias("m_sd")])
+    fit = solved(groups, keys, k, rows, FIT_SCHEMA)
     return fit.withColumn("z", safe_div(F.col("estimate"), F.col("std_err"))).withColumn("p_value", two_sided_p(F.col("z")))
 
 
@@ -149,12 +135,13 @@ def _slopes(df: DataFrame, keep) -> DataFrame:
     return out.withColumn("z", safe_div(F.col("slope"), F.col("se"))).withColumn("p_value", two_sided_p(F.col("z")))
 
 
-def moderation_sweep(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every (x, m, y): interaction estimate, p and n. All triples' moments come from one pass: x < m only, since
-    the product is the same both ways round."""
+def moderation_sweep(df: DataFrame, columns: list[str], controls: list[str] = ()) -> DataFrame:
+    """Every (x, m, y): interaction estimate, p and n, given the ``controls``. All triples' moments come from one pass: x < m only,
+    since the product is the same both ways round."""
     triples = [(x, m, y) for x, m, y in permutations(columns, 3) if x < m]
     rows = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(m).alias("m"), F.lit(y).alias("y"), F.col(x).cast("double").alias("vx"),
-                              F.col(m).cast("double").alias("vm"), F.col(y).cast("double").alias("vy")) for x, m, y in triples])
+                              F.col(m).cast("double").alias("vm"), F.col(y).cast("double").alias("vy"),
+                              *[F.col(c).cast("double").alias(f"w_{c}") for c in controls]) for x, m, y in triples])
     long = df.select(F.explode(rows).alias("t")).select("t.*")
-    fit = moderation_fit(long, "vx", "vm", "vy", ["x", "m", "y"]).filter("term = 'xm'").select("x", "m", "y", "estimate", "std_err", "p_value", "r2", "n")
+    fit = moderation_fit(long, "vx", "vm", "vy", ["x", "m", "y"], [f"w_{c}" for c in controls]).filter("term = 'xm'").select("x", "m", "y", "estimate", "std_err", "p_value", "r2", "n")
     return fit.unionByName(fit.select(F.col("m").alias("x"), F.col("x").alias("m"), *fit.columns[2:]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import encode, kernels, measurement, models, utility
 from ..operators.stats import describe_columns
 from ..functions.normal import norm_cdf, norm_pdf, norm_ppf
+from ..functions.vector import digit_maps, digits_for
 from .bindings import (COMPLETE, ITEMS, LONG, OPT, SCALED, SCORES, choice_long, choice_rows, complete_scores, items, scaled, scores, sets_are_hot,
                        sql_norm_cdf, sql_norm_pdf, sql_norm_ppf, with_opt_out)
 from .describe import RICH, rich
@@ -382,6 +383,20 @@ def _(t):
     return draws(t)
 
 
+SCRAMBLE, POINTS = 7, 2 ** 20 - 1
+
+
+def _scrambled_sql(i, base):
+    maps = digit_maps(base, digits_for(POINTS, base), SCRAMBLE)
+    return " + ".join(f"((({i} // {base ** j}) % {base} * {a} + {c}) % {base}) / {float(base ** (j + 1))!r}::DOUBLE" for j, (a, c) in enumerate(maps)) + f" + {0.5 * float(base) ** -len(maps)!r}::DOUBLE"
+
+
+@query("halton_scrambled", doubles="z1 z2", sql=f"with {DRAWS.split('uni as')[0]} uni as (select id, r, {_scrambled_sql('i', 2)} as u1, {_scrambled_sql('i', 3)} as u2 from pts) select id, r, {sql_norm_ppf('u1')} as z1, {sql_norm_ppf('u2')} as z2 from uni")
+def _(t):
+    who = t.lineitem.select("l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("id"))
+    return kernels.halton_draws(kernels.index_individuals(who, "id"), "id", R, 2, scramble=SCRAMBLE, largest=POINTS)
+
+
 @query("random_draws", doubles="z1:7 z2:7", sql=f"""with u as (select c_custkey as id, cast(r.range as integer) as r, {sql_uniform('c_custkey', 'r.range', "'0'", "'7'")} as u, {sql_uniform('c_custkey', 'r.range', "'1'", "'7'")} as v
     from customer, range({R}) r) select id, r, {sql_norm_ppf('u')} as z1, {sql_norm_ppf('v')} as z2 from u""")
 def _(t):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..estimators import latent
 from ..functions.normal import two_sided_p
-from ..operators import kernels, paths as pt, resample, stats
+from ..operators import kernels, mediation, paths as pt, resample, stats
 from ..operators.shape import compare_estimates
 from .bindings import (COMPLETE, FACTORS, ITEM_COLS, ITEMS, LOADINGS, NODES, PATHS, REPLICATES, SCORES, choice_rows, complete_scores,
                        items, nodes, paths, replicates, scaled, scores, sets_are_hot, sql_norm_cdf, sql_norm_ppf)
@@ -87,6 +87,13 @@ def _(t):
     return _fit(t).filter("term <> 'c'").select("term", "estimate", "n")
 
 
+@query("moderation_controls")
+def _(t):
+    """With two control variables and centred predictors."""
+    whole = complete_scores(t).withColumn("nation", F.col("nation").cast("double"))
+    return pt.moderation_fit(whole, "sa", "sb", "sc", controls=["sd", "nation"], centre=True)
+
+
 @query("moderation_by_segment")
 def _(t):
     return pt.moderation_fit(complete_scores(t), "sa", "sb", "sc", ["segment"])
@@ -130,6 +137,36 @@ def weights(t):
     return resample.bootstrap_individuals(t.customer.select(F.col("c_custkey").alias("id")), "id", B, 11)
 
 
+_NODE_CTE = "long as (" + " union all ".join(f"select id, {i} as i, {n}::DOUBLE as v from complete" for i, n in enumerate(NODES)) + ")"
+_TRIPLES = f"""{COMPLETE.replace('items.id, segment', 'items.id as id, segment')}, {_NODE_CTE}, dense as (select id, row_number() over (order by id) - 1 as idx from complete), nn as (select count(*) as n from dense),
+  picks as (select b, cast(floor({_U} * n) as bigint) as idx from (select cast(r.range as integer) as b, idx as slot from dense, range(1, {B + 1}) r), nn),
+  w as (select b as replicate, id, count(*)::DOUBLE as w from picks join dense on picks.idx = dense.idx group by b, id union all select 0, id, 1::DOUBLE from dense),
+  one as (select replicate, i, sum(w * v) / sum(w) as mu from w join long on w.id = long.id group by all),
+  two as (select replicate, a.i as i, b.i as j, sum(w * a.v * b.v) / sum(w) as s from w join long a on w.id = a.id join long b on w.id = b.id group by all),
+  cov as (select two.replicate, two.i, two.j, s - p.mu * q.mu as c from two join one p on p.replicate = two.replicate and p.i = two.i join one q on q.replicate = two.replicate and q.i = two.j),
+  eff as (select xm.replicate, xm.i as x, xm.j as m, xy.j as y, (xm.c / xx.c) * (xx.c * my.c - xm.c * xy.c) / (xx.c * mm.c - xm.c * xm.c) as indirect
+    from cov xm join cov xy on xy.replicate = xm.replicate and xy.i = xm.i join cov my on my.replicate = xm.replicate and my.i = xm.j and my.j = xy.j
+      join cov xx on xx.replicate = xm.replicate and xx.i = xm.i and xx.j = xm.i join cov mm on mm.replicate = xm.replicate and mm.i = xm.j and mm.j = xm.j
+    where xm.i <> xm.j and xy.j <> xm.i and xy.j <> xm.j),
+  med as materialized (select ({NODES})[x + 1] as x, ({NODES})[m + 1] as m, ({NODES})[y + 1] as y, max(indirect) filter (where replicate = 0) as estimate,
+    avg(indirect) filter (where replicate > 0) as mean, stddev_samp(indirect) filter (where replicate > 0) as sd,
+    quantile_cont(indirect, 0.025) filter (where replicate > 0) as ci_low, quantile_cont(indirect, 0.975) filter (where replicate > 0) as ci_high from eff group by all)"""
+
+
+def _mediated(t):
+    return mediation.mediation_bootstrap(complete_scores(t).select("id", *NODES), "id", NODES, B, 11)
+
+
+@query("mediation_bootstrap", doubles="estimate:7 mean:7 sd:7 ci_low:7 ci_high:7", sql=f"with {_TRIPLES} select *, ci_low > 0 or ci_high < 0 as significant, 0::BIGINT as n_failed from med")
+def _(t):
+    return _mediated(t)
+
+
+@query("mediation_rate", doubles="rate", sql=f"with {_TRIPLES} select count(*) as n_tested, count(*) filter (where ci_low > 0 or ci_high < 0) as n_significant, avg(case when ci_low > 0 or ci_high < 0 then 1::DOUBLE else 0 end) as rate from med")
+def _(t):
+    return mediation.mediation_rate(_mediated(t))
+
+
 @query("bootstrap_individuals", sql=f"with {WEIGHTS} select replicate, id, w from weights")
 def _(t):
     return weights(t)
