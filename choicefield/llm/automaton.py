@@ -24,7 +24,7 @@ from itertools import takewhile
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, picked, text_slices
+from .common import arrow_map, hold, picked, text_slices
 
 STATES = 200_000
 KEPT = 500_000
@@ -244,6 +244,7 @@ _READY: dict[str, Words] = {}
 
 def ready(path: str) -> Words:
     """One automaton for each Python worker and file."""
+    hold(__name__, _READY.clear)
     if path not in _READY:
         _READY[path] = Words(path)
     return _READY[path]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import Chunks
-from .common import arrow_map, picked, text_slices
+from .common import arrow_map, hold, picked, text_slices
 
 LEAF = 12
 LONG = 64
@@ -116,6 +116,7 @@ _READY: dict[tuple, tuple[Bpe, Chunks]] = {}
 
 def ready(path: str, pattern: str) -> tuple[Bpe, Chunks]:
     """One encoder for each Python worker; equal pieces of texts are encoded once while they are remembered."""
+    hold(__name__, _READY.clear)
     if (path, pattern) not in _READY:
         bpe = Bpe(ranks_of(path), pattern)
         sizes = np.zeros(max(bpe.bytes) + 1, np.int64)

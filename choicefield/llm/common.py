@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -53,6 +55,7 @@ def arrow_map(df: DataFrame, rows: Callable[..., Iterable[dict]], schema: str, *
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(rows.__module__)
         for batch in batches:
             for out in rows(batch, *args):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -63,11 +66,20 @@ def arrow_map(df: DataFrame, rows: Callable[..., Iterable[dict]], schema: str, *
 _MEMORIES: dict[str, Callable[[], None]] = {}
 
 
-def hold(owner: str, clear: Callable[[], None] = lambda: None) -> None:
-    """Python workers are used again by later stages: whoever starts to remember things there drops what others remembered."""
-    for name in [n for n in _MEMORIES if n != owner]:
+def hold(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Python workers are used again by later stages: an operator that starts there drops what others remembered, and gives the
+    memory back."""
+    others = [n for n in _MEMORIES if n != owner]
+    for name in others:
         _MEMORIES.pop(name)()
-    _MEMORIES[owner] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    if clear:
+        _MEMORIES[owner] = clear
 
 
 def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ _READY: dict[str, Chunks] = {}
 
 def _chunks(path: str) -> Chunks:
     """One tokenizer and its known pieces for each Python worker."""
-    hold("packing", _READY.clear)
+    hold(__name__, _READY.clear)
     if path not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
