@@ -29,6 +29,22 @@ def component_utility(coefs: dict[str, float], products: dict[tuple[str, ...], f
     return out
 
 
+def product(term: str) -> Column:
+    """A column, or the product of the columns of "a*b"."""
+    out = F.lit(1.0)
+    for c in term.split("*"):
+        out = out * F.col(c.strip())
+    return out
+
+
+def loading_score(loadings: dict[str, float]) -> Column:
+    """sum(loading * item) / sum(loading^2) over the answered items; NULL without an answer."""
+    seen = {i: F.col(i).isNotNull() for i in loadings}
+    num = add([F.when(seen[i], F.lit(float(v)) * F.col(i)).otherwise(0.0) for i, v in loadings.items()])
+    den = add([F.when(seen[i], F.lit(float(v) * float(v))).otherwise(0.0) for i, v in loadings.items()])
+    return num / F.when(den > 0, den)
+
+
 def factor_utility(score: str, direct: float, interactions: dict[str, float], weight: float = 1.0) -> Column:
     """weight * (direct * score + sum of b * score * attribute); a missing score gives 0."""
     body = F.lit(float(direct)) * F.col(score)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import encode, kernels, measurement, models, utility
-from ..operators.stats import describe_columns
+from ..operators import encode, factor_terms, kernels, measurement, models, stats, utility
+from ..operators.stats import describe_columns, inline
 from ..functions.normal import norm_cdf, norm_pdf, norm_ppf
 from ..functions.vector import digit_maps, digits_for
-from .bindings import (COMPLETE, ITEMS, LONG, OPT, SCALED, SCORES, choice_long, choice_rows, complete_scores, items, scaled, scores, sets_are_hot,
+from .bindings import (COMPLETE, FACTORS, ITEMS, LOADINGS, LONG, OPT, SCALED, SCORES, choice_long, choice_rows, complete_scores, items, scaled, scores, sets_are_hot,
                        sql_norm_cdf, sql_norm_pdf, sql_norm_ppf, with_opt_out)
 from .describe import RICH, rich
 from .registry import query
@@ -52,6 +52,23 @@ def _(t):
     return df.groupBy("sid").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
 
 
+@query("factor_integration", doubles="A:6 B:6 factor_utility:6", sql=f"""with {LOADINGS}, {SCALED}, coef as (select corr(p, chosen) as cp, corr(d, chosen) as cd, avg(chosen) as share from scaled),
+  lam as (select max(loading) filter (where item = 'q1') as l1, max(loading) filter (where item = 'q2') as l2, max(loading) filter (where item = 'q3') as l3, max(loading) filter (where item = 'q4') as l4,
+    max(loading) filter (where item = 'q5') as l5, max(loading) filter (where item = 'q6') as l6, max(loading) filter (where item = 'q7') as l7 from loadings),
+  who as (select id, (l1 * q1 + l2 * q2 + l3 * q3 + l4 * q4) / (l1 * l1 + l2 * l2 + l3 * l3 + l4 * l4) as A, (l5 * q5 + l6 * q6 + l7 * q7) / (l5 * l5 + l6 * l6 + l7 * l7) as B from items, lam)
+  select sid, count(*) as n, sum(A) as A, sum(B) as B, sum(0.5::DOUBLE * (share * A + cp * A * p) + share * B + cp * B * p + cd * B * d) as factor_utility from scaled join who on scaled.id = who.id, coef group by sid""")
+def _(t):
+    """Loadings and coefficients come from tables, not from the program."""
+    long = scaled(choice_rows(t))
+    coef = long.agg(F.corr("p", F.col("chosen").cast("double")).alias("p"), F.corr("d", F.col("chosen").cast("double")).alias("d"), F.avg("chosen").alias("share"))
+    row = lambda f, role, name, v: {"factor": F.lit(f), "role": F.lit(role), "name": F.lit(name), "value": v}
+    terms = inline(coef, [], [row("A", "direct", "", F.col("share")), row("B", "direct", "", F.col("share")), row("A", "interaction", "p", F.col("p")),
+                              row("B", "interaction", "p", F.col("p")), row("B", "interaction", "d", F.col("d")), row("A", "weight", "", F.lit(0.5))])
+    spec = terms.unionByName(stats.item_total_loadings(items(t), FACTORS).select("factor", F.lit("item").alias("role"), F.col("item").alias("name"), F.col("loading").alias("value")))
+    rows = factor_terms.integrate_factors(long, items(t), "id", spec)
+    return rows.groupBy("sid").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("A", "B", "factor_utility")])
+
+
 @query("total_utility", doubles="additive:10 multiplicative:10", sql=f"""with {RICH} select sid, sum(2 * u_sugar + u_label + u_price) as additive, sum((1 + 2 * u_sugar) * (1 + u_label) * (1 + u_price) - 1) as multiplicative from rich group by sid""")
 def _(t):
     parts, w = ["u_sugar", "u_label", "u_price"], {"u_sugar": 2.0}
