@@ -52,14 +52,47 @@ def _(t):
                               {"p_brand": "string", "p_type": "string", "p_retailprice": "double"}, "parquet")
 
 
-@query("read_item_metadata", sql="""
+@query("explode_json_map", sql="""
   select event_id, k as key, cast(json_extract(props, '$.' || k) as integer) as value
   from (select event_id, props, unnest(json_keys(props)) as k from events)""")
 def _(t):
     return tables.explode_json_map(t.events, ["event_id"], "props")
 
 
-@query("read_result_runs", doubles="total:2", sql="""
+@query("read_item_metadata", sql="""with i as (select distinct p_brand as factor, p_type || ' ' || p_size as item, p_size from part)
+  select factor, item, cast(row_number() over (partition by factor order by item) - 1 as integer) as position, p_size % 3 = 0 as is_reversed, 1 as scale_min, 5 as scale_max from i""")
+def _(t):
+    """A metadata file is written from the parts and read back."""
+    items = t.part.select(F.col("p_brand").alias("factor"), F.concat_ws(" ", "p_type", "p_size").alias("item"), "p_size").distinct()
+    per = items.groupBy("factor").agg(F.struct(F.sort_array(F.collect_list("item")).alias("items"),
+                                               F.sort_array(F.collect_list(F.when(F.col("p_size") % 3 == 0, F.col("item")))).alias("reverse_items")).alias("m"))
+    meta = per.agg(F.map_from_entries(F.collect_list(F.struct("factor", "m"))).alias("reverse_items"))
+    text = meta.select(F.to_json(F.struct("reverse_items", F.struct(F.lit(1).alias("min"), F.lit(5).alias("max")).alias("scale_range"))).alias("value"))
+    return tables.read_item_metadata(t.spark, written(text, "metadata"))
+
+
+def written(text, name: str) -> str:
+    """A text column as files in the shared folder."""
+    path = fresh_path(text.sparkSession, name)
+    text.write.text(path)
+    return path
+
+
+@query("read_result_runs", doubles="estimate:7 std_error:7", sql=f"""with {RUNS}
+  select run, parameter, estimate, case when run < 'Brand#3' then std_error end as std_error, run < 'Brand#3' as wide from runs""")
+def _(t):
+    """Result files with two different headers, one without standard errors, are written and read back together."""
+    rows = runs(t).select(F.col("run").alias("model"), "parameter", "estimate", "std_error")
+    paths = []
+    for name, part in (("wide", rows.filter("model < 'Brand#3'")), ("narrow", rows.filter("model >= 'Brand#3'").drop("std_error"))):
+        paths.append(fresh_path(t.spark, name))
+        part.repartition("parameter").write.option("header", True).csv(paths[-1])
+    df = run_source.read_result_runs(t.spark, paths)
+    return df.select(F.col("model").alias("run"), "parameter", F.col("estimate").cast("double"), F.col("std_error").cast("double"),
+                     F.col("std_error").isNotNull().alias("wide"))
+
+
+@query("read_result_tables", doubles="total:2", sql="""
   select 'supplier.parquet' as run_file, 'supplier' as run, cast(count(*) as bigint) as n, sum(s_acctbal) as total from supplier""")
 def _(t):
     df = run_source.read_result_runs(t.spark, t.file("supplier"), "parquet")
@@ -164,26 +197,25 @@ def event_logs(t):
 
 
 @query("read_estimation_log", doubles="ll:4 ftol:6 gtol:6", sql=f"""
-  select event_id as run, event_id as iteration, -value as ll, user_id as line_search_calls, {_STATUS} as status,
+  select event_id as iteration, -value as ll, user_id as line_search_calls, {_STATUS} as status,
     event_id * 2 as func_calls, event_id + 1 as grad_calls,
     case when event_type <> 'view' then 0.001::DOUBLE end as ftol, value / 1024 as gtol
   from events, (values (1), (2)) as twice(k)""")
 def _(t):
-    blocks = logs.blocks_of(event_logs(t), "text", logs.ITERATION_MARK, ["run"])
-    return logs.iteration_rows(blocks, ["run"])
+    """Log files are written, one block after the other, and read by their marks."""
+    return logs.read_estimation_log(t.spark, written(event_logs(t).select("text"), "logs")).drop("run")
 
 
 @query("read_param_trace", doubles="value:3 gradient:6", sql="""
-  select event_id as run, cast(0 as bigint) as param_index, 'beta_' || event_type as parameter, round(value, 1) as value, 0.5::DOUBLE as gradient from events
-  union all select event_id, 1, 'gamma_' || event_type, -round(value, 1), -0.25::DOUBLE from events""")
+  select cast(0 as bigint) as param_index, 'beta_' || event_type as parameter, round(value, 1) as value, 0.5::DOUBLE as gradient from events
+  union all select 1, 'gamma_' || event_type, -round(value, 1), -0.25::DOUBLE from events""")
 def _(t):
     line = "  [%3d] %s : param=%.1fe+00, grad=%s\n"
     v = F.round("value", 1)
     text = F.concat(F.lit(f"head\n{logs.TRACE_MARK}\n"),
                     F.format_string(line, F.lit(0), F.concat(F.lit("beta_"), "event_type"), v, F.lit("5.0e-01")),
                     F.format_string(line, F.lit(1), F.concat(F.lit("gamma_"), "event_type"), -v, F.lit("-2.5e-01")))
-    df = t.events.select(F.col("event_id").alias("run"), text.alias("text"))
-    return logs.param_trace_rows(logs.blocks_of(df, "text", logs.TRACE_MARK, ["run"]), ["run"])
+    return logs.read_param_trace(t.spark, written(t.events.select(text.alias("text")), "traces")).drop("run", "pos")
 
 
 @query("write_results", doubles="estimate:13 std_error:13", sql=f"""with {RUNS}

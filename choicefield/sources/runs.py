@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,27 +16,38 @@ LV_NAMES = {"HC": "health_concern", "PB": "perceived_benefit", "PP": "perceived_
             "NK": "nutrition_knowledge", "PI": "purchase_intention"}
 ATTR_NAMES = {"hl": "health_label", "pr": "price"}
 STAGE1_PATHS = ["HC->PB", "HC->PP", "HC->PI", "PB->PI", "PP->PI", "NK->PI"]
+HEADERS = 1000
 RUN_NAME = r"^st2_(.+?)1_(.+)2"
 
 
 def read_result_runs(spark: SparkSession, paths: str | list[str], fmt: str = "csv") -> DataFrame:
     """Rows of every result file with ``run_file`` (file name) and ``run`` (name without endings).
 
-    CSV files may have different headers: each is read under its own, and a column that a file lacks is NULL there.
+    CSV files may have different headers: each is read under its own, and a column that a file lacks is NULL there. Values are
+    strings and hold no line breaks. Files meet their headers inside Spark; what reaches the driver are the different headers, at
+    most ``HEADERS``. A row that repeats the header is left out.
     """
     paths = [paths] if isinstance(paths, str) else paths
     name = F.col("_metadata.file_name")
     ids = [name.alias("run_file"), F.regexp_replace(name, r"(_results)?\.[a-z]+$", "").alias("run")]
     if fmt != "csv":
         return spark.read.format(fmt).load(paths).select("*", *ids)
-    # one row per file: its first line, the smallest block number of the text reader
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    heads = lines.filter("block = 0").withColumn("pos", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "pos").alias("head"))
-    by_head: dict[str, list[str]] = {}
-    for r in heads.collect():
-        by_head.setdefault(r["head"], []).append(r["path"])
-    tables = [spark.read.option("header", True).csv(files).select("*", *ids) for _, files in sorted(by_head.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else spark.read.option("header", True).csv(paths).select("*", *ids)
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", *ids)
+    # the first line of a file: the smallest position in its first block
+    first = lines.filter("file_block_start = 0").withColumn("pos", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "pos").alias("head"))
+    heads = [r["head"] for r in first.select("head").distinct().orderBy("head").limit(HEADERS + 1).collect()]
+    if len(heads) > HEADERS:
+        raise ValueError(f"more than {HEADERS} different headers")
+    rows = lines.join(first, "file_path").filter("value <> head and value <> ''")
+    tables = []
+    for head in heads:
+        names = next(csv.reader([head.removeprefix("\ufeff")]))
+        if len(set(names)) < len(names):
+            raise ValueError(f"a column stands twice in the header {head!r}")
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        own = rows.filter(F.col("head") == head).select(F.from_csv("value", schema).alias("r"), "run_file", "run")
+        tables.append(own.select("r.*", "run_file", "run"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else lines.select("run_file", "run")
 
 
 def _literal_map(d: dict[str, str]) -> Column:
