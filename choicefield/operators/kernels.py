@@ -16,6 +16,7 @@ from ..functions.groups import has_hot_group, numbered, with_group_values
 from ..functions.normal import norm_cdf, norm_pdf, with_normals
 from ..functions.scalars import PROB_FLOOR, add, clip, clip_prob, hash_unit
 from ..functions.vector import digit_maps, digits_for
+from ..session import stored
 from .blocks import gram_table
 
 FEW = 8  # parameters up to which products are single generated sums
@@ -151,6 +152,7 @@ def halton_draws(ids: DataFrame, key: str, n_draws: int, dims: int, index: str =
     random shift per dimension (mod 1). ``largest`` bounds the points, so that no digit is computed in vain; None asks the ids,
     and scrambled points depend on it, as leading zeros are permuted too."""
     if largest is None:
+        ids = stored(ids.select(key, index), "ids")  # numbered once, for the question and for the draws
         largest = ((ids.agg(F.max(index)).first()[0] or 0) + 1) * n_draws
     rows = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     rows = rows.withColumn("__i", F.col(index) * n_draws + F.col("r") + 1)
