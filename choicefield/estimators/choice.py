@@ -13,6 +13,7 @@ from ..functions import vector
 from ..functions.scalars import PROB_FLOOR
 from ..operators import blocks, kernels, measurement
 from ..operators.encode import zscore_apply, scale_stats
+from . import grid
 from .newton import Fit, Point, inverse, maximise, numeric_information, symmetric
 
 
@@ -36,14 +37,19 @@ def fit_mnl(df: DataFrame | None, set_keys: list[str], attrs: list[str], chosen:
             robust: bool = False, rel: DataFrame | None = None, start: dict[str, float] | None = None) -> Fit:
     """Conditional logit by Newton steps; one aggregate per step gives LL, gradient and exact Hessian.
 
-    ``rel`` reuses a prepared design (a superset of ``attrs`` is fine). ``robust``: sandwich over individuals.
+    ``rel`` reuses a prepared design (a superset of ``attrs`` is fine). ``robust``: sandwich over individuals. Beyond
+    ``kernels.FEW`` attributes the sums are blocks of k x k (``grid``), with the same values.
     """
     own = rel is None
     rel = prepare_mnl(df, set_keys, attrs, chosen, key) if own else rel
+    design = grid.Design(rel, set_keys, list(attrs)) if len(attrs) > kernels.FEW else None
     n_sets = 0
 
     def evaluate(theta):
         nonlocal n_sets
+        if design is not None:
+            n_sets, points = design.points(np.array([[theta[a] for a in attrs]], dtype=float))
+            return points[0]
         sets = kernels.set_scores(rel, set_keys, theta, hessian=True)
         row = sets.agg(F.count("*").alias("n"), F.sum("ll").alias("ll"), *[F.sum(f"g_{a}").alias(f"g_{a}") for a in attrs],
                        *[F.sum(-F.col(f"h_{a}_{b}")).alias(f"i_{a}_{b}") for a, b in _pairs(attrs)]).first()
@@ -58,6 +64,8 @@ def fit_mnl(df: DataFrame | None, set_keys: list[str], attrs: list[str], chosen:
         if key is None:
             raise ValueError("robust standard errors need the individual key")
         fit.robust = sandwich(fit, kernels.individual_scores(rel, key, set_keys, fit.params))
+    if design is not None:
+        design.drop()
     if own:
         rel.unpersist()
     return fit

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf, norm_pdf
 from ..functions.scalars import PROB_FLOOR, add, clip_prob
+from .leastsq import moments, solve, solved
 
 
 # ---- ordered probit --------------------------------------------------------------------------------------
@@ -139,25 +140,19 @@ def structural_gradient(df: DataFrame, equations: list[tuple[str, dict[str, floa
 
 
 def structural_ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Least squares without intercept for one or two predictors as columns: gamma, sigma^2 (ddof = p), R^2."""
-    if len(xs) > 2:
-        raise ValueError("use estimators.linear.ols for more predictors")
-    full = df.dropna(subset=[y, *xs])
-    a = xs[0]
-    s = lambda p, q: F.sum(F.col(p) * F.col(q))
-    m = full.agg(F.count(F.lit(1)).alias("n"), s(y, y).alias("yy"), s(a, a).alias("aa"), s(a, y).alias("ay"), F.var_pop(y).alias("vy"),
-                 *([s(xs[1], xs[1]).alias("bb"), s(a, xs[1]).alias("ab"), s(xs[1], y).alias("by")] if len(xs) == 2 else []))
-    c = F.col
-    if len(xs) == 1:
-        m = m.withColumn("g0", c("ay") / c("aa")).withColumn("rss", c("yy") - c("g0") * c("ay"))
-        cols = ["g0"]
-    else:
-        det = c("aa") * c("bb") - c("ab") * c("ab")
-        m = m.withColumn("g0", (c("bb") * c("ay") - c("ab") * c("by")) / det).withColumn("g1", (c("aa") * c("by") - c("ab") * c("ay")) / det)
-        m = m.withColumn("rss", c("yy") - c("g0") * c("ay") - c("g1") * c("by"))
-        cols = ["g0", "g1"]
-    return m.select("n", *[c(g).alias(f"gamma_{x}") for g, x in zip(cols, xs)], (c("rss") / (c("n") - len(xs))).alias("sigma2"),
-                    (1 - c("rss") / (c("n") * c("vy"))).alias("r2"))
+    """Least squares without intercept: n, gamma_<x> for each predictor, sigma^2 (ddof = rank), R^2 against the variance of y.
+
+    Dependent predictors share their effect (``leastsq.solve``); without a degree of freedom left sigma^2 is NULL. No complete row gives
+    no result row."""
+    groups = moments(df, {x: F.col(x) for x in xs}, F.col(y), extra=[F.var_pop("__y").alias("vy")])
+    k = len(xs)
+
+    def rows(group, m) -> list[tuple]:
+        n = int(group["n"])
+        b, _, s2, rss, _ = solve(m[:k, :k], m[:k, k], m[k, k], n)
+        return [(n, *map(float, b), s2, 1 - rss / (n * group["vy"]) if group["vy"] else None)]
+    names = ", ".join(f"gamma_{x} double" for x in xs)
+    return solved(groups, [], k, rows, f"n bigint, {names}, sigma2 double, r2 double")
 
 
 def likelihood_parts(parts: dict[str, DataFrame], key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from choicefield.estimators import linear
 from choicefield.functions import vector
-from choicefield.operators import iterations, kernels, leastsq, mediation, paths, resample
+from choicefield.operators import iterations, kernels, leastsq, measurement, mediation, paths, resample
 
 
 def sample(n=400, seed=1):
@@ -119,3 +119,16 @@ def test_many_rising_evaluations_are_folded_in_constant_memory(spark):
     assert iterations.early_stop_point(df, "run", ["i"], "ll", patience=patience, tol=1.0).first().stopped is False
     row = iterations.early_stop_point(df, "run", ["i"], "ll", patience=3, tol=1.0).first()
     assert (row.stopped, row.stop_step, row.n_evaluations) == (True, 4, n)
+
+
+def test_structural_equation_with_any_number_of_predictors(spark):
+    pdf = sample(120)
+    df = spark.createDataFrame(pdf)
+    for xs in (["x"], ["x", "m"], ["x", "m", "w1", "w2"]):
+        r = measurement.structural_ols(df, "y", xs).first()
+        b, rss, *_ = np.linalg.lstsq(pdf[xs].to_numpy(), pdf.y.to_numpy(), rcond=None)
+        assert [r[f"gamma_{x}"] for x in xs] == pytest.approx(b) and r.n == 120
+        assert (r.sigma2, r.r2) == pytest.approx((rss[0] / (120 - len(xs)), 1 - rss[0] / (120 * pdf.y.var(ddof=0))))
+    twice = measurement.structural_ols(df.withColumn("x2", F.col("x") * 2), "y", ["x", "x2"]).first()
+    assert twice.gamma_x + 2 * twice.gamma_x2 == pytest.approx(measurement.structural_ols(df, "y", ["x"]).first().gamma_x)
+    assert measurement.structural_ols(df.filter("false"), "y", ["x"]).count() == 0

@@ -50,3 +50,17 @@ def test_grid_of_model_grid(spark):
     assert all(ll[m] >= ll["base"] - 1e-9 for m in models)
     with pytest.raises(ValueError, match="more than 3"):
         pipeline.grid_models(shape.model_grid(spark.range(1), ["A", "B"], ["x1"]), {"A": "buy", "B": "buy"}, limit=3)
+
+
+def test_logit_of_many_attributes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = choices(n=120)
+    for i in range(12):
+        pdf[f"w{i}"] = rng.normal(size=len(pdf))
+    attrs = ["x1", "x2", *[f"w{i}" for i in range(12)]]
+    df = spark.createDataFrame(pdf)
+    wide = choice.fit_mnl(df, ["sid"], attrs, key="id", robust=True)
+    monkeypatch.setattr(kernels, "FEW", 100)
+    sums = choice.fit_mnl(df, ["sid"], attrs, key="id", robust=True)
+    assert wide.converged and np.allclose(wide.theta, sums.theta, atol=1e-6) and np.allclose(wide.std_errors(), sums.std_errors(), rtol=1e-5)
+    assert (wide.n_obs, wide.point.ll, wide.null_ll) == pytest.approx((sums.n_obs, sums.point.ll, sums.null_ll))
