@@ -11,7 +11,7 @@ import numpy as np
 #: first white space of a run, and all others take at most one space, in front.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
-KEPT = 300_000
+KEPT = 1_000_000
 MARKS = (",", ".")
 LONG = 64
 JOINED = 1 << 16
