@@ -37,6 +37,8 @@ class Stored:
         self.spark, self.path = df.sparkSession, fresh_path(df.sparkSession, name)
         df.write.parquet(self.path)
         self.schema = df.schema
+        if _SCOPES:
+            _SCOPES[-1].made.append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -47,6 +49,29 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SCOPES: list[Scope] = []
+
+
+class Scope:
+    """Removes the steps stored within it when it ends, but those kept; these belong to the scope around it, if there is one."""
+
+    def __enter__(self) -> Scope:
+        self.made, self.kept = [], []
+        _SCOPES.append(self)
+        return self
+
+    def keep(self, *steps: Stored) -> None:
+        self.kept += steps
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+        for step in self.made:
+            if step not in self.kept:
+                step.drop()
+        if _SCOPES:
+            _SCOPES[-1].made += self.kept
+
+
 def arrow_map(df: DataFrame, rows: Callable[..., Iterable[dict]], schema: str, *args) -> DataFrame:
     """``rows(batch, *args)`` turns one Arrow batch into dicts of equally long columns; ``schema`` is a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -204,6 +229,13 @@ def linked_components(shared: DataFrame, verifier: Callable[[DataFrame], Callabl
     pairs that are still in different components are compared. So the components are those of all links, while a large
     group of linked members never gives all its pairs.
     """
+    with Scope() as scope:
+        roots = Stored(_linked(shared, verifier, alike, able, rest), "components")
+        scope.keep(roots)
+    return roots.df
+
+
+def _linked(shared: DataFrame, verifier, alike, able, rest) -> DataFrame:
     shared = shared.withColumn("root", F.col("node"))
     large = shared.filter(F.col("m") > SMALL)
     held = Stored(large.groupBy("node").agg(F.count("*").alias("o")), "large")

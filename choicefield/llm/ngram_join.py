@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Stored, arrow_map, bit_filter, column, filtered, linked_components, picked, text_slices
+from .common import Scope, Stored, arrow_map, bit_filter, column, filtered, linked_components, picked, text_slices
 from .shingles import distinct, mix, shingle_sequences, shingle_sets
 
 SIZE, PERCENT = 4, 85
@@ -218,6 +218,13 @@ class Join:
 
 def linked_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row of (doc_id, text), and (node, low, root) of every set: its smallest doc_id and its component."""
+    with Scope() as scope:
+        plain, linked = _linked_nodes(docs, size, percent)
+        scope.keep(plain, linked)
+    return plain.df, linked.df
+
+
+def _linked_nodes(docs: DataFrame, size: int, percent: int) -> tuple[Stored, Stored]:
     join = Join(docs, size, percent)
     every = Stored(arrow_map(docs, _node_rows, "doc_id bigint, n bigint, node binary, some array<bigint>", size), "shingled")
     heads = Stored(every.df.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("some").alias("some")), "heads")
@@ -231,7 +238,7 @@ def linked_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     heads.drop()
     first = nodes.df.select("node", F.col("doc_id").alias("low"))
     roots = join.links(nodes)
-    return plain.df, first.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    return plain, Stored(first.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "linked")
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
