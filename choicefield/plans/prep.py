@@ -207,15 +207,17 @@ def _(t):
 
 
 @query("read_param_trace", doubles="value:3 gradient:6", sql="""
-  select cast(0 as bigint) as param_index, 'beta_' || event_type as parameter, round(value, 1) as value, 0.5::DOUBLE as gradient from events
-  union all select 1, 'gamma_' || event_type, -round(value, 1), -0.25::DOUBLE from events""")
+  select event_id as run, cast(0 as bigint) as param_index, 'beta_' || event_type as parameter, round(value, 1) as value, 0.5::DOUBLE as gradient from events
+  union all select event_id, 1, 'gamma_' || event_type, -round(value, 1), -0.25::DOUBLE from events""")
 def _(t):
+    """Every event's trace stands under its own iteration mark in the files, which tells the rows of one run from another's."""
     line = "  [%3d] %s : param=%.1fe+00, grad=%s\n"
     v = F.round("value", 1)
-    text = F.concat(F.lit(f"head\n{logs.TRACE_MARK}\n"),
+    text = F.concat(F.format_string(f"{logs.ITERATION_MARK}%d 완료]\nhead\n{logs.TRACE_MARK}\n", "event_id"),
                     F.format_string(line, F.lit(0), F.concat(F.lit("beta_"), "event_type"), v, F.lit("5.0e-01")),
                     F.format_string(line, F.lit(1), F.concat(F.lit("gamma_"), "event_type"), -v, F.lit("-2.5e-01")))
-    return logs.read_param_trace(t.spark, written(t.events.select(text.alias("text")), "traces")).drop("run", "pos")
+    rows = logs.read_param_trace(t.spark, written(t.events.select(text.alias("text")), "traces"), numbered=True)
+    return rows.select(F.col("iteration").alias("run"), "param_index", "parameter", "value", "gradient")
 
 
 @query("write_results", doubles="estimate:13 std_error:13", sql=f"""with {RUNS}

@@ -87,7 +87,15 @@ def read_estimation_log(spark: SparkSession, path: str) -> DataFrame:
     return iteration_rows(read_blocks(spark, path, ITERATION_MARK), ["run"])
 
 
-def read_param_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Parameter rows of every block; ``pos`` tells blocks apart and rises within a file, it is no iteration number."""
-    blocks = read_blocks(spark, path, TRACE_MARK).withColumn("pos", F.monotonically_increasing_id())
-    return param_trace_rows(blocks, ["run", "pos"])
+def read_param_trace(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Parameter rows of every block; ``pos`` tells blocks apart and rises within a file, it is no iteration number.
+
+    ``numbered``: the files are cut at the iteration marks, and each row has the ``iteration`` whose trace it is from."""
+    if not numbered:
+        blocks = read_blocks(spark, path, TRACE_MARK).withColumn("pos", F.monotonically_increasing_id())
+        return param_trace_rows(blocks, ["run", "pos"])
+    pattern, kind = ITERATION_FIELDS["iteration"]
+    blocks = read_blocks(spark, path, ITERATION_MARK).select(
+        "run", F.monotonically_increasing_id().alias("pos"), F.regexp_extract("block", pattern, 1).try_cast(kind).alias("iteration"),
+        F.get(F.split("block", TRACE_MARK, 2), F.lit(1)).alias("block"))
+    return param_trace_rows(blocks, ["run", "pos", "iteration"])
