@@ -20,7 +20,7 @@ TINY = 1e-12
 def weighted_covariances(df: DataFrame, weights: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(replicate, n, v): weighted population covariances of all pairs of columns, row by row."""
     w = F.col("w").cast("double")
-    rows = weights.join(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), key)
+    rows = weights.hint("merge").join(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), key)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = rows.groupBy("replicate").agg(F.sum("w").alias("n"), *[F.sum(w * F.col(c)).alias(f"s_{i}") for i, c in enumerate(columns)],
                                          *[F.sum(w * F.col(a) * F.col(b)).alias(f"s_{columns.index(a)}_{columns.index(b)}") for a, b in pairs])

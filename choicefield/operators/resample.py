@@ -22,14 +22,23 @@ from ..session import stored
 from . import kernels
 
 
+SLOTS = 1 << 19  # slots that one task draws
+
+
 def resample_weights(ids: DataFrame, key: str, replicates: int, seed: int, index: str = "idx") -> DataFrame:
     """(replicate, key, w): exact multinomial weights. Slot j of replicate b draws the individual with index
-    floor(u(b, j) N); slots are generated where the ids are and combined before the shuffle."""
-    n = ids.agg(F.count("*")).scalar()
-    slots = ids.select(F.col(index).alias("slot")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    floor(u(b, j) N).
+
+    The numbered ids may lie in one task, so they are stored and spread before their slots are generated, and picks meet by
+    index: a task draws and counts about ``SLOTS`` of them, however many there are. Picks look as small as the ids they come
+    from, hence the merge hint: they are not to be broadcast."""
+    ids = stored(ids.select(key, index), "ids")
+    n = ids.count()
+    parts = max(1, -(-n * replicates // SLOTS))
+    slots = ids.select(F.col(index).alias("slot")).repartition(parts).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     picks = slots.select("replicate", F.floor(hash_unit(F.col("replicate"), F.col("slot"), F.lit(seed)) * n).cast("bigint").alias(index))
-    counts = picks.groupBy("replicate", index).agg(F.count("*").alias("w"))
-    return counts.join(ids.select(key, index), index).select("replicate", key, "w")
+    counts = picks.repartition(parts, index).groupBy("replicate", index).agg(F.count("*").alias("w"))
+    return counts.hint("merge").join(ids, index).select("replicate", key, "w")
 
 
 def bootstrap_individuals(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
@@ -47,7 +56,7 @@ def weighted_means(df: DataFrame, weights: DataFrame, key: str, columns: list[st
     from .stats import inline
     per = df.groupBy(key).agg(*[e for c in columns for e in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))])
     w = F.col("w").cast("double")
-    wide = weights.join(per, key).groupBy("replicate").agg(*[safe_div(F.sum(w * F.col(f"s_{c}")), F.sum(w * F.col(f"n_{c}"))).alias(c) for c in columns])
+    wide = weights.hint("merge").join(per, key).groupBy("replicate").agg(*[safe_div(F.sum(w * F.col(f"s_{c}")), F.sum(w * F.col(f"n_{c}"))).alias(c) for c in columns])
     return inline(wide, ["replicate"], [{"parameter": F.lit(c), "value": F.col(c)} for c in columns])
 
 
@@ -75,7 +84,7 @@ def bootstrap_parametric(cov: DataFrame, items: list[str], replicates: int, seed
 def bootstrap_stage1(df: DataFrame, key: str, factors: dict[str, list[str]], paths: list, weights: DataFrame) -> DataFrame:
     """Refit of the factor/path model per replicate from weighted covariances: one shuffle by replicate."""
     from ..estimators.latent import sem_fit
-    return sem_fit(weights.join(df, key), factors, paths, ["replicate"], weight="w")
+    return sem_fit(weights.hint("merge").join(df, key), factors, paths, ["replicate"], weight="w")
 
 
 def bootstrap_stage2(rel: DataFrame, key: str, set_keys: list[str], start: dict[str, float], weights: DataFrame, scores: DataFrame | None = None,
