@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.groups import first_n, has_hot_group, numbered, ordered_scan
+from ..functions import groups
+from ..functions.groups import first_n, numbered, ordered_scan
 from ..functions.scalars import count_if
 from ..session import stored
 
@@ -133,23 +134,24 @@ def suffix_duplicate_ids(df: DataFrame, key: str, order: list[str], name: str =
 
 def reassign_duplicate_ids(df: DataFrame, key: str, order: list[str], name: str = "new_id") -> DataFrame:
     """Later copies of an id get the smallest unused ids, then max + 1, ...; first copies keep theirs."""
-    ranked = numbered(df, [key], order, "__copy")
+    total = df.count()  # no scan below has more than twice as many rows
+    ranked = numbered(df, [key], order, "__copy", rows=total)
     later = stored(ranked.filter("__copy > 1"), "later_copies")
-    extra = numbered(later, [], [key, *order], "__rank")
+    extra = numbered(later, [], [key, *order], "__rank", rows=total)
     wanted = later.agg(F.count("*")).scalar()
     # gaps before each used id, counted along the ids
-    split = has_hot_group(df, [])
-    used = ordered_scan(df.select(key).distinct(), [], [key], lag={"__prev": key}, split=split)
+    split = total > groups.HOT_ROWS
+    used = ordered_scan(df.select(key).distinct(), [], [key], lag={"__prev": key}, split=split, rows=total)
     low = F.greatest(F.coalesce(F.col("__prev"), F.lit(0)), F.lit(0))
     gaps = used.withColumn("__low", low).withColumn("__gap", F.greatest(F.col(key) - F.col("__low") - 1, F.lit(0)))
-    gaps = ordered_scan(gaps, [], [key], run_sum={"__upto": "__gap"}, split=split)
+    gaps = ordered_scan(gaps, [], [key], run_sum={"__upto": "__gap"}, split=split, rows=total)
     first = F.col("__upto") - F.col("__gap")
     # a copy's rank falls into the last gap that starts before it: one ordered scan over gap starts and ranks together
     none = F.lit(None).cast("bigint")
     starts = gaps.filter((F.col("__gap") > 0) & (first < wanted)).select(
         (first + 1).cast("bigint").alias("__rank"), F.lit(0).alias("__kind"), F.col("__low").cast("bigint").alias("__low"), first.cast("bigint").alias("__first"))
     asked = extra.select("__rank", F.lit(1).alias("__kind"), none.alias("__low"), none.alias("__first"))
-    free = (ordered_scan(starts.unionByName(asked), [], ["__rank", "__kind"], run_max={"__l": "__low", "__f": "__first"}, split=split)
+    free = (ordered_scan(starts.unionByName(asked), [], ["__rank", "__kind"], run_max={"__l": "__low", "__f": "__first"}, split=split, rows=2 * total)
             .filter("__kind = 1").select("__rank", (F.col("__l") + F.col("__rank") - F.col("__f")).alias("free")))
     top, n_gaps = df.agg(F.max(key)).scalar(), gaps.agg(F.sum("__gap")).scalar()
     moved = extra.join(free, "__rank").withColumn(
