@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles. Two documents link when ``1
 Linked sets share a token among the first ``n - ceil(n * percent / 100) + 1`` tokens of either set under *every* total order
 of tokens. An order here sorts by (frequency level, seeded hash): candidates come from a join on the prefix of the first
 order; a pair is dropped if the places of its first shared token, or the number of shared prefix tokens, leave too little to
-share, and verified only if its prefixes meet under all other orders too.
+share, or if counts of the tokens in ``BUCKETS`` buckets do; then it is verified if its prefixes meet under all other orders too.
 
 Scale. Equal sets are one node, so copies never meet in a join. Rare tokens come first in every order. Frequencies are counted
 in two steps, as counting all tokens would shuffle more than the texts: exactly for one token in ``SAMPLED``, by hash; then, as
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Scope, Stored, arrow_map, bit_filter, column, filtered, linked_components, picked, text_slices
+from .common import Scope, Stored, arrow_map, bit_filter, column, filtered, linked_components, passing, picked, text_slices
 from .shingles import distinct, mix, shingle_sequences, shingle_sets
 
 SIZE, PERCENT = 4, 85
@@ -37,6 +37,10 @@ FREQUENT = 2
 FREQUENT_TABLE = 1 << 20
 SAMPLED = 16
 NEAR = 64
+SHARED_BLOCK = 1 << 16  # rows of one Arrow batch
+BUCKETS = 256
+REMEMBERED = 1 << 19  # tokens of prefixes that one task keeps
+SKETCHES = "node binary, sketch binary"
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
 
 
@@ -85,19 +89,30 @@ def _node_rows(batch, size) -> Iterator[dict]:
                "some": _lists([s[mix(s) % np.uint64(SAMPLED) == 0] for s in sets])}
 
 
+def _hit_rows(batch, frequent) -> Iterator[dict]:
+    """The ids of nodes with a frequent token."""
+    some = batch.column("some")
+    flat, at = some.values.to_numpy(zero_copy_only=False).view(np.uint64), some.offsets.to_numpy()
+    hits = np.concatenate(([0], np.cumsum(_known(frequent, flat))))
+    yield {"doc_id": batch.column("doc_id").filter(pa.array(hits[at[1:]] > hits[at[:-1]]))}
+
+
+def _known(known: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which tokens are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 def _near_rows(batch, size, frequent, wanted) -> Iterator[dict]:
     """The distinct tokens near a frequent one."""
     for _, texts in _texts(filtered(batch, wanted)):
-        nodes, near = [], []
+        near = []
         for grams in shingle_sequences(texts, size):
-            at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-            hits = np.flatnonzero(frequent[at] == grams)
+            hits = np.flatnonzero(_known(frequent, grams))
             edge = np.zeros(len(grams) + 1, np.int64)
             np.add.at(edge, np.maximum(hits - NEAR, 0), 1)
             np.add.at(edge, np.minimum(hits + NEAR + 1, len(grams)), -1)
-            nodes.append(_digest(distinct(grams)))
             near.append(distinct(grams[np.cumsum(edge[:-1]) > 0]))
-        yield {"node": nodes, "near": _lists(near)}
+        yield {"near": _lists(near)}
 
 
 def _prefix_rows(batch, size, percent, levels) -> Iterator[dict]:
@@ -107,33 +122,75 @@ def _prefix_rows(batch, size, percent, levels) -> Iterator[dict]:
                "prefix": _lists([prefix(s, 0, percent, levels) for s in sets])}
 
 
+def _shared_rows(batch, picks) -> Iterator[dict]:
+    """(token, node, pos, n) of the prefix tokens that pass the filter; pos is the place in the order."""
+    prefixes = batch.column("prefix")
+    flat, at = prefixes.values.to_numpy(zero_copy_only=False).view(np.uint64), prefixes.offsets.to_numpy()
+    flat, at = flat[at[0]:at[-1]], at - at[0]
+    rows = np.repeat(np.arange(len(batch)), np.diff(at))
+    kept = np.flatnonzero(passing(flat, picks))
+    for start in range(0, len(kept), SHARED_BLOCK):
+        part = kept[start:start + SHARED_BLOCK]
+        row = pa.array(rows[part])
+        yield {"token": flat[part].view(np.int64), "node": batch.column("node").take(row), "pos": part - at[rows[part]], "n": batch.column("n").take(row)}
+
+
 def _set_rows(batch, size, wanted) -> Iterator[dict]:
     for _, texts in _texts(filtered(batch, wanted)):
         sets = list(shingle_sets(texts, size))
         yield {"node": [_digest(s) for s in sets], "tokens": _lists(sets)}
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each bucket."""
+    return np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes()
+
+
+def _sketch_rows(batch, size, wanted) -> Iterator[dict]:
+    for _, texts in _texts(filtered(batch, wanted)):
+        sets = list(shingle_sets(texts, size))
+        yield {"node": [_digest(s) for s in sets], "sketch": [_sketch(s) for s in sets]}
+
+
+def _sketch_of_set_rows(batch) -> Iterator[dict]:
+    yield {"node": batch.column("node"), "sketch": [_sketch(s) for s in _arrays(batch.column("tokens"))]}
+
+
+def _likely_rows(batch, percent) -> Iterator[dict]:
+    """The pairs that may link: two sets share at most the smaller count of every bucket."""
+    for start in range(0, len(batch), 4096):
+        part = batch.slice(start, 4096)
+        x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
+        most = np.minimum(x, y).sum(axis=1)
+        keep = pa.array(100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most))
+        yield {"a": part.column("a").filter(keep), "b": part.column("b").filter(keep)}
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 def _verify_rows(batch, percent, levels) -> Iterator[dict]:
     """Of the pairs whose prefixes meet under the other orders too, those that link."""
-    def sets(name):
-        column = batch.column(name)
-        flat, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
-        return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
-
     known: dict[bytes, list[np.ndarray]] = {}
+    held = 0
 
     def prefixes(node, tokens):
+        nonlocal held
         if node not in known:
-            if len(known) > 4096:
+            if held > REMEMBERED:
                 known.clear()
+                held = 0
             known[node] = [np.sort(prefix(tokens, k, percent, levels)) for k in range(1, ORDERS)]
+            held += sum(map(len, known[node]))
         return known[node]
 
     def shared(x, y):
         return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
 
     kept = []
-    for row, (a, b, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), sets("x"), sets("y"))):
+    for row, (a, b, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), _arrays(batch.column("x")), _arrays(batch.column("y")))):
         if all(shared(p, q).any() for p, q in zip(prefixes(a, x), prefixes(b, y))):
             both = int(shared(x, y).sum())
             if 100 * both >= percent * (len(x) + len(y) - both):
@@ -149,58 +206,77 @@ class Join:
         self.docs, self.size, self.percent = docs.withColumn("filter_hash", F.xxhash64("doc_id")), size, percent
         self.levels = None
 
-    def pass_over(self, rows, schema: str, wanted: DataFrame, *args) -> DataFrame:
-        """What ``rows`` makes of the texts of the wanted (node, doc_id), one row for each node."""
-        picks = bit_filter(wanted, "doc_id")
-        made = arrow_map(self.docs, rows, schema, self.size, *args, picks)
-        columns = [c for c in made.columns if c != "node"]
-        return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+    def made(self, wanted: DataFrame, rows, schema: str) -> DataFrame:
+        """What ``rows`` makes of the texts of the wanted (node, doc_id): one row for each node, of two columns."""
+        made = arrow_map(self.docs, rows, schema, self.size, bit_filter(wanted, "doc_id"))
+        return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in made.columns[1:]])
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        return self.made(wanted, _set_rows, "node binary, tokens array<bigint>")
 
-    def frequent(self, tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted tokens, counts) of those that occur most, at most ``FREQUENT_TABLE``."""
+    def frequent(self, tokens: DataFrame, share: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted tokens, counts) of those that occur most, at most ``FREQUENT_TABLE`` of all, of which these are one in ``share``."""
         counted = Stored(tokens.groupBy("token").count().filter(F.col("count") > FREQUENT), "frequent")
         total = counted.df.agg(F.sum("count")).first()[0] or 0
-        table = counted.df.filter(F.col("count") > total // FREQUENT_TABLE).toArrow()
+        table = counted.df.filter(F.col("count") > share * total // FREQUENT_TABLE).toArrow()
         counted.drop()
         found = table["token"].to_numpy().view(np.uint64)
         at = np.argsort(found)
         return found[at], table["count"].to_numpy()[at]
 
     def find_levels(self, nodes: DataFrame) -> None:
-        """Frequency levels of the tokens that many nodes share, from ``nodes`` (node, doc_id, some)."""
-        some = nodes.select("node", "doc_id", F.explode("some").alias("token"))
-        tokens, _ = self.frequent(some)
+        """Frequency levels of the tokens that many nodes share, from ``nodes`` (node, doc_id, some).
+
+        The tokens near a frequent one are counted where they are found: a text under a repeated id may count twice, which moves
+        its tokens in the order and costs no link."""
+        tokens, _ = self.frequent(nodes.select(F.explode("some").alias("token")), SAMPLED)
         if not len(tokens):
             return
-        known = self.docs.sparkSession.createDataFrame(pa.table({"token": tokens.view(np.int64)}))
-        hit = Stored(some.join(known, "token", "left_semi").select("node", "doc_id").distinct(), "hit")
-        near = self.pass_over(_near_rows, "node binary, near array<bigint>", hit.df, tokens)
+        hit = Stored(arrow_map(nodes.select("doc_id", "some"), _hit_rows, "doc_id bigint", tokens), "hit")
+        near = arrow_map(self.docs, _near_rows, "near array<bigint>", self.size, tokens, bit_filter(hit.df, "doc_id"))
         tokens, counts = self.frequent(near.select(F.explode("near").alias("token")))
-        self.levels = tokens, np.log2(np.maximum(counts, 1)).astype(np.uint64)
+        if len(tokens):
+            self.levels = tokens, np.log2(np.maximum(counts, 1)).astype(np.uint64)
         hit.drop()
 
     def shared(self, nodes: Stored) -> Stored:
-        """(token, node, n, pos, m) of the prefix tokens that m > 1 nodes share; pos is the place in the order."""
-        tokens = nodes.df.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
-        several = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-        return Stored(tokens.join(several, "token"), "tokens")
-
-    def verifier(self, nodes: Stored, ends: DataFrame) -> Callable[[DataFrame], Stored]:
-        wanted = Stored(nodes.df.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
-        sets = Stored(self.pass_over(_set_rows, "node binary, tokens array<bigint>", wanted.df), "sets").df
-        wanted.drop()
-        x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        """(token, node, n, pos, m) of the prefix tokens that m > 1 nodes share; pos is the place in the order. A filter drops most
+        of the others before anything but their count is shuffled."""
+        several = Stored(nodes.df.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "several")
+        picks = bit_filter(several.df, "token", mixed=True)
+        tokens = arrow_map(nodes.df.select("node", "n", "prefix"), _shared_rows, "token bigint, node binary, pos int, n bigint", picks)
+        found = Stored(tokens.join(several.df, "token"), "tokens")
+        several.drop()
+        return found
+
+    def verifier(self, nodes: Stored, ends: DataFrame, again: bool) -> Callable[[DataFrame], Stored]:
+        """Which pairs link. Sketches are compared first, then the sets of the pairs that these leave. ``again``: it is called several
+        times, so the sets are stored."""
+        wanted = Stored(nodes.df.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted").df
+        if again:
+            every = Stored(self.sets(wanted), "sets").df
+            sketches = arrow_map(every, _sketch_of_set_rows, SKETCHES)
+        else:
+            sketches = self.made(wanted, _sketch_rows, SKETCHES)
+        sketches = Stored(sketches, "sketches").df
+
+        def met(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
+            x, y = (what.select(F.col("node").alias(end), F.col(column).alias(name)) for end, name in (("a", "x"), ("b", "y")))
+            return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
         def verified(pairs: DataFrame) -> Stored:
-            both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-            return Stored(arrow_map(both, _verify_rows, "a binary, b binary", self.percent, self.levels), "found")
+            likely = Stored(arrow_map(met(pairs, sketches, "sketch"), _likely_rows, "a binary, b binary", self.percent), "likely").df
+            left = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+            sets = every.join(left, "node", "left_semi") if again else self.sets(Stored(wanted.join(left, "node", "left_semi"), "left").df)
+            return Stored(arrow_map(met(likely, sets, "tokens"), _verify_rows, "a binary, b binary", self.percent, self.levels), "found")
 
         return verified
 
-    def links(self, nodes: Stored) -> DataFrame:
-        """(node, root) of the components with more than one node."""
+    def links(self, nodes: Stored) -> tuple[Stored, DataFrame]:
+        """(node, doc_id) of all nodes, and (node, root) of the components with more than one node; ``nodes`` are removed."""
         shared = self.shared(nodes)
+        named = Stored(nodes.df.select("node", "doc_id"), "names")
+        nodes.drop()
 
         def alike(one: str, other: str) -> Column:
             return 100 * F.least(one, other) >= self.percent * F.greatest(one, other)
@@ -211,9 +287,9 @@ class Join:
         def rest(n: str) -> Column:
             return F.ceil(self.percent * F.col(n) / 100) - 1
 
-        roots = linked_components(shared.df, lambda ends: self.verifier(nodes, ends), alike, able, rest)
+        roots = linked_components(shared.df, lambda ends, again: self.verifier(named, ends, again), alike, able, rest)
         shared.drop()
-        return roots
+        return named, roots
 
 
 def linked_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -231,13 +307,11 @@ def _linked_nodes(docs: DataFrame, size: int, percent: int) -> tuple[Stored, Sto
     plain = Stored(every.df.select("doc_id", "n", "node"), "documents")
     every.drop()
     join.find_levels(heads.df)
-    made = arrow_map(docs, _prefix_rows, "node binary, doc_id bigint, n bigint, prefix array<bigint>", size, percent, join.levels)
-    keys = heads.df.select(F.col("node").alias("head"), F.col("doc_id").alias("id"))
-    nodes = Stored(made.join(keys, (F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-                   .dropDuplicates(["node"]), "nodes")
     heads.drop()
-    first = nodes.df.select("node", F.col("doc_id").alias("low"))
-    roots = join.links(nodes)
+    made = arrow_map(docs, _prefix_rows, "node binary, doc_id bigint, n bigint, prefix array<bigint>", size, percent, join.levels)
+    nodes = Stored(made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    named, roots = join.links(nodes)
+    first = named.df.select("node", F.col("doc_id").alias("low"))
     return plain, Stored(first.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "linked")
 
 
