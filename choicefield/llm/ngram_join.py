@@ -142,8 +142,14 @@ def _set_rows(batch, size, wanted) -> Iterator[dict]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each bucket."""
-    return np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes()
+    """How many tokens fall into each bucket: a byte each, or four where a count needs them."""
+    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    wide = [s if len(s) > BUCKETS else np.frombuffer(s, "u1").astype("<u4").tobytes() for s in sketches]
+    return np.frombuffer(b"".join(wide), "<u4").reshape(-1, BUCKETS).astype(np.int64)
 
 
 def _sketch_rows(batch, size, wanted) -> Iterator[dict]:
@@ -158,9 +164,9 @@ def _sketch_of_set_rows(batch) -> Iterator[dict]:
 
 def _likely_rows(batch, percent) -> Iterator[dict]:
     """The pairs that may link: two sets share at most the smaller count of every bucket."""
-    for start in range(0, len(batch), 4096):
-        part = batch.slice(start, 4096)
-        x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
+    for start in range(0, len(batch), 1024):
+        part = batch.slice(start, 1024)
+        x, y = (_counts(part.column(c).to_pylist()) for c in ("x", "y"))
         most = np.minimum(x, y).sum(axis=1)
         keep = pa.array(100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most))
         yield {"a": part.column("a").filter(keep), "b": part.column("b").filter(keep)}

@@ -65,3 +65,48 @@ def test_only_shared_tokens_leave_their_node(spark):
     picks = common.bit_filter(several, "token", mixed=True)
     rows = common.arrow_map(frame, ngram_join._shared_rows, "token bigint, node binary, pos int, n bigint", picks).collect()
     assert sorted((r.token, bytes(r.node), r.pos, r.n) for r in rows) == [(7 << 33 | 9, b"a", 1, 2), (7 << 33 | 9, b"b", 1, 2)]
+
+
+@pytest.mark.parametrize("listed", [32, 3])
+def test_last_pairs_are_those_that_may_link_made_once(spark, monkeypatch, listed):
+    """A family whose members share most of their prefixes: its pairs are made once and not at each token, and none that bounds allow is lost."""
+    monkeypatch.setattr(common, "LISTED", listed)
+    rng = random.Random(5)
+    rows, elsewhere = [], []
+    for node in range(60):
+        own = rng.randrange(10)  # tokens of this node alone come first
+        held = sorted(rng.sample(range(14), 11))
+        n = rng.choice([60, 64, 70])
+        rows += [(t, bytes([node]), n, own + k, bytes([node % 45])) for k, t in enumerate(held)]
+        if node % 3:
+            elsewhere.append((bytes([node]), node % 4))
+    groups = spark.createDataFrame(rows, "token long, node binary, n long, pos int, root binary").repartition(2)
+    others = spark.createDataFrame(elsewhere, "node binary, o long")
+
+    def alike(one, other):
+        return 100 * F.least(one, other) >= 85 * F.greatest(one, other)
+
+    def able(overlap, one, other):
+        return 100 * overlap >= 85 * (F.col(one) + F.col(other) - overlap)
+
+    def rest(n):
+        return F.ceil(85 * F.col(n) / 100) - 1
+
+    wanted = {(bytes(r.a), bytes(r.b)) for r in common.possible(common.open_pairs(groups, alike), others, able, rest).collect()}
+    found = common.last_pairs(groups, others, alike, able, rest)
+    pairs = [(bytes(r.a), bytes(r.b)) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and wanted <= set(pairs) and wanted
+    every = common.open_pairs(groups, alike).count()
+    if listed == 32:
+        assert set(pairs) == wanted and len(wanted) < every
+    join = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, ")[1].splitlines()[0]
+    assert "array_intersect" in join and "root" in join
+    plain = common.last_pairs(groups, others, lambda a, b: F.lit(True), None, None)
+    assert {(bytes(r.a), bytes(r.b)) for r in plain.collect()} == {(bytes(r.a), bytes(r.b)) for r in common.open_pairs(groups, lambda a, b: F.lit(True)).collect()}
+
+
+def test_sketches_are_bytes_unless_a_count_needs_more():
+    few, many = np.arange(900, dtype=np.uint64) << np.uint64(40), np.arange(400, dtype=np.uint64)
+    assert len(ngram_join._sketch(few)) == ngram_join.BUCKETS and len(ngram_join._sketch(many)) == 4 * ngram_join.BUCKETS
+    counts = ngram_join._counts([ngram_join._sketch(few), ngram_join._sketch(many)])
+    assert counts.sum(axis=1).tolist() == [900, 400] and counts[1].max() == 400
